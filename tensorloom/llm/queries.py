@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import table
+from tensorloom.llm.exact_dedup import exact_dedup
 from tensorloom.llm.sharding import shard_by_bytes
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its group of equal texts."""
+    return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 16 contiguous shards of near equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -18,7 +24,15 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:].split("_")[0].isdigit()}
 
 
-SQL: dict[str, str] = {}
+#: A-Z lower-cased and nothing else.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op1_exact_dedup": f"""
+        WITH h AS (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
+        g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h)
+        SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, keep_id = doc_id AS kept, text_sha256 FROM g""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
