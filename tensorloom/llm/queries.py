@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import table
 from tensorloom.llm.exact_dedup import exact_dedup
+from tensorloom.llm.mixing import mix
 from tensorloom.llm.sharding import shard_by_bytes
 
 
@@ -20,6 +21,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each: sources weigh 1, 2, 3, repeating."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:].split("_")[0].isdigit()}
 
