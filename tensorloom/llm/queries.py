@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import table
 from tensorloom.llm.exact_dedup import exact_dedup
 from tensorloom.llm.mixing import mix
+from tensorloom.llm.quality import classify
 from tensorloom.llm.sharding import shard_by_bytes
 
 
@@ -26,6 +27,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from the labels that are not held out."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:].split("_")[0].isdigit()}
 
