@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a written table, in the folder that the cluster shares."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator's own output names would clash with."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

@@ -108,7 +108,7 @@ def scores(net: Network, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
             best, halves = pooled(net, *blocks_of(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
         out[lo:hi] = _combine(best, halves, net)
         lo = hi
-    return np.round(1 / (1 + np.exp(-np.clip(out, -60, 60))), 6)  # beyond that, sums depend on a batch.s shape
+    return np.round(1 / (1 + np.exp(-np.clip(out, -60, 60))), 6)  # beyond that, sums depend on a batch's shape
 
 
 def _pieces(net: Network, raw: np.ndarray) -> np.ndarray:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import table
+from tensorloom.llm.common import shared_path, table
 from tensorloom.llm.exact_dedup import exact_dedup
 from tensorloom.llm.mixing import mix
 from tensorloom.llm.quality import classify
 from tensorloom.llm.sharding import shard_by_bytes
+from tensorloom.llm.warc import read_bundles, with_revisits, write_bundles
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to seekable bundles and read back from them."""
+    pages = with_revisits(table(spark, sf_dir, "pages"))
+    records = read_bundles(write_bundles(pages, shared_path(spark, "warc")))
+    number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 16 contiguous shards of near equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -44,6 +53,10 @@ SQL: dict[str, str] = {
         WITH h AS (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
         g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, keep_id = doc_id AS kept, text_sha256 FROM g""",
+    "op3_warc": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM g""",
 }
 
 
