@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import shared_path, table
 from tensorloom.llm.exact_dedup import exact_dedup
+from tensorloom.llm.line_dedup import drop_boilerplate, html_text
 from tensorloom.llm.mixing import mix
 from tensorloom.llm.quality import classify
 from tensorloom.llm.sharding import shard_by_bytes
@@ -18,6 +19,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that are on over a fifth of its site's pages."""
+    return drop_boilerplate(table(spark, sf_dir, "pages"), html_text("html")).select("page_id", "host", "n_lines", "n_dropped", "clean_text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for every page, written to seekable bundles and read back from them."""
     pages = with_revisits(table(spark, sf_dir, "pages"))
@@ -53,6 +59,16 @@ SQL: dict[str, str] = {
         WITH h AS (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
         g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, keep_id = doc_id AS kept, text_sha256 FROM g""",
+    "op2_line_dedup": r"""
+        WITH p AS (
+            SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '') AS host,
+                list_filter(list_transform(string_split(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: x <> '') AS lines
+            FROM pages),
+        total AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+        held AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+        gone AS (SELECT host, list(line) AS common FROM held JOIN total USING (host) WHERE n >= 3 AND n > pages * 0.2 GROUP BY host),
+        k AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: common IS NULL OR NOT list_contains(common, x)) AS kept FROM p LEFT JOIN gone ON p.host = gone.host)
+        SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS clean_text FROM k""",
     "op3_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
