@@ -35,8 +35,8 @@ def drop_boilerplate(pages: DataFrame, text: Column, ratio: float = 0.2, least_p
     belong to no site and keep all lines; a null text has none. Input columns named like an output column are replaced.
     """
     n_rows = pages.count()
-    rows = without(pages, *OUT).withColumns({"host": host_of(url_col), "__lines": F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")})
-    rows = rows.withColumn("__keys", F.transform("__lines", F.md5))
+    rows = without(pages, *OUT).withColumns({"host": host_of(url_col), "__lines": F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")})
+    rows = rows.withColumn("__keys", F.transform("__lines", lambda x: F.md5(x)))
     sites = rows.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= least_pages)
     held = rows.where("host IS NOT NULL").select("host", F.explode(F.array_distinct("__keys")).alias("__line"))
     held = held.groupBy("host", "__line").agg(F.count("*").alias("__with")).where(F.col("__with") >= least_pages)
