@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.llm.chat import link_calls
 from tensorloom.llm.common import shared_path, table
 from tensorloom.llm.exact_dedup import exact_dedup
 from tensorloom.llm.line_dedup import drop_boilerplate, html_text
@@ -47,6 +48,30 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+#: The tools of op10: a turn that is not the assistant's is a call of the tool named like its role.
+ASK = {"text": ("string", True), "turn": ("integer", True)}
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation: other turns than the assistant's call, the assistant's answer the turn before theirs.
+
+    A call is named conv_id:turn, depends on the call two turns earlier, and has the turn's text and number as arguments.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    calls = turns.where("role IS DISTINCT FROM 'assistant'").select(
+        F.when(known, name(F.col("turn"))).alias("call_id"),
+        F.col("turn").alias("position"),
+        F.coalesce("role", F.lit("none")).alias("tool"),
+        F.to_json(F.struct("turn", "text")).alias("arguments"),
+        F.array(F.when(known, name(F.col("turn") - 2))).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select(F.when(known, name(F.col("turn") - 1)).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    linked = link_calls(calls, results, {"user": ASK, "system": ASK})
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:].split("_")[0].isdigit()}
 
@@ -73,6 +98,22 @@ SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM g""",
+    "op10_chat": """
+        WITH c AS (SELECT conv_id || ':' || turn AS call_id, conv_id, turn, role, text FROM conversations WHERE role <> 'assistant'),
+        steps AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM (SELECT DISTINCT call_id, conv_id, turn FROM c)),
+        l AS (SELECT call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM steps),
+        r AS (SELECT conv_id || ':' || (turn - 1) AS id, min(struct_pack(turn := turn, text := text)) AS r, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1),
+        o AS (
+            SELECT coalesce(c.call_id, r.id) AS call_id, c.turn AS position, c.role AS tool, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+                l.level, coalesce(r.n, 0) AS n_results, r.r.turn AS result_position, CASE WHEN c.call_id IS NOT NULL THEN c.text IS NOT NULL END AS valid,
+                CASE WHEN c.call_id IS NULL THEN NULL WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS problems, c.text, r.r.text AS answer
+            FROM c LEFT JOIN l ON c.call_id = l.call_id FULL JOIN r ON c.call_id = r.id)
+        SELECT call_id, position, tool, status, level, CAST(n_results AS BIGINT) AS n_results, result_position, valid, problems,
+            '{"arguments":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || position || '}' END
+            || ',"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
+            || ',"problems":' || CASE WHEN problems IS NULL THEN 'null' WHEN problems = '' THEN '[]' ELSE '["' || problems || '"]' END
+            || ',"result":' || coalesce(CAST(to_json(answer) AS VARCHAR), 'null') || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || '}' AS json
+        FROM o""",
 }
 
 
