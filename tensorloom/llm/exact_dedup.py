@@ -8,19 +8,16 @@ possibly repeated. Only such rows are shuffled, to find the groups of equal text
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.llm.bloom import MOST_BITS, filter_bits, holds, shared_positions, words_of_hex
 from tensorloom.llm.common import byte_view, cut, join_facts, without
 
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
-SLICE_BITS = 20  # positions of one slice of the filter
-FLUSH_ROWS = 1 << 20  # a task hands its notes on after so many rows
 
 
 def lowered_sha256(texts: pa.Array) -> pa.Array:
@@ -30,66 +27,7 @@ def lowered_sha256(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
 
 
-def positions(digests: pa.Array, bits: int) -> np.ndarray:
-    """Two filter positions for each digest: the low bits of its first two 64-bit words."""
-    raw, at = byte_view(digests)
-    if not len(at) - 1:
-        return np.zeros((0, 2), np.uint64)
-    words = np.frombuffer(bytes.fromhex(raw.tobytes().decode()), ">u8").reshape(-1, 4)[:, :2]
-    return words.astype(np.uint64) & np.uint64(bits - 1)
-
-
-def _noted(held: list[np.ndarray]) -> pa.RecordBatch:
-    at, times = np.unique(np.concatenate(held), return_counts=True)
-    part, low = (at >> np.uint64(SLICE_BITS)).astype(np.int64), (at & np.uint64((1 << SLICE_BITS) - 1)).astype(np.uint32)
-    slices = np.unique(part)
-    cuts = np.searchsorted(part, np.append(slices, np.iinfo(np.int64).max))
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.record_batch({
-        "slice": pa.array(slices.astype(np.int32)),
-        "met": pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()),
-        "again": pa.array([low[a:b][times[a:b] > 1].tobytes() for a, b in spans], pa.binary()),
-    })
-
-
-def shared_positions(digests: DataFrame, bits: int) -> np.ndarray:
-    """The filter, as packed bits: set where two rows or more of the one-column table of digests fall."""
-
-    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            at = positions(batch.column(0), bits)
-            at[at[:, 0] == at[:, 1], 1] ^= np.uint64(1)  # two positions of a row are never one
-            held.append(at.ravel())
-            rows += len(at)
-            if rows >= FLUSH_ROWS:
-                yield _noted(held)
-                held, rows = [], 0
-        if rows:
-            yield _noted(held)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = {}, {}
-        for batch in batches:
-            for part, met, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part not in once:
-                    once[part], twice[part] = np.zeros(1 << SLICE_BITS, bool), np.zeros(1 << SLICE_BITS, bool)
-                at = np.frombuffer(met, np.uint32)
-                twice[part][at[once[part][at]]] = True
-                twice[part][np.frombuffer(again, np.uint32)] = True
-                once[part][at] = True
-        for part, flags in twice.items():
-            yield pa.record_batch({"slice": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
-
-    slices = max(1, bits >> SLICE_BITS)
-    notes = digests.mapInArrow(note, "slice int, met binary, again binary").repartition(min(slices, 64), "slice")
-    found = np.zeros(max(1, (slices << SLICE_BITS) // 8), np.uint8)
-    for row in notes.mapInArrow(merge, "slice int, bits binary").toLocalIterator():  # bits / 8 bytes in all: the filter
-        found[row["slice"] << (SLICE_BITS - 3) :][: 1 << (SLICE_BITS - 3)] = np.frombuffer(row["bits"], np.uint8)
-    return found
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, most_bits: int = 1 << 28) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, most_bits: int = MOST_BITS) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the row with the
@@ -102,17 +40,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = without(docs, *OUT).withColumn("text_sha256", F.arrow_udf(lowered_sha256, "string")(F.col(text_col)))
     n_rows = docs.count()
-    bits = min(most_bits, max(1 << SLICE_BITS, 1 << (max(1, n_rows * bits_per_row) - 1).bit_length()))
-    shared = spark.sparkContext.broadcast(shared_positions(rows.select("text_sha256"), bits))
+    bits = filter_bits(n_rows, bits_per_row, most_bits)
+    shared = spark.sparkContext.broadcast(shared_positions(rows.select("text_sha256"), bits, words_of_hex))
 
-    @F.arrow_udf("boolean")
     def possibly_repeated(digests: pa.Array) -> pa.Array:
-        at = positions(digests, bits)
-        at[at[:, 0] == at[:, 1], 1] ^= np.uint64(1)
-        flags = (shared.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)
-        return pa.array(flags.all(axis=1))
+        return pa.array(holds(shared.value, words_of_hex(digests), bits))
 
-    rows = rows.withColumn("__maybe", possibly_repeated(F.col("text_sha256")))
+    possibly_repeated.__annotations__ = {"digests": pa.Array, "return": pa.Array}
+    rows = rows.withColumn("__maybe", F.arrow_udf(possibly_repeated, "boolean")(F.col("text_sha256")))
     maybe, single = rows.where("__maybe").drop("__maybe"), rows.where("NOT __maybe").drop("__maybe")
     groups = cut(maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     met = join_facts(maybe, groups, "text_sha256", "group_size", [id_col], n_rows)

@@ -10,6 +10,7 @@ from tensorloom.llm.common import shared_path, table
 from tensorloom.llm.exact_dedup import exact_dedup
 from tensorloom.llm.line_dedup import drop_boilerplate, html_text
 from tensorloom.llm.mixing import mix
+from tensorloom.llm.near_dedup import near_groups
 from tensorloom.llm.quality import classify
 from tensorloom.llm.sharding import shard_by_bytes
 from tensorloom.llm.warc import read_bundles, with_revisits, write_bundles
@@ -38,6 +39,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document, by its four-word shingles at a similarity of 0.8 or more."""
+    return near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each: sources weigh 1, 2, 3, repeating."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
