@@ -5,7 +5,8 @@ own rotation of the MinHash signature. Classes that share a prefix of DEPTHS[0]
 of more than REGION classes is split by deeper prefixes, each to its own depth. Candidates are a class and the head of its
 region, and its nearest neighbours in the order, which are those with the longest common prefixes. Links count only when the
 whole sets confirm them: first that of each class with its most similar head, then those candidates that are still in
-different components. So a group of copies costs about one comparison a copy, and no pairs within groups are listed.
+different components, at last those of split regions that their region's largest component doesn't hold, with all of it.
+So a group of copies costs about one comparison a copy, and no pairs within groups are listed.
 """
 
 from __future__ import annotations
@@ -86,8 +87,11 @@ def common_shingles(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _regions(classes: DataFrame, n_rows: int) -> DataFrame:
-    """(region, id, rest): every class in each of its regions of two or more, rest being the order within."""
+def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every class in each of its regions of two or more (region, id, head, rest, __n), rest being the order within.
+
+    Also those in regions that were split (region, id), before the split.
+    """
     rows = classes.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     prefix = lambda depth: F.expr(f"substring(concat(signature, signature), {4 * DEPTHS[0]} * tree + 1, {4 * depth})")
     rows = rows.select("id", F.xxhash64("tree", prefix(DEPTHS[0])).alias("region"), "tree", prefix(DEPTHS[-1]).alias("rest"))
@@ -100,17 +104,31 @@ def _regions(classes: DataFrame, n_rows: int) -> DataFrame:
 
     possibly_shared.__annotations__ = {"regions": pa.Array, "return": pa.Array}
     rows = cut(rows.where(F.arrow_udf(possibly_shared, "boolean")("region")))
-    out = None
+    out = wide = None
     for deeper in (*DEPTHS[1:], None):
         sizes = rows.groupBy("region").agg(F.count("*").alias("__n"), F.min("id").alias("head")).where("__n > 1")
         known = cut(join_facts(rows, sizes, "region", "__n", ["id"], n_rows * TREES).where("__n IS NOT NULL"))
         small = known if deeper is None else known.where(F.col("__n") <= REGION)
         out = small if out is None else out.unionByName(small)
         large = known.where(F.col("__n") > REGION)
+        wide = large.select("region", "id") if wide is None else wide
         if deeper is None or large.isEmpty():
-            return out
+            return out, wide
         rows = large.select("id", F.xxhash64("tree", F.expr(f"substring(rest, 1, {4 * deeper})")).alias("region"), "tree", "rest")
-    return out
+    return out, wide
+
+
+def _strays(wide: DataFrame, label: DataFrame, n_rows: int) -> DataFrame:
+    """(a, b): members of a region that was split, which its largest component doesn't hold, with all of that component.
+
+    In such a region a class may have its only link to one of thousands, which no neighbourhood in an order finds.
+    """
+    rows = wide.join(label, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("label"))
+    sizes = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("region").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("__n")).where("most > 1")
+    stray = join_facts(rows, main.select("region", "main", "__n"), "region", "__n", ["id"], n_rows * TREES).where("main IS NOT NULL AND label <> main")
+    stray = stray.select("id", F.col("main").alias("label")).distinct()
+    return stray.join(label, "label").select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,7 +172,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     classes = base.where("id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("__n"), F.min("signature").alias("signature"))
     classes = cut(classes)
 
-    members = cut(_regions(classes, n_rows))
+    members, wide = _regions(classes, n_rows)
+    members = cut(members)
     order = Window.partitionBy("region").orderBy("rest", "id")
     small = members.where(F.col("__n") <= REGION)
     near = small.select("id", F.array(*[F.lag("id", k).over(order) for k in range(1, NEAR + 1)]).alias("others"))
@@ -162,10 +181,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     heads = members.where(F.col("id") != F.col("head")).select("id", F.col("head").alias("other"))
     pairs = near.unionByName(heads).where("other IS NOT NULL AND other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     marks = classes.select("id", "signature")
-    pairs = pairs.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("__left")), "a").join(marks.select(F.col("id").alias("b"), F.col("signature").alias("__right")), "b")
-    pairs = pairs.withColumn("likely", F.arrow_udf(agreement, "double")("__left", "__right")).select("a", "b", "likely")
-    pairs = cut(pairs.where(F.col("likely") >= percent / 100 - SLACK))
 
+    def likely(some: DataFrame) -> DataFrame:
+        met = some.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("__left")), "a").join(marks.select(F.col("id").alias("b"), F.col("signature").alias("__right")), "b")
+        met = met.withColumn("likely", F.arrow_udf(agreement, "double")("__left", "__right")).select("a", "b", "likely")
+        return cut(met.where(F.col("likely") >= percent / 100 - SLACK))
+
+    pairs = likely(pairs)
     best = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("likely"), F.col("a"))).alias("a")).select("a", "b"))
     links = _confirmed(best, slim, width, percent)
     label = components(links)
@@ -173,7 +195,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     rest = apart.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = cut(rest)
     if not rest.isEmpty():
-        label = components(links.unionByName(_confirmed(rest, slim, width, percent)))
+        links = links.unionByName(_confirmed(rest, slim, width, percent))
+        label = components(links)
+    strays = likely(_strays(wide, label, n_rows).join(pairs, ["a", "b"], "left_anti"))
+    if not strays.isEmpty():
+        label = components(links.unionByName(_confirmed(strays, slim, width, percent)))
 
     found = classes.join(label.select(F.col("node").alias("id"), F.col("label").alias("__label")), "id", "left").where("__n > 1 OR __label IS NOT NULL")
     facts = found.select("set_key", F.coalesce("__label", "id").alias("component_id"), "__n")
