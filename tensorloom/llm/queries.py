@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.chat import link_calls
 from tensorloom.llm.common import shared_path, table
+from tensorloom.llm.decontaminate import find_leaks
 from tensorloom.llm.exact_dedup import exact_dedup
 from tensorloom.llm.line_dedup import drop_boilerplate, html_text
 from tensorloom.llm.mixing import mix
@@ -44,6 +45,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark item, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each: sources weigh 1, 2, 3, repeating."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
