@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, rows: int, rows_a_task: int = 25_000) -> DataFrame:
+    """df in no more partitions than so many (small) rows are worth, without an exchange; with many rows, as it is."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task)))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table, in the folder that the cluster shares."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

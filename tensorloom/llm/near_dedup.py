@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import filter_bits, holds, shared_positions, words_of_hash
-from tensorloom.llm.common import byte_view, cut, join_facts
+from tensorloom.llm.common import byte_view, cut, join_facts, narrow
 from tensorloom.llm.components import components
 from tensorloom.llm.words import mixed, shingle_sets
 
@@ -94,27 +94,27 @@ def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     """
     rows = classes.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     prefix = lambda depth: F.expr(f"substring(concat(signature, signature), {4 * DEPTHS[0]} * tree + 1, {4 * depth})")
-    rows = rows.select("id", F.xxhash64("tree", prefix(DEPTHS[0])).alias("region"), "tree", prefix(DEPTHS[-1]).alias("rest"))
+    rows = rows.select("id", F.hex(F.xxhash64("tree", prefix(DEPTHS[0]))).alias("region"), "tree", prefix(DEPTHS[-1]).alias("rest"))
     # regions of one class are most; only rows whose region is possibly shared are exchanged
     bits = filter_bits(n_rows * TREES, 8)
-    shared = classes.sparkSession.sparkContext.broadcast(shared_positions(rows.select("region"), bits, words_of_hash))
+    shared = classes.sparkSession.sparkContext.broadcast(shared_positions(rows.select(F.xxhash64("region")), bits, words_of_hash))
 
     def possibly_shared(regions: pa.Array) -> pa.Array:
         return pa.array(holds(shared.value, words_of_hash(regions), bits))
 
     possibly_shared.__annotations__ = {"regions": pa.Array, "return": pa.Array}
-    rows = cut(rows.where(F.arrow_udf(possibly_shared, "boolean")("region")))
+    rows = cut(rows.where(F.arrow_udf(possibly_shared, "boolean")(F.xxhash64("region"))))
     out = wide = None
     for deeper in (*DEPTHS[1:], None):
         sizes = rows.groupBy("region").agg(F.count("*").alias("__n"), F.min("id").alias("head")).where("__n > 1")
-        known = cut(join_facts(rows, sizes, "region", "__n", ["id"], n_rows * TREES).where("__n IS NOT NULL"))
+        known = cut(narrow(join_facts(rows, sizes, "region", "__n", ["id"], n_rows * TREES).where("__n IS NOT NULL"), n_rows))
         small = known if deeper is None else known.where(F.col("__n") <= REGION)
         out = small if out is None else out.unionByName(small)
         large = known.where(F.col("__n") > REGION)
         wide = large.select("region", "id") if wide is None else wide
         if deeper is None or large.isEmpty():
             return out, wide
-        rows = large.select("id", F.xxhash64("tree", F.expr(f"substring(rest, 1, {4 * deeper})")).alias("region"), "tree", "rest")
+        rows = large.select("id", F.hex(F.xxhash64("tree", F.expr(f"substring(rest, 1, {4 * deeper})"))).alias("region"), "tree", "rest")
     return out, wide
 
 
@@ -136,6 +136,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     spark = docs.sparkSession
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     n = ids.count()
+    ids = narrow(ids, n)
     bits = filter_bits(n)
     named = spark.sparkContext.broadcast(shared_positions(ids.select(F.xxhash64("id")), bits, words_of_hash, times=1))
 
@@ -148,7 +149,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     possibly_named.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
     sets_of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     sets = docs.where(F.arrow_udf(possibly_named, "boolean")(F.xxhash64("id"))).select("id", F.arrow_udf(sets_of, "binary")("text").alias("set"))
-    sets = cut(sets.join(ids, "id", "left_semi"))
+    sets = cut(narrow(sets.join(ids, "id", "left_semi"), n, 5_000))
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = F.arrow_udf(common_shingles, "bigint")("set_a", "set_b")
     met = met.select("a", "b", (F.octet_length("set_a") / 8 + F.octet_length("set_b") / 8).cast("long").alias("__sum"), both.alias("__both"))
@@ -169,8 +170,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     id_type = slim.schema["id"].dataType.simpleString()
     base = cut(slim.mapInArrow(_sketches(width), f"id {id_type}, n_shingles long, set_key string, signature binary"))
     n_rows = base.count()
+    base = narrow(base, n_rows)
     classes = base.where("id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("__n"), F.min("signature").alias("signature"))
-    classes = cut(classes)
+    classes = cut(narrow(classes, n_rows))
 
     members, wide = _regions(classes, n_rows)
     members = cut(members)
@@ -185,15 +187,16 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     def likely(some: DataFrame) -> DataFrame:
         met = some.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("__left")), "a").join(marks.select(F.col("id").alias("b"), F.col("signature").alias("__right")), "b")
         met = met.withColumn("likely", F.arrow_udf(agreement, "double")("__left", "__right")).select("a", "b", "likely")
-        return cut(met.where(F.col("likely") >= percent / 100 - SLACK))
+        return cut(narrow(met.where(F.col("likely") >= percent / 100 - SLACK), n_rows))
 
     pairs = likely(pairs)
-    best = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("likely"), F.col("a"))).alias("a")).select("a", "b"))
+    best = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("likely"), F.col("a"))).alias("a")).select("a", "b")
+    best = cut(narrow(best, n_rows))
     links = _confirmed(best, slim, width, percent)
     label = components(links)
     apart = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("__a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("__b")), "b", "left")
     rest = apart.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = cut(rest)
+    rest = cut(narrow(rest, n_rows))
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, slim, width, percent))
         label = components(links)
