@@ -34,7 +34,7 @@ def water_fill(sources: DataFrame, most: int = MOST) -> DataFrame:
     when the water level (target a unit of weight) exceeds cap / weight; so in order of cap / weight the capped are
     a first part of the sources, and one running sum finds it.
     """
-    order = Window.orderBy("__level", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("__level", "source").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
     filled = sources.withColumns({"__cap": F.col("source_size") * F.lit(most), "__level": F.col("source_size") * F.lit(float(most)) / F.col("weight")})
     filled = filled.withColumns({
@@ -109,7 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     rows = without(docs, *OUT).withColumn("size", F.arrow_udf(count_words, "bigint")(F.col(text_col)))
     rows = rows.withColumns({
-        "__source": F.col(source_col),
+        # a key that is never null, so that the window and the join below share one exchange of the rows
+        "__source": F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))),
         "__class": F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * FINE).cast("int")).otherwise(F.lit(-1)),
         "__tie": F.crc32(text_of(text_col).cast("binary")),
     })
@@ -118,31 +119,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = cut(rows.groupBy(F.col("__source").alias("source"), "__class", "__salt").agg(F.count("*").alias("__rows"), F.sum("size").alias("__words")))
     classes = parts.groupBy("source", "__class").agg(F.sum("__rows").alias("__rows"), F.sum("__words").alias("__words"))
     sources = classes.groupBy("source").agg(F.sum("__words").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    number = F.row_number().over(Window.orderBy(F.col("source") == "n", "source")) - 1
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (number % len(weights) + 1).cast("int")))
     targets = water_fill(sources).select(F.col("source").alias("__s"), "source_size", "target")
-    classes = classes.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    classes = classes.join(targets, F.col("source") == F.col("__s")).drop("__s")
     schema = "source string, __class int, source_size long, target double, __rows long, __copies long"
-    rated = classes.withColumn("source", F.col("source").cast("string")).groupBy("source").applyInPandas(_balance, schema)
+    rated = classes.groupBy("source").applyInPandas(_balance, schema)
     rated = rated.withColumns({"__whole": F.expr("__copies div __rows"), "__more": F.col("__copies") % F.col("__rows"), "__of": F.col("__rows")}).drop("__rows")
 
     # the number of the first row of each part in its class
     parts = parts.withColumnRenamed("source", "__s").withColumnRenamed("__class", "__c")
-    parts = parts.join(rated, F.col("__s").eqNullSafe(F.col("source")) & (F.col("__c") == F.col("__class"))).drop("__s", "__c")
+    parts = parts.join(rated, (F.col("__s") == F.col("source")) & (F.col("__c") == F.col("__class"))).drop("__s", "__c")
     along = Window.partitionBy("source", "__class").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("__rows").over(along), F.lit(0))
     parts = cut(parts.select(F.col("source").alias("__s"), F.col("__class").alias("__c"), F.col("__salt").alias("__t"), "source_size", "target", "__whole", "__more", "__of", first.alias("__first")))
 
-    same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__t"))
-    rows = rows.join(parts, same)
     place = F.row_number().over(Window.partitionBy("__source", "__class", "__salt").orderBy("size", F.col(id_col), "__tie"))
+    rows = rows.withColumn("__place", place)
+    rows = rows.join(parts, (F.col("__source") == F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__t")))
     # of the rows of a class, numbered in turn, `__more` evenly spaced ones get one copy more
-    rows = rows.withColumn("__at", F.col("__first") + place).withColumn("__extra", F.expr("(2 * __at * __more + __of) div (2 * __of) - (2 * (__at - 1) * __more + __of) div (2 * __of)"))
+    rows = rows.withColumn("__at", F.col("__first") + F.col("__place")).withColumn("__extra", F.expr("(2 * __at * __more + __of) div (2 * __of) - (2 * (__at - 1) * __more + __of) div (2 * __of)"))
     rows = rows.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("__whole") + F.col("__extra")).cast("int"))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUT], *OUT)
 
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """Each row of a mix as often as its copies say, without the columns that mix() added."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__copy", *OUT)
+def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mix itself: these columns of each row, as often as its copies say."""
+    rows = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in columns])
