@@ -14,6 +14,7 @@ from tensorloom.llm.mixing import mix
 from tensorloom.llm.near_dedup import near_groups
 from tensorloom.llm.quality import classify
 from tensorloom.llm.sharding import shard_by_bytes
+from tensorloom.llm.substrings import remove_repeats
 from tensorloom.llm.warc import read_bundles, with_revisits, write_bundles
 
 
@@ -60,6 +61,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 50-byte strings that documents with smaller ids have too."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: The tools of op10: a turn that is not the assistant's is a call of the tool named like its role.
 ASK = {"text": ("string", True), "turn": ("integer", True)}
 
