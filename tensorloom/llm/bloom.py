@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tensorloom.llm.common import byte_view
 from tensorloom.llm.words import mixed
@@ -97,3 +98,24 @@ def shared_positions(keys: DataFrame, bits: int, words: Words, times: int = 2) -
     for row in notes.mapInArrow(merge, "slice int, bits binary").toLocalIterator():  # bits / 8 bytes in all: the filter
         found[row["slice"] << (SLICE_BITS - 3) :][: 1 << (SLICE_BITS - 3)] = np.frombuffer(row["bits"], np.uint8)
     return found
+
+
+def key_filter(keys: DataFrame, n_keys: int) -> Callable[[pa.Array], np.ndarray]:
+    """A test for use on executors: false for 64-bit hashes that are not in the one-column table.
+
+    The filter has 16 bits a key and MOST_BITS at most; beyond, it only lets more through.
+    """
+    bits = filter_bits(n_keys)
+    held = keys.sparkSession.sparkContext.broadcast(shared_positions(keys, bits, words_of_hash, times=1))
+    return lambda hashes: holds(held.value, words_of_hash(hashes), bits)
+
+
+def possibly(keys: DataFrame, hashed: Column) -> Column:
+    """False where the 64-bit hash `hashed` of a row is not that of a row of `keys`, which has the columns it reads."""
+    test = key_filter(keys.select(hashed), keys.count())
+
+    def found(hashes: pa.Array) -> pa.Array:
+        return pa.array(test(hashes))
+
+    found.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
+    return F.arrow_udf(found, "boolean")(hashed)

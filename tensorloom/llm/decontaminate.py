@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view
+from tensorloom.llm.common import byte_view, small_batches
 
 Q = 8  # bytes of a q-gram: one 64-bit word, so that q-grams are compared as they are
 WINDOW, STRIDE, LEAST = 96, 48, 32  # bytes of a window and between windows; shorter items are no evidence
@@ -214,6 +214,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows are exchanged: the items go to the documents, block by block.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type, item_type = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, `{item_id_col}` {item_type}, n_windows int, n_found int, edits int, begin long, `end` long"
@@ -253,6 +254,7 @@ def _leaked(held):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that share no window with any benchmark item (see find_leaks), with the columns of docs."""
+    small_batches(docs.sparkSession)
     for _, windows in blocks_of_items(benchmark, item_id_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(windows)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import MOST_BITS, filter_bits, holds, shared_positions, words_of_hex
-from tensorloom.llm.common import byte_view, cut, join_facts, without
+from tensorloom.llm.common import byte_view, cut, join_facts, small_batches, without
 
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -38,6 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more rows that are not repeated are shuffled, with the same result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = without(docs, *OUT).withColumn("text_sha256", F.arrow_udf(lowered_sha256, "string")(F.col(text_col)))
     n_rows = docs.count()
     bits = filter_bits(n_rows, bits_per_row, most_bits)

@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.bloom import filter_bits, holds, shared_positions, words_of_hash
-from tensorloom.llm.common import byte_view, cut, join_facts, narrow
+from tensorloom.llm.bloom import filter_bits, holds, key_filter, possibly, shared_positions, words_of_hash
+from tensorloom.llm.common import byte_view, cut, join_facts, narrow, small_batches
 from tensorloom.llm.components import components
-from tensorloom.llm.words import mixed, shingle_sets
+from tensorloom.llm.words import mixed, pieces_of, shingle_sets
 
 TREES, DEPTHS = 20, (3, 6, 9, 15)  # orders; prefix lengths that a region may have
 VALUES = TREES * DEPTHS[0]  # of a signature
@@ -54,17 +54,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The rows in turn, lower-cased, so many at once that what is made of them stays small; the first row's number too."""
+    if len(texts):
+        for a, b in pieces_of(byte_view(texts)[1]):
+            yield a, pc.ascii_lower(texts.slice(a, b - a))
+
+
 def _sketches(width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(*byte_view(pc.ascii_lower(batch.column(1))), width)
-            marks = signatures(sets)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
-                pa.array([m.tobytes() if len(s) else None for s, m in zip(sets, marks, strict=True)], pa.binary()),
-            ], ["id", "n_shingles", "set_key", "signature"])
+            for a, texts in _slices(batch.column(1)):
+                sets = shingle_sets(*byte_view(texts), width)
+                marks = signatures(sets)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, len(sets)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
+                    pa.array([m.tobytes() if len(s) else None for s, m in zip(sets, marks, strict=True)], pa.binary()),
+                ], ["id", "n_shingles", "set_key", "signature"])
 
     return sketch
 
@@ -133,22 +141,19 @@ def _strays(wide: DataFrame, label: DataFrame, n_rows: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of ids whose whole sets are similar enough. Only texts that a pair names are read again."""
-    spark = docs.sparkSession
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     n = ids.count()
     ids = narrow(ids, n)
-    bits = filter_bits(n)
-    named = spark.sparkContext.broadcast(shared_positions(ids.select(F.xxhash64("id")), bits, words_of_hash, times=1))
-
-    def possibly_named(hashes: pa.Array) -> pa.Array:
-        return pa.array(holds(named.value, words_of_hash(hashes), bits))
+    is_named = key_filter(ids.select(F.xxhash64("id")), n)
 
-    def sets_of(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(*byte_view(pc.ascii_lower(texts)), width)], pa.binary())
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(is_named(batch.column(2))))
+            for a, texts in _slices(batch.column(1)):
+                sets = [s.tobytes() for s in shingle_sets(*byte_view(texts), width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(sets, pa.binary())], ["id", "set"])
 
-    possibly_named.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
-    sets_of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    sets = docs.where(F.arrow_udf(possibly_named, "boolean")(F.xxhash64("id"))).select("id", F.arrow_udf(sets_of, "binary")("text").alias("set"))
+    sets = docs.select("id", "text", F.xxhash64("id")).mapInArrow(sets_of, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
     sets = cut(narrow(sets.join(ids, "id", "left_semi"), n, 5_000))
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = F.arrow_udf(common_shingles, "bigint")("set_a", "set_b")
@@ -166,6 +171,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links, and each is kept if the id is. A row without an id is linked like its class but never makes a component of
     its own (component_id null, kept). An empty table gives none.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = slim.schema["id"].dataType.simpleString()
     base = cut(slim.mapInArrow(_sketches(width), f"id {id_type}, n_shingles long, set_key string, signature binary"))
@@ -217,13 +223,6 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     Only rows whose id is possibly among those that go are exchanged; all others pass straight through.
     """
     gone = cut(near_groups(docs, width, percent, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).where("__gone IS NOT NULL").distinct())
-    bits = filter_bits(gone.count())
-    named = docs.sparkSession.sparkContext.broadcast(shared_positions(gone.select(F.xxhash64("__gone")), bits, words_of_hash, times=1))
-
-    def possibly_gone(hashes: pa.Array) -> pa.Array:
-        return pa.array(holds(named.value, words_of_hash(hashes), bits))
-
-    possibly_gone.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
-    rows = docs.withColumn("__maybe", F.arrow_udf(possibly_gone, "boolean")(F.xxhash64(id_col)))
+    rows = docs.withColumn("__maybe", possibly(gone.withColumnRenamed("__gone", id_col), F.xxhash64(id_col)))
     maybe = rows.where("__maybe").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     return rows.where("NOT __maybe").unionByName(maybe).drop("__maybe")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, text_of, without
+from tensorloom.llm.common import byte_view, small_batches, text_of, without
 
 OUT = ("score", "predicted")
 BLOCK, HALF = 4, 16  # bytes of a block; blocks of half a chunk
@@ -230,6 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels other than 0 and 1 are left out; of several labels of one id the largest counts. Without any label the score is
     that of an unfitted network. Equal texts have equal scores. Input columns named like an output column are replaced.
     """
+    small_batches(docs.sparkSession)
     net = fit_network(*labelled_sample(docs, labels, most_rows, piece, id_col, text_col, label_col, held_out_of("__id")), seed=seed)
     held = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, cut, join_facts, text_of, without
+from tensorloom.llm.common import byte_view, cut, join_facts, small_batches, text_of, without
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20  # uncompressed bytes after which a frame, a bundle is closed
@@ -156,6 +156,7 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         if writer.total:
             yield done()
 
+    small_batches(pages.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     payload = F.when(F.col("record_type") == "response", text_of(payload_col)).otherwise("").cast("binary")
     rows = pages.select(text(id_col), text_of(url_col), "payload_digest", "payload_bytes", "record_type", F.col("refers_to").cast("string"), F.spark_partition_id(), payload)

@@ -41,7 +41,7 @@ def count_words(texts: pa.Array) -> pa.Array:
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-PIECE = 1 << 21  # bytes of rows that are hashed at once; a longer row is hashed alone
+PIECE = 1 << 20  # bytes of rows that are hashed at once; a longer row is hashed alone
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
