@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Python workers stay alive between tasks: what a batch took goes back to the system at once.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A group is hot when it holds more than one row in HOT_SHARE; there are at most HOT_SHARE such groups.
 HOT_SHARE = 1000
 

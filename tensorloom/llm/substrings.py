@@ -32,9 +32,9 @@ OUT = ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")
 LENGTH = 50  # bytes of the strings that count as repeated
 GRAM = 24  # bytes that an anchor's hash reads
 REACH = LENGTH - GRAM + 1  # places where a window's anchor can be
-PIECE = 1 << 20  # bytes that are looked through at once
-FLUSH = 1 << 21  # anchors, or segments, that a task holds before it sends them
-PART_BYTES = 16 << 20  # text for each part that anchors are dealt into
+PIECE = 1 << 19  # bytes that are looked through at once
+FLUSH = 1 << 20  # anchors that a task holds before it sends them; of segments an eighth
+PART_BYTES = 8 << 20  # text for each part that anchors are dealt into
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 LAST_ID = (1 << 63) - 1  # a row without an id comes after all others
 
@@ -291,34 +291,39 @@ def merged_shards(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     least = _by_anchor(data, at, size, start, np.repeat(owner, n_windows), begin)
     # places of strings whose windows all have no earlier document need no more work
     low = np.minimum.reduceat(least, begin[:-1])
-    some = low[string] < ids
-    string, ids, hashes, place = string[some], ids[some], hashes[some], place[some]
-    window = _spread(begin[string], n_windows[string])
-    who = np.repeat(np.arange(len(string)), n_windows[string])
-    goes = least[window] < ids[who]
-    # runs of windows that go, as byte spans
-    edge = np.append(True, who[1:] != who[:-1])
-    opens = goes & (edge | ~np.append(False, goes[:-1]))
-    closes = goes & (np.append(edge[1:], True) | ~np.append(goes[1:], False))
-    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-    who, offset = who[a], begin[string]
-    lo = place[who] + (window[a] - offset[who])
-    return ids[who], hashes[who], lo, lo + (b - a) + LENGTH
+    some = np.flatnonzero(low[string] < ids)
+    out = []
+    for c in range(0, len(some), STRINGS):
+        rows = some[c : c + STRINGS]
+        count = n_windows[string[rows]]
+        window, who = _spread(begin[string[rows]], count), np.repeat(rows, count)
+        goes = least[window] < ids[who]
+        # runs of windows that go, as byte spans
+        edge = np.append(True, who[1:] != who[:-1])
+        opens = goes & (edge | ~np.append(False, goes[:-1]))
+        closes = goes & (np.append(edge[1:], True) | ~np.append(goes[1:], False))
+        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+        who = who[a]
+        lo = place[who] + window[a] - begin[string[who]]
+        out.append((ids[who], hashes[who], lo, lo + (b - a) + LENGTH))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _by_anchor(data: np.ndarray, at: np.ndarray, size: np.ndarray, start: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The least owner of each window, strings being taken in batches that no anchor is divided by."""
-    # the anchor of a string is the least gram of its first window
+    # the anchor of a string is the first of the least grams of its first window, as in segments()
     word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    gram = np.empty((REACH, len(at)), np.uint64)
+    anchor, best = np.zeros(len(at), np.uint64), np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
     for k in range(REACH):
         x, y, z = word[at + k], word[at + k + 8], word[at + k + 16]
         h = x * _A + (y ^ (y >> np.uint64(29))) * _B + (z ^ (z >> np.uint64(31))) * _C
         h = (h ^ (h >> np.uint64(32))) * _B
-        gram[k] = h ^ (h >> np.uint64(29))
-    top = gram >> np.uint64(32)
-    which = np.argmin(top, axis=0)
-    anchor = gram[which, np.arange(len(at))]
+        h ^= h >> np.uint64(29)
+        less = (h >> np.uint64(32)) < best
+        anchor[less], best[less] = h[less], h[less] >> np.uint64(32)
     order = np.argsort(anchor, kind="stable")
     anchor = anchor[order]
     ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
