@@ -1,13 +1,22 @@
-"""The registry of the engine's own queries and the SQL they are compared with."""
+"""The registry of the engine's own queries and the SQL that each is compared with."""
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+import importlib
+
+MODULES = ("permutation", "inventory", "layout")
+
+
+def _merged(attribute: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(importlib.import_module(f"tensorloom.queries.{name}"), attribute)
+    return out
 
 
 def queries() -> dict:
-    return {}
+    return _merged("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("SQL")
