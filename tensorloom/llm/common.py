@@ -46,8 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def narrow(df: DataFrame, rows: int, rows_a_task: int = 25_000) -> DataFrame:
-    """df in no more partitions than so many (small) rows are worth, without an exchange; with many rows, as it is."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task)))
+    """df in no more partitions than so many (small) rows are worth, without an exchange; with many rows, as it is.
+
+    A task gets six partitions of an exchange at most: the sorts of each hold their memory until the task ends.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_task), int(spark.conf.get("spark.sql.shuffle.partitions")) // 6))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
