@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("permutation", "inventory", "layout")
+MODULES = ("permutation", "inventory", "layout", "checks")
 
 
 def _merged(attribute: str) -> dict:
