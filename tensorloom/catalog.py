@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("permutation", "inventory", "layout", "checks", "digests", "inference")
+MODULES = ("permutation", "inventory", "layout", "checks", "digests", "inference", "formats")
 
 
 def _merged(attribute: str) -> dict:

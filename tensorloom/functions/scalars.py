@@ -50,9 +50,17 @@ def is_hex_32(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
-def little_endian(data: Column) -> Column:
-    """An unsigned little-endian integer of up to 8 bytes, as DECIMAL(20, 0)."""
-    return F.conv(F.hex(F.reverse(data)), 16, 10).cast("decimal(20,0)")
+def little_endian(data: Column, size: int) -> Column:
+    """An unsigned little-endian integer of `size` bytes (8 at most), as DECIMAL(20, 0). Bytes are taken one by one:
+    reverse() takes binary for text.
+    """
+    digits = F.concat(*[F.lpad(F.hex(F.substring(data, k, 1)), 2, "0") for k in range(size, 0, -1)])
+    return F.conv(digits, 16, 10).cast("decimal(20,0)")
+
+
+def little_endian_bytes(value: Column, size: int) -> Column:
+    """The `size` low bytes of a whole number, the lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(value, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)]))
 
 
 def chunk_bytes(available: Column, ceiling: int = 4 << 20) -> Column:
