@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view
+from tensorloom.llm.common import byte_view, released
 from tensorloom.llm.words import mixed
 
 SLICE_BITS = 20  # positions of one slice of the filter
@@ -93,9 +93,9 @@ def shared_positions(keys: DataFrame, bits: int, words: Words, times: int = 2) -
             yield pa.record_batch({"slice": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     slices = max(1, bits >> SLICE_BITS)
-    notes = keys.mapInArrow(note, "slice int, met binary, again binary").repartition(min(slices, 64), "slice").coalesce(min(slices, 64))
+    notes = keys.mapInArrow(released(note), "slice int, met binary, again binary").repartition(min(slices, 64), "slice").coalesce(min(slices, 64))
     found = np.zeros(max(1, (slices << SLICE_BITS) // 8), np.uint8)
-    for row in notes.mapInArrow(merge, "slice int, bits binary").toLocalIterator():  # bits / 8 bytes in all: the filter
+    for row in notes.mapInArrow(released(merge), "slice int, bits binary").toLocalIterator():  # bits / 8 bytes in all: the filter
         found[row["slice"] << (SLICE_BITS - 3) :][: 1 << (SLICE_BITS - 3)] = np.frombuffer(row["bits"], np.uint8)
     return found
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, small_batches
+from tensorloom.llm.common import byte_view, released, small_batches
 
 Q = 8  # bytes of a q-gram: one 64-bit word, so that q-grams are compared as they are
 WINDOW, STRIDE, LEAST = 96, 48, 32  # bytes of a window and between windows; shorter items are no evidence
@@ -238,7 +238,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         pa.array(end, pa.int64()),
                     ], [id_col, item_id_col, "n_windows", "n_found", "edits", "begin", "end"])
 
-        out = out.unionByName(rows.mapInArrow(search, schema))
+        out = out.unionByName(rows.mapInArrow(released(search), schema))
     return out
 
 

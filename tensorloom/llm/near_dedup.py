@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import filter_bits, holds, key_filter, possibly, shared_positions, words_of_hash
-from tensorloom.llm.common import byte_view, cut, join_facts, narrow, small_batches
+from tensorloom.llm.common import byte_view, cut, join_facts, narrow, released, small_batches
 from tensorloom.llm.components import components
 from tensorloom.llm.words import mixed, pieces_of, shingle_sets
 
@@ -153,7 +153,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 sets = [s.tobytes() for s in shingle_sets(*byte_view(texts), width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(sets, pa.binary())], ["id", "set"])
 
-    sets = docs.select("id", "text", F.xxhash64("id")).mapInArrow(sets_of, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
+    sets = docs.select("id", "text", F.xxhash64("id")).mapInArrow(released(sets_of), f"id {docs.schema['id'].dataType.simpleString()}, set binary")
     sets = cut(narrow(sets.join(ids, "id", "left_semi"), n, 5_000))
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = F.arrow_udf(common_shingles, "bigint")("set_a", "set_b")
@@ -174,7 +174,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = slim.schema["id"].dataType.simpleString()
-    base = cut(slim.mapInArrow(_sketches(width), f"id {id_type}, n_shingles long, set_key string, signature binary"))
+    base = cut(slim.mapInArrow(released(_sketches(width)), f"id {id_type}, n_shingles long, set_key string, signature binary"))
     n_rows = base.count()
     base = narrow(base, n_rows)
     classes = base.where("id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("__n"), F.min("signature").alias("signature"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import filter_bits, holds, possibly, shared_positions, words_of_hash
-from tensorloom.llm.common import byte_view, cut, narrow, small_batches, text_of, without
+from tensorloom.llm.common import byte_view, cut, narrow, released, small_batches, text_of, without
 from tensorloom.llm.words import _powers, mixed
 
 OUT = ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")
@@ -151,8 +151,8 @@ def shared_anchors(docs: DataFrame, bits: int) -> DataFrame:
             found = np.unique(np.concatenate([met[1:][met[1:] == met[:-1]], *again])).astype(np.int64)
             yield pa.record_batch({"anchor": pa.array((np.int64(part) << np.int64(32)) | found)})
 
-    notes = docs.mapInArrow(note, "part int, met binary, again binary")
-    return notes.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(merge, "anchor long")
+    notes = docs.mapInArrow(released(note), "part int, met binary, again binary")
+    return notes.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(released(merge), "anchor long")
 
 
 def _content_hash(raw: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -167,6 +167,12 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
 
+def _taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[begin:begin + size] of every string, one after another; the places are made for some strings at a time."""
+    parts = [data[_spread(begin[a : a + 4096], size[a : a + 4096])] for a in range(0, len(begin), 4096)]
+    return np.concatenate(parts) if parts else data[:0]
+
+
 class _Shard:
     """The strings of one task and their places, until they are sent."""
 
@@ -184,7 +190,7 @@ class _Shard:
         string = np.cumsum(new) - 1
         first = order[new]
         s_part, s_key, s_size = part[new], key[new], size[first]
-        s_data = data[_spread(at[first], s_size)]
+        s_data = _taken(data, at[first], s_size)
         s_at = np.concatenate([[0], np.cumsum(s_size)])
         parts, s_begin = np.unique(s_part, return_index=True)
         s_end = np.append(s_begin[1:], len(s_part))
@@ -227,7 +233,7 @@ def shards_of(docs: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
                 shard.part.append(key >> np.int64(32))
                 shard.key.append(_content_hash(text, begin, stop))
                 shard.size.append(stop - begin)
-                shard.data.append(text[_spread(begin, stop - begin)])
+                shard.data.append(_taken(text, begin, stop - begin))
                 shard.id.append(ids[row])
                 shard.hash.append(hashes[row])
                 shard.place.append(begin + shift_back)
@@ -238,7 +244,7 @@ def shards_of(docs: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
         if shard.held:
             yield shard.batch()
 
-    return docs.mapInArrow(pack, SHARDS)
+    return docs.mapInArrow(released(pack), SHARDS)
 
 
 def interleave(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -374,8 +380,8 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
             spans = [np.stack(_union(begin[a:b], end[a:b]), axis=1).tobytes() for a, b in zip(first, np.append(first[1:], len(ids)), strict=True)]
             yield pa.record_batch({"id": pa.array(ids[first]), "hash": pa.array(hashes[first]), "spans": pa.array(spans, pa.binary())})
 
-    found = shards.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(merge, "bucket int, id binary, hash binary, begin binary, `end` binary")
-    return found.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(collect, SPANS)
+    found = shards.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(released(merge), "bucket int, id binary, hash binary, begin binary, `end` binary")
+    return found.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(released(collect), SPANS)
 
 
 def _removal(texts: pa.Array, spans: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, cut, join_facts, small_batches, text_of, without
+from tensorloom.llm.common import byte_view, cut, join_facts, released, small_batches, text_of, without
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20  # uncompressed bytes after which a frame, a bundle is closed
@@ -160,7 +160,7 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     payload = F.when(F.col("record_type") == "response", text_of(payload_col)).otherwise("").cast("binary")
     rows = pages.select(text(id_col), text_of(url_col), "payload_digest", "payload_bytes", "record_type", F.col("refers_to").cast("string"), F.spark_partition_id(), payload)
-    rows.mapInArrow(pack, BUNDLES).write.mode("overwrite").parquet(path)
+    rows.mapInArrow(released(pack), BUNDLES).write.mode("overwrite").parquet(path)
     return pages.sparkSession.read.schema(BUNDLES).parquet(path)
 
 
@@ -187,7 +187,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         rows.append((bare(h["WARC-Record-ID"]), h.get("WARC-Target-URI", ""), size, digest, kind, bare(h["WARC-Refers-To"]) if kind == "revisit" else None, block if kind == "response" else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return bundles.select("data").mapInArrow(unpack, "record_id string, uri string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    return bundles.select("data").mapInArrow(released(unpack), "record_id string, uri string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
 
 
 def export_bundles(spark: SparkSession, path: str, folder: str) -> int:
