@@ -177,11 +177,11 @@ class _Shard:
     """The strings of one task and their places, until they are sent."""
 
     def __init__(self) -> None:
-        self.part, self.key, self.size, self.data, self.id, self.hash, self.place = ([] for _ in range(7))
+        self.part, self.key, self.size, self.data, self.id, self.hash, self.place, self.times = ([] for _ in range(8))
         self.held = 0
 
     def batch(self) -> pa.RecordBatch:
-        part, key, size, ids, hashes, place = (np.concatenate(x) for x in (self.part, self.key, self.size, self.id, self.hash, self.place))
+        part, key, size, ids, hashes, place, times = (np.concatenate(x) for x in (self.part, self.key, self.size, self.id, self.hash, self.place, self.times))
         data = np.concatenate(self.data)
         at = np.cumsum(size) - size
         order = np.lexsort((key, part))
@@ -195,15 +195,15 @@ class _Shard:
         parts, s_begin = np.unique(s_part, return_index=True)
         s_end = np.append(s_begin[1:], len(s_part))
         cuts = np.searchsorted(string, np.append(s_begin, len(s_part)))
-        out = {n: [] for n in ("size", "key", "data", "string", "id", "hash", "place")}
+        out = {n: [] for n in ("size", "key", "data", "string", "id", "hash", "place", "times")}
         for a, b, lo, hi in zip(s_begin, s_end, cuts[:-1], cuts[1:], strict=True):
             rows = order[lo:hi]
-            for n, x in (("size", s_size[a:b].astype(np.uint8)), ("key", s_key[a:b]), ("data", s_data[s_at[a] : s_at[b]]), ("string", (string[lo:hi] - a).astype(np.int32)), ("id", ids[rows]), ("hash", hashes[rows]), ("place", place[rows].astype(np.int32))):
+            for n, x in (("size", s_size[a:b].astype(np.uint8)), ("key", s_key[a:b]), ("data", s_data[s_at[a] : s_at[b]]), ("string", (string[lo:hi] - a).astype(np.int32)), ("id", ids[rows]), ("hash", hashes[rows]), ("place", place[rows].astype(np.int32)), ("times", times[rows].astype(np.int32))):
                 out[n].append(x.tobytes())
         return pa.record_batch({"part": pa.array(parts.astype(np.int32))} | {n: pa.array(x, pa.binary()) for n, x in out.items()})
 
 
-SHARDS = "part int, size binary, key binary, data binary, string binary, id binary, hash binary, place binary"
+SHARDS = "part int, size binary, key binary, data binary, string binary, id binary, hash binary, place binary, times binary"
 
 
 def shards_of(docs: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
@@ -230,13 +230,19 @@ def shards_of(docs: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
                 which = np.searchsorted(offsets, begin, "right") - 1
                 row = np.array([p[0] for p in pieces])[which]
                 shift_back = np.array([a for _, a, _ in pieces])[which] - offsets[which] - at[row]
+                content, place = _content_hash(text, begin, stop), begin + shift_back
+                # a text that says one thing over and over has one string again and again: one place, and how often
+                new = np.append(True, (content[1:] != content[:-1]) | (row[1:] != row[:-1]) | (begin[1:] != end[:-1]))
+                first = np.flatnonzero(new)
+                shard.times.append(np.diff(np.append(first, len(new))))
+                begin, stop, row, key = begin[first], stop[first], row[first], key[first]
                 shard.part.append(key >> np.int64(32))
-                shard.key.append(_content_hash(text, begin, stop))
+                shard.key.append(content[first])
                 shard.size.append(stop - begin)
                 shard.data.append(_taken(text, begin, stop - begin))
                 shard.id.append(ids[row])
                 shard.hash.append(hashes[row])
-                shard.place.append(begin + shift_back)
+                shard.place.append(place[first])
                 shard.held += len(begin)
                 if shard.held >= FLUSH // 8:
                     yield shard.batch()
@@ -283,7 +289,7 @@ def merged_shards(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     base = np.cumsum([0, *counts[:-1]])
     string = np.concatenate([np.frombuffer(r[4], np.int32).astype(np.int64) + b for r, b in zip(rows, base, strict=True)])
     ids, hashes = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (5, 6))
-    place = np.concatenate([np.frombuffer(r[7], np.int32).astype(np.int64) for r in rows])
+    place, times = (np.concatenate([np.frombuffer(r[i], np.int32).astype(np.int64) for r in rows]) for i in (7, 8))
     # equal strings of several shards are one
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
     at = (np.cumsum(size) - size)[first]
@@ -295,29 +301,34 @@ def merged_shards(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     start = _spread(at, n_windows)
     # equal windows are in strings with the same anchor; the strings of one anchor are interleaved together
     least = _by_anchor(data, at, size, start, np.repeat(owner, n_windows), begin)
-    # places of strings whose windows all have no earlier document need no more work
-    low = np.minimum.reduceat(least, begin[:-1])
-    some = np.flatnonzero(low[string] < ids)
-    out = []
-    for c in range(0, len(some), STRINGS):
-        rows = some[c : c + STRINGS]
-        count = n_windows[string[rows]]
-        window, who = _spread(begin[string[rows]], count), np.repeat(rows, count)
-        goes = least[window] < ids[who]
-        # runs of windows that go, as byte spans
-        edge = np.append(True, who[1:] != who[:-1])
-        opens = goes & (edge | ~np.append(False, goes[:-1]))
-        closes = goes & (np.append(edge[1:], True) | ~np.append(goes[1:], False))
-        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-        who = who[a]
-        lo = place[who] + window[a] - begin[string[who]]
-        out.append((ids[who], hashes[who], lo, lo + (b - a) + LENGTH))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+    # of the places of most strings either no window has an earlier document or all have
+    low, high = np.minimum.reduceat(least, begin[:-1])[string], np.maximum.reduceat(least, begin[:-1])[string]
+    whole = np.flatnonzero(high < ids)
+    out = [(ids[whole], hashes[whole], place[whole], place[whole] + times[whole] * n_windows[string[whole]] + LENGTH - 1)]
+    some = np.flatnonzero((low < ids) & (high >= ids))
+    upto = np.cumsum(times[some] * n_windows[string[some]])
+    a = 0
+    while a < len(some):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + (1 << 18), "right")))
+        out.append(_spans_of(np.repeat(some[a:b], times[some[a:b]]), _spread(np.zeros(b - a, np.int64), times[some[a:b]]), string, ids, hashes, place, begin, n_windows, least))
+        a = b
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _spans_of(rows: np.ndarray, again: np.ndarray, string: np.ndarray, ids: np.ndarray, hashes: np.ndarray, place: np.ndarray, begin: np.ndarray, n_windows: np.ndarray, least: np.ndarray) -> tuple:
+    """(id, hash, begin, end) of the runs of windows that go, at the again-th repeat of each of the places `rows`."""
+    count = n_windows[string[rows]]
+    window, which = _spread(begin[string[rows]], count), np.repeat(np.arange(len(rows)), count)
+    goes = least[window] < ids[rows[which]]
+    edge = np.append(True, which[1:] != which[:-1])
+    opens = goes & (edge | ~np.append(False, goes[:-1]))
+    closes = goes & (np.append(edge[1:], True) | ~np.append(goes[1:], False))
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    row, repeat = rows[which[a]], again[which[a]]
+    lo = place[row] + repeat * n_windows[string[row]] + window[a] - begin[string[row]]
+    return ids[row], hashes[row], lo, lo + (b - a) + LENGTH
+
+
 def _by_anchor(data: np.ndarray, at: np.ndarray, size: np.ndarray, start: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The least owner of each window, strings being taken in batches that no anchor is divided by."""
     # the anchor of a string is the first of the least grams of its first window, as in segments()
