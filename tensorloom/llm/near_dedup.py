@@ -5,7 +5,8 @@ own rotation of the MinHash signature. Classes that share a prefix of DEPTHS[0]
 of more than REGION classes is split by deeper prefixes, each to its own depth. Candidates are a class and the head of its
 region, and its nearest neighbours in the order, which are those with the longest common prefixes. Links count only when the
 whole sets confirm them: first that of each class with its most similar head, then those candidates that are still in
-different components, at last those of split regions that their region's largest component doesn't hold, with all of it.
+different components, at last those of split regions that their region's largest component doesn't hold, with all of it,
+block by block.
 So a group of copies costs about one comparison a copy, and no pairs within groups are listed.
 """
 
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import filter_bits, holds, key_filter, possibly, shared_positions, words_of_hash
-from tensorloom.llm.common import byte_view, cut, join_facts, narrow, released, small_batches
+from tensorloom.llm.common import arrow, byte_view, cut, join_facts, narrow, released, small_batches
 from tensorloom.llm.components import components
 from tensorloom.llm.words import mixed, pieces_of, shingle_sets
 
 TREES, DEPTHS = 20, (3, 6, 9, 15)  # orders; prefix lengths that a region may have
 VALUES = TREES * DEPTHS[0]  # of a signature
-REGION, NEAR = 64, 8  # classes of a region that is not split; neighbours on either side
+REGION, NEAR, BLOCK = 64, 8, 64  # classes of a region that is not split; neighbours on either side; classes that are compared at once
 SLACK = 0.2  # an estimate so far below the threshold (four standard errors) rules a candidate out
 _MULTIPLIERS = mixed(np.arange(101, 101 + VALUES, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 1 << 15  # shingles that are hashed at once, to stay in the processor's cache
@@ -109,9 +110,7 @@ def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
 
     def possibly_shared(regions: pa.Array) -> pa.Array:
         return pa.array(holds(shared.value, words_of_hash(regions), bits))
-
-    possibly_shared.__annotations__ = {"regions": pa.Array, "return": pa.Array}
-    rows = cut(rows.where(F.arrow_udf(possibly_shared, "boolean")(F.xxhash64("region"))))
+    rows = cut(rows.where(arrow(possibly_shared, "boolean")(F.xxhash64("region"))))
     out = wide = None
     for deeper in (*DEPTHS[1:], None):
         sizes = rows.groupBy("region").agg(F.count("*").alias("__n"), F.min("id").alias("head")).where("__n > 1")
@@ -126,22 +125,25 @@ def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     return out, wide
 
 
-def _strays(wide: DataFrame, label: DataFrame, n_rows: int) -> DataFrame:
-    """(a, b): members of a region that was split, which its largest component doesn't hold, with all of that component.
+def _strays(wide: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int, least: float) -> DataFrame:
+    """(id, label): members of a region that was split, which its largest component doesn't hold, with that component.
 
-    In such a region a class may have its only link to one of thousands, which no neighbourhood in an order finds.
+    In such a region a class may have its only link to one of thousands, which no neighbourhood in an order finds. Left out
+    are those that are likely less than `least` similar to the component's head: too far for a neighbour in common.
     """
     rows = wide.join(label, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("label"))
     sizes = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("__n")).where("most > 1")
     stray = join_facts(rows, main.select("region", "main", "__n"), "region", "__n", ["id"], n_rows * TREES).where("main IS NOT NULL AND label <> main")
     stray = stray.select("id", F.col("main").alias("label")).distinct()
-    return stray.join(label, "label").select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b")).distinct()
+    mine, its = (marks.select(F.col("id").alias(k), F.col("signature").alias(s)) for k, s in (("id", "__left"), ("label", "__right")))
+    stray = stray.join(mine, "id").join(its, "label").withColumn("__near", arrow(agreement, "double")("__left", "__right"))
+    return cut(narrow(stray.where(F.col("__near") >= least).select("id", "label"), n_rows))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose whole sets are similar enough. Only texts that a pair names are read again."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, set) for a table of distinct ids: the sorted hashes of their shingles. Only texts that are named are read again."""
+    ids = cut(ids)
     n = ids.count()
     ids = narrow(ids, n)
     is_named = key_filter(ids.select(F.xxhash64("id")), n)
@@ -154,13 +156,65 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(sets, pa.binary())], ["id", "set"])
 
     sets = docs.select("id", "text", F.xxhash64("id")).mapInArrow(released(sets_of), f"id {docs.schema['id'].dataType.simpleString()}, set binary")
-    sets = cut(narrow(sets.join(ids, "id", "left_semi"), n, 5_000))
+    return cut(narrow(sets.join(ids, "id", "left_semi"), n, 5_000))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose whole sets are similar enough."""
+    sets = _sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), docs, width)
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = F.arrow_udf(common_shingles, "bigint")("set_a", "set_b")
+    both = arrow(common_shingles, "bigint")("set_a", "set_b")
     met = met.select("a", "b", (F.octet_length("set_a") / 8 + F.octet_length("set_b") / 8).cast("long").alias("__sum"), both.alias("__both"))
     return cut(met.where(100 * F.col("__both") >= percent * (F.col("__sum") - F.col("__both"))).select("a", "b"))
 
 
+def common_matrix(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Shingles that each set of one block shares with each of another: products of their incidence, some shingles at a time."""
+    sets = [np.frombuffer(s, np.uint64) for s in (*left, *right)]
+    token, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for a in range(0, len(token), 8192):
+        some = slice(*np.searchsorted(column, [a, a + 8192]))
+        held = np.zeros((len(sets), 8192), np.float32)
+        held[row[some], column[some] - a] = 1
+        out += np.rint(held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _linked_strays(strays: DataFrame, label: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of strays (id, label) with any member of the component, found by comparing whole sets block by block.
+
+    Of a component of m members and its n strays, (m / BLOCK) * (n / BLOCK) pairs of blocks are made, not m * n pairs.
+    """
+    members = label.join(strays.select("label").distinct(), "label", "left_semi").select(F.col("node").alias("id"), "label")
+    sets = _sets(strays.select("id").unionByName(members.select("id")).distinct(), docs, width)
+
+    def blocks(rows: DataFrame, block: str, held: str) -> tuple[DataFrame, DataFrame]:
+        count = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{block}"))
+        placed = rows.join(count, "label").withColumn(block, F.pmod(F.xxhash64("id"), F.col(f"n_{block}")).cast("int"))
+        return placed.join(sets, "id").groupBy("label", block).agg(F.collect_list(F.struct("id", "set")).alias(held)), count
+
+    many, n_many = blocks(members, "m", "theirs")
+    few, _ = blocks(strays, "s", "mine")
+    few = few.join(n_many, "label").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = mine.as_py(), theirs.as_py()
+                both = common_matrix([x["set"] for x in a], [x["set"] for x in b])
+                sizes = np.array([len(x["set"]) // 8 for x in a])[:, None] + np.array([len(x["set"]) // 8 for x in b])
+                for i, j in np.argwhere(100 * both >= percent * (sizes - both)).tolist():
+                    low, high = sorted((a[i]["id"], b[j]["id"]))
+                    yield pa.RecordBatch.from_pylist([{"a": low, "b": high}])
+
+    kind = label.schema["node"].dataType.simpleString()
+    return cut(few.join(many, ["label", "m"]).select("mine", "theirs").mapInArrow(released(compare), f"a {kind}, b {kind}"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: the id, n_shingles, component_id and kept (the row with its component's smallest id).
 
@@ -192,7 +246,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     def likely(some: DataFrame) -> DataFrame:
         met = some.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("__left")), "a").join(marks.select(F.col("id").alias("b"), F.col("signature").alias("__right")), "b")
-        met = met.withColumn("likely", F.arrow_udf(agreement, "double")("__left", "__right")).select("a", "b", "likely")
+        met = met.withColumn("likely", arrow(agreement, "double")("__left", "__right")).select("a", "b", "likely")
         return cut(narrow(met.where(F.col("likely") >= percent / 100 - SLACK), n_rows))
 
     pairs = likely(pairs)
@@ -206,9 +260,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, slim, width, percent))
         label = components(links)
-    strays = likely(_strays(wide, label, n_rows).join(pairs, ["a", "b"], "left_anti"))
+    strays = _strays(wide, label, marks, n_rows, 2 * percent / 100 - 1 - SLACK)
     if not strays.isEmpty():
-        label = components(links.unionByName(_confirmed(strays, slim, width, percent)))
+        label = components(links.unionByName(_linked_strays(strays, label, slim, width, percent)))
 
     found = classes.join(label.select(F.col("node").alias("id"), F.col("label").alias("__label")), "id", "left").where("__n > 1 OR __label IS NOT NULL")
     facts = found.select("set_key", F.coalesce("__label", "id").alias("component_id"), "__n")
