@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, released
+from tensorloom.llm.common import arrow, byte_view, released
 from tensorloom.llm.words import mixed
 
 SLICE_BITS = 20  # positions of one slice of the filter
@@ -116,6 +116,4 @@ def possibly(keys: DataFrame, hashed: Column) -> Column:
 
     def found(hashes: pa.Array) -> pa.Array:
         return pa.array(test(hashes))
-
-    found.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
-    return F.arrow_udf(found, "boolean")(hashed)
+    return arrow(found, "boolean")(hashed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import inspect
 import re
 import tempfile
 import uuid
@@ -54,6 +55,24 @@ def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return run
 
 
+def arrow(f: Callable[..., pa.Array], kind: str) -> Callable[..., Column]:
+    """An Arrow UDF of one or two columns that gives its worker's free memory back after every batch."""
+
+    def one(a: pa.Array) -> pa.Array:
+        try:
+            return f(a)
+        finally:
+            _trim()
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        try:
+            return f(a, b)
+        finally:
+            _trim()
+
+    return F.arrow_udf(one if len(inspect.signature(f).parameters) == 1 else two, kind)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the folder that the cluster shares; its lineage ends there.
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, released, small_batches
+from tensorloom.llm.common import arrow, byte_view, released, small_batches
 
 Q = 8  # bytes of a q-gram: one 64-bit word, so that q-grams are compared as they are
 WINDOW, STRIDE, LEAST = 96, 48, 32  # bytes of a window and between windows; shorter items are no evidence
@@ -247,8 +247,6 @@ def _leaked(held):
         flags = np.zeros(len(texts), bool)
         flags[[hit[0] for hit in leaks(held.value, texts)]] = True
         return pa.array(flags)
-
-    leaked.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return leaked
 
 
@@ -258,5 +256,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for _, windows in blocks_of_items(benchmark, item_id_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
-        docs = docs.where(~F.arrow_udf(_leaked(held), "boolean")(F.col(text_col)))
+        docs = docs.where(~arrow(_leaked(held), "boolean")(F.col(text_col)))
     return docs

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import MOST_BITS, filter_bits, holds, shared_positions, words_of_hex
-from tensorloom.llm.common import byte_view, cut, join_facts, small_batches, without
+from tensorloom.llm.common import arrow, byte_view, cut, join_facts, small_batches, without
 
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -39,16 +39,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = without(docs, *OUT).withColumn("text_sha256", F.arrow_udf(lowered_sha256, "string")(F.col(text_col)))
+    rows = without(docs, *OUT).withColumn("text_sha256", arrow(lowered_sha256, "string")(F.col(text_col)))
     n_rows = docs.count()
     bits = filter_bits(n_rows, bits_per_row, most_bits)
     shared = spark.sparkContext.broadcast(shared_positions(rows.select("text_sha256"), bits, words_of_hex))
 
     def possibly_repeated(digests: pa.Array) -> pa.Array:
         return pa.array(holds(shared.value, words_of_hex(digests), bits))
-
-    possibly_repeated.__annotations__ = {"digests": pa.Array, "return": pa.Array}
-    rows = rows.withColumn("__maybe", F.arrow_udf(possibly_repeated, "boolean")(F.col("text_sha256")))
+    rows = rows.withColumn("__maybe", arrow(possibly_repeated, "boolean")(F.col("text_sha256")))
     maybe, single = rows.where("__maybe").drop("__maybe"), rows.where("NOT __maybe").drop("__maybe")
     groups = cut(maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     met = join_facts(maybe, groups, "text_sha256", "group_size", [id_col], n_rows)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import cut, small_batches, text_of, without
+from tensorloom.llm.common import arrow, cut, small_batches, text_of, without
 from tensorloom.llm.words import count_words
 
 OUT = ("size", "source_size", "target", "taken", "copies")
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one source, size class and salt.
     """
     small_batches(docs.sparkSession)
-    rows = without(docs, *OUT).withColumn("size", F.arrow_udf(count_words, "bigint")(F.col(text_col)))
+    rows = without(docs, *OUT).withColumn("size", arrow(count_words, "bigint")(F.col(text_col)))
     rows = rows.withColumns({
         # a key that is never null, so that the window and the join below share one exchange of the rows
         "__source": F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import byte_view, small_batches, text_of, without
+from tensorloom.llm.common import arrow, byte_view, small_batches, text_of, without
 
 OUT = ("score", "predicted")
 BLOCK, HALF = 4, 16  # bytes of a block; blocks of half a chunk
@@ -208,10 +208,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, piece: i
                 begin = a + mark % (b - a - 2 * piece + 1)
                 out.append(raw[begin : begin + 2 * piece].tobytes())
         return pa.array(out, pa.binary())
-
-    pieces.__annotations__ = {"texts": pa.Array, "marks": pa.Array, "return": pa.Array}
     found = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    found = found.select("__order", "__id", "__label", F.arrow_udf(pieces, "binary")("__text", F.col("__order").bitwiseAND(F.lit((1 << 62) - 1))).alias("__bytes"))
+    found = found.select("__order", "__id", "__label", arrow(pieces, "binary")("__text", F.col("__order").bitwiseAND(F.lit((1 << 62) - 1))).alias("__bytes"))
     rows = sorted(((r["__order"], r["__id"], bytes(r["__bytes"]), r["__label"]) for r in found.limit(2 * most_rows).collect()))
     at = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int64)
     return np.frombuffer(b"".join(r[2] for r in rows), np.uint8), at, np.array([r[3] for r in rows], np.int64)
@@ -236,7 +234,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(scores(held.value, *byte_view(texts)), pa.float64())
-
-    score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    rows = without(docs, "held_out", *OUT).withColumns({"held_out": held_out_of(id_col), "score": F.arrow_udf(score, "double")(F.col(text_col))})
+    rows = without(docs, "held_out", *OUT).withColumns({"held_out": held_out_of(id_col), "score": arrow(score, "double")(F.col(text_col))})
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bloom import filter_bits, holds, possibly, shared_positions, words_of_hash
-from tensorloom.llm.common import byte_view, cut, narrow, released, small_batches, text_of, without
+from tensorloom.llm.common import arrow, byte_view, cut, narrow, released, small_batches, text_of, without
 from tensorloom.llm.words import _powers, mixed
 
 OUT = ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")
@@ -412,9 +412,6 @@ def _removal(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(pieces, pa.int64()), pa.array(digests, pa.string())], ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-_removal.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
-
-
 def kept_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """The bytes that stay, as text; a character of which only a part stays is replaced (U+FFFD)."""
     raw, at = byte_view(texts)
@@ -429,9 +426,6 @@ def kept_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-kept_text.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, spans (binary: 64-bit begin, end pairs) and kept_sha256 of the bytes that stay.
 
@@ -466,5 +460,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = marked.where("__maybe").join(spans, ["__id", "__hash"], "left")
     out = marked.where("NOT __maybe").withColumn("spans", F.lit(None).cast("binary")).unionByName(met)
     out = out.withColumn("spans", F.coalesce("spans", F.lit(b"")))
-    out = out.withColumn("__r", F.arrow_udf(_removal, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")(F.col(text_col), F.col("spans")))
+    out = out.withColumn("__r", arrow(_removal, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")(F.col(text_col), F.col("spans")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUT], "__r.n_bytes", "__r.n_removed", "__r.n_spans", "spans", "__r.kept_sha256")
