@@ -29,7 +29,7 @@ def closeness(found: DataFrame, expected: DataFrame, key: list[str], value: str)
     return rows.agg(
         F.count("*").alias("n"),
         F.max(difference).alias("max_difference"),
-        F.coalesce(F.bool_and(F.coalesce(difference <= ATOL + RTOL * F.abs("b"), F.lit(False))), F.lit(True)).alias("all_close"),
+        F.coalesce(F.bool_and(F.coalesce((difference <= ATOL + RTOL * F.abs("b")) & ~F.isnan(difference), F.lit(False))), F.lit(True)).alias("all_close"),
         F.coalesce(F.bool_and(F.coalesce(finite(F.col("a")) & finite(F.col("b")), F.lit(False))), F.lit(True)).alias("all_finite"),
     )
 

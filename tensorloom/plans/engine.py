@@ -200,7 +200,7 @@ class Engine:
                 raise AlreadyExists(str(target))
             os.rename(stage, target)
             _sync(target.parent)
-        return manifest
+        return strict_json(canonical_json(manifest), MANIFEST)
 
     def _write(self, artifact: Artifact, plan: Plan, perm: DataFrame | None, stage: Path) -> dict[str, str]:
         """Writes what the stage lacks; gives every output tensor's digest."""
@@ -222,7 +222,6 @@ class Engine:
         known = {s.filename for s in plan.shards} | {CONFIG, CHECKPOINT, INDEX, *artifact.sidecars}
         if stray := [p.name for p in stage.iterdir() if p.name not in known and not p.name.endswith(".part")]:
             raise ResumeMismatch(f"files of no plan: {stray}")
-        rows = permuted_rows(padded_rows(read_rows(self.spark, artifact.root), plan), plan, perm) if perm is not None else padded_rows(read_rows(self.spark, artifact.root), plan)
         digests: dict[str, str] = {}
         missing = []
         for shard in plan.shards:
@@ -234,11 +233,17 @@ class Engine:
             if not file.is_file() or file.stat().st_size != len(shard.header) + shard.payload or self._file_digest(file) != done["file"]:
                 raise OutputCorrupted(f"{shard.filename} is not as it was written")
             digests |= done["tensors"]
-        for shard in missing:  # one job a shard, so that each is a point to go on from
-            names = [t.name for t in shard.tensors]
-            part = write_rows(rows.where(F.col("tensor").isin(names)), [shard], str(stage)).collect()
-            stored["shards"][shard.filename] = {"file": self._file_digest(stage / shard.filename), "tensors": {r["tensor"]: r["digest"] for r in part}}
-            digests |= stored["shards"][shard.filename]["tensors"]
+        made_from = {o.output: o.inputs[0] for o in plan.operations}
+        wave = max(1, self.spark.sparkContext.defaultParallelism)
+        for i in range(0, len(missing), wave):  # a job writes a wave of shards side by side; each wave is a point to go on from
+            shards = missing[i : i + wave]
+            rows = padded_rows(read_rows(self.spark, artifact.root, [made_from[t.name] for s in shards for t in s.tensors]), plan)
+            rows = permuted_rows(rows, plan, perm) if perm is not None else rows
+            part = write_rows(rows, shards, str(stage)).collect()  # a row a tensor
+            for shard in shards:
+                found = {r["tensor"]: r["digest"] for r in part if r["filename"] == shard.filename}
+                stored["shards"][shard.filename] = {"file": self._file_digest(stage / shard.filename), "tensors": found}
+                digests |= found
             _store(state, canonical_json(stored))
         if index := index_of(plan.shards):
             (stage / INDEX).write_text(index, encoding="utf-8")
@@ -249,7 +254,7 @@ class Engine:
     def _guard(self, artifact: Artifact, plan: Plan, digests: dict[str, str]) -> None:
         """A permutation that leaves the embedding as it was is an error; the head may be all alike."""
         names = [o.output for o in plan.operations if o.kind == "permute" and o.output != HEAD]
-        before = digests_of(read_rows(self.spark, artifact.root).where(F.col("tensor").isin(names))).collect()
+        before = digests_of(read_rows(self.spark, artifact.root, names)).collect()
         for r in before:
             if digests[r["tensor"]] == r["digest"]:
                 raise InvalidPlan(f"{r['tensor']} is the same after the permutation")

@@ -36,9 +36,8 @@ def safetensors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(f"{st.local(folder)}/{st.INDEX}", "w") as f:
         f.write(st.index_of(shards))
     value = little_endian(F.col("raw"), 4).cast("long")
-    read = st.read_rows(spark, folder)
-    one = read.where("tensor = 'label'").select("row_id", value.alias("label"))
-    return one.join(read.where("tensor = 'other'").select("row_id", value.alias("other")), "row_id")
+    one = st.read_rows(spark, folder, ["label"]).select("row_id", value.alias("label"))
+    return one.join(st.read_rows(spark, folder, ["other"]).select("row_id", value.alias("other")), "row_id")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

@@ -18,7 +18,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tensorloom.errors import InvalidArtifact, InvalidJson, InvalidTensor, PathEscape, UnsupportedDType
 from tensorloom.functions.blake3 import Blake3, blake3
@@ -232,17 +232,10 @@ class RowRange(InputPartition):
 
 
 class SafetensorsReader(DataSourceReader):
-    """Partitions are ranges of rows of RANGE_BYTES at most; tensors that a filter rules out are never opened."""
+    """Partitions are ranges of rows of RANGE_BYTES at most; tensors that are not asked for are never opened."""
 
-    def __init__(self, root: str) -> None:
-        self.root, self.names = root, None
-
-    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("tensor",):
-                self.names = {f.value} if self.names is None else self.names & {f.value}
-            # all filters stay in the plan too: scans that differ in a pushed filter alone would count as one
-            yield f
+    def __init__(self, root: str, names: list[str] | None) -> None:
+        self.root, self.names = root, names
 
     def partitions(self) -> list[RowRange]:
         artifact, out = open_artifact(self.root), []
@@ -269,7 +262,11 @@ class SafetensorsReader(DataSourceReader):
 
 
 class SafetensorsSource(DataSource):
-    """spark.read.format('safetensors').load(folder): the rows of every tensor."""
+    """spark.read.format('safetensors').load(folder): the rows of every tensor, or of those in the option 'tensors' (JSON).
+
+    Tensors are chosen by that option and not by pushed filters: two scans that differ in what was pushed alone are taken
+    for one by the planner, which then reads one of them twice.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -279,17 +276,12 @@ class SafetensorsSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SafetensorsReader:
-        return SafetensorsReader(self.options["path"])
+        return SafetensorsReader(self.options["path"], json.loads(self.options.get("tensors", "null")))
 
 
-def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_rows(spark: SparkSession, path: str, tensors: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(SafetensorsSource)
-
-
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    register(spark)
-    return spark.read.format("safetensors").load(path)
+    return spark.read.format("safetensors").option("tensors", json.dumps(tensors)).load(path)
 
 
 @dataclass(frozen=True)
