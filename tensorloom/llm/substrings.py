@@ -69,7 +69,7 @@ def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     end = np.append(begin[1:], len(anchor))
     keep = whole[begin]
     begin, end = begin[keep], end[keep]
-    return begin, end, h[anchor[begin]]
+    return begin, end, mixed(h[anchor[begin]])  # the least of many hashes are small: mixed, they fill all parts alike
 
 
 def _pieces(at: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
