@@ -9,6 +9,7 @@ import shutil
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tensorloom.functions.blake3 import Blake3, blake3
 from tensorloom.operators import inventory as inv
 from tensorloom.operators.permutation import bijection_report, permute_rows, secret_permutation
 from tensorloom.plans.plan import METHODS, VERSION, Plan, dimensions, make_plan
-from tensorloom.sources.safetensors import CONFIG, HEAD, INDEX, Artifact, canonical_json, index_of, inventory, local, open_artifact, read_rows, strict_json, write_rows
+from tensorloom.sources.safetensors import CONFIG, HEAD, INDEX, Artifact, canonical_json, index_of, inventory, joined, local, open_artifact, read_rows, runs, strict_json, write_rows
 
 MANIFEST, CHECKPOINT, WORK = "tensorloom.json", "checkpoint.json", ".work"
 
@@ -79,12 +80,14 @@ def digests_of(rows: DataFrame) -> DataFrame:
     def digest(batches):
         name, state, size, out = None, Blake3(), 0, []
         for batch in batches:
-            for tensor, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if tensor != name:
+            names = np.asarray(batch.column(0).to_pylist(), object)
+            for a, b in runs(names):
+                if names[a] != name:
                     out += [(name, state.hexdigest(), size)] if name is not None else []
-                    name, state, size = tensor, Blake3(), 0
-                state.update(raw)
-                size += len(raw)
+                    name, state, size = names[a], Blake3(), 0
+                data, _ = joined(batch.column(1).slice(a, b - a))
+                state.update(data)
+                size += len(data)
         out += [(name, state.hexdigest(), size)] if name is not None else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["tensor", "digest", "byte_length"])

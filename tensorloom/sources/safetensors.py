@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -314,6 +315,21 @@ def plan_shards(tensors: list[Tensor], max_shard: int) -> list[Shard]:
     return [Shard(n, tuple(g)) for n, g in zip(names, groups, strict=True)]
 
 
+def runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where rows in a row have the same keys: [a, b)."""
+    if len(keys[0]):
+        new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        first = np.flatnonzero(new)
+        yield from zip(first.tolist(), np.append(first[1:], len(new)).tolist(), strict=True)
+
+
+def joined(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a binary column, one after another, and the offsets of its rows; nothing is copied."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(data or b"")[int(ends[0]) : int(ends[-1])], ends
+
+
 def write_rows(rows: DataFrame, shards: list[Shard], folder: str) -> DataFrame:
     """Writes rows (tensor, row_id, raw) to the shards' files; gives (filename, tensor, digest, byte_length) of what was written.
 
@@ -353,7 +369,9 @@ def write_rows(rows: DataFrame, shards: list[Shard], folder: str) -> DataFrame:
                 state.update(k=state["k"] + 1, row=0, bytes=0, hash=Blake3())
 
         for batch in batches:
-            for shard, k, row_id, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            shards, ks, ids = (np.asarray(batch.column(i)) for i in range(3))
+            for a, b in runs(shards, ks):
+                shard, k = int(shards[a]), int(ks[a])
                 if shard != state["shard"]:
                     close()
                     path = os.path.join(root, f".{plan[shard][0]}.{os.getpid()}.part")
@@ -361,12 +379,13 @@ def write_rows(rows: DataFrame, shards: list[Shard], folder: str) -> DataFrame:
                     state["file"].write(plan[shard][1])
                 finish(k)
                 t = Tensor(**plan[shard][2][k])
-                if row_id != state["row"] or len(raw) != t.row_bytes:
-                    raise InvalidTensor(f"{t.name}: row {row_id} of {len(raw)} bytes in place of row {state['row']}")
-                state["file"].write(raw)
-                state["hash"].update(raw)
-                state["row"] += 1
-                state["bytes"] += len(raw)
+                data, ends = joined(batch.column(3).slice(a, b - a))
+                if (ids[a:b] != np.arange(state["row"], state["row"] + b - a)).any() or (np.diff(ends) != t.row_bytes).any():
+                    raise InvalidTensor(f"{t.name}: rows {ids[a]} to {ids[b - 1]} after row {state['row'] - 1}, or of another length")
+                state["file"].write(data)
+                state["hash"].update(data)
+                state["row"] += b - a
+                state["bytes"] += len(data)
         close()
         if done:
             names = ("filename", "tensor", "digest", "byte_length")
