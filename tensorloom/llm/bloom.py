@@ -29,6 +29,7 @@ def words_of_hex(digests: pa.Array) -> np.ndarray:
     raw, at = byte_view(digests)
     if len(at) < 2:
         return np.zeros((0, 2), np.uint64)
+
     return np.frombuffer(bytes.fromhex(raw.tobytes().decode()), ">u8").reshape(-1, 4)[:, :2].astype(np.uint64)
 
 
@@ -116,4 +117,5 @@ def possibly(keys: DataFrame, hashed: Column) -> Column:
 
     def found(hashes: pa.Array) -> pa.Array:
         return pa.array(test(hashes))
+
     return arrow(found, "boolean")(hashed)

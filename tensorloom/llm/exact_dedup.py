@@ -46,6 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def possibly_repeated(digests: pa.Array) -> pa.Array:
         return pa.array(holds(shared.value, words_of_hex(digests), bits))
+
     rows = rows.withColumn("__maybe", arrow(possibly_repeated, "boolean")(F.col("text_sha256")))
     maybe, single = rows.where("__maybe").drop("__maybe"), rows.where("NOT __maybe").drop("__maybe")
     groups = cut(maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))

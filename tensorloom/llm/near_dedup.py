@@ -110,6 +110,7 @@ def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
 
     def possibly_shared(regions: pa.Array) -> pa.Array:
         return pa.array(holds(shared.value, words_of_hash(regions), bits))
+
     rows = cut(rows.where(arrow(possibly_shared, "boolean")(F.xxhash64("region"))))
     out = wide = None
     for deeper in (*DEPTHS[1:], None):

@@ -9,6 +9,8 @@ holds one Arrow batch at a time.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import arrow, byte_view, small_batches, text_of, without
+from tensorloom.llm.common import arrow, byte_view, released, small_batches, text_of, without
 
 OUT = ("score", "predicted")
 BLOCK, HALF = 4, 16  # bytes of a block; blocks of half a chunk
@@ -168,6 +170,7 @@ def fit_network(raw: np.ndarray, at: np.ndarray, labels: np.ndarray, seed: int =
     net, rng = fresh(seed), np.random.default_rng(seed)
     if not len(labels):
         return net
+
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     net.base[0] = np.log(share / (1 - share))
     first, second, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
@@ -188,9 +191,9 @@ def fit_network(raw: np.ndarray, at: np.ndarray, labels: np.ndarray, seed: int =
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, piece: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets and labels of a bounded sample: most_rows rows at most, the least by a hash of the id, and of
-    each text two pieces of at most `piece` bytes, from places that the hash picks. These bounds are the driver's memory.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, piece: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None) -> DataFrame:
+    """(order, id, label, bytes): a bounded sample of most_rows labels at most, the least by a hash of the id, and of each
+    text two pieces of at most `piece` bytes that follow each other, from a place that the hash picks.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__label in (0, 1)")
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
@@ -208,11 +211,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, piece: i
                 begin = a + mark % (b - a - 2 * piece + 1)
                 out.append(raw[begin : begin + 2 * piece].tobytes())
         return pa.array(out, pa.binary())
+
     found = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     found = found.select("__order", "__id", "__label", arrow(pieces, "binary")("__text", F.col("__order").bitwiseAND(F.lit((1 << 62) - 1))).alias("__bytes"))
-    rows = sorted(((r["__order"], r["__id"], bytes(r["__bytes"]), r["__label"]) for r in found.limit(2 * most_rows).collect()))
-    at = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int64)
-    return np.frombuffer(b"".join(r[2] for r in rows), np.uint8), at, np.array([r[3] for r in rows], np.int64)
+    return found.orderBy("__order", "__id", "__bytes").limit(2 * most_rows)  # ids that documents repeat add to the number
+
+
+def fit_sample(sample: DataFrame, seed: int) -> Network:
+    """The network fitted to a sample, which one task holds; if its executor is lost, another fits the same."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        at = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int64)
+        net = fit_network(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), at, np.array([r[2] for r in rows], np.int64), seed=seed)
+        yield pa.record_batch({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    row = sample.coalesce(1).mapInArrow(released(fit), "net binary").first()
+    return pickle.loads(row["net"]) if row else fresh(seed)
 
 
 def held_out_of(id_col: str) -> Column:
@@ -229,10 +244,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     that of an unfitted network. Equal texts have equal scores. Input columns named like an output column are replaced.
     """
     small_batches(docs.sparkSession)
-    net = fit_network(*labelled_sample(docs, labels, most_rows, piece, id_col, text_col, label_col, held_out_of("__id")), seed=seed)
+    net = fit_sample(labelled_sample(docs, labels, most_rows, piece, id_col, text_col, label_col, held_out_of("__id")), seed)
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(scores(held.value, *byte_view(texts)), pa.float64())
+
     rows = without(docs, "held_out", *OUT).withColumns({"held_out": held_out_of(id_col), "score": arrow(score, "double")(F.col(text_col))})
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))

@@ -53,6 +53,7 @@ def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none.view(np.uint64)
+
     word = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,))
     n = len(raw) - GRAM + 1
     h = word[:n] * _A + (word[8 : 8 + n] ^ (word[8 : 8 + n] >> np.uint64(29))) * _B + (word[16 : 16 + n] ^ (word[16 : 16 + n] >> np.uint64(31))) * _C
