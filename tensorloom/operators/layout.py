@@ -54,6 +54,20 @@ def index_entries(layout: DataFrame) -> DataFrame:
     return layout.join(names, "shard").crossJoin(F.broadcast(total)).select("name", "filename", "total_size")  # one row
 
 
+def headers(layout: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(shard, header, file_bytes): the header text of each shard's file, keys sorted, padded to a multiple of eight bytes."""
+    rows = layout.join(inventory.select("name", "dtype", "shape"), "name")
+    span = F.array("offset", F.col("offset") + F.col("byte_length"))
+    quoted = F.to_json(F.array("name"))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    entry = F.concat(quoted, F.lit(":"), F.to_json(F.struct(span.alias("data_offsets"), "dtype", "shape")))
+    listed = rows.groupBy("shard").agg(F.sum("byte_length").alias("payload"), F.array_sort(F.collect_list(F.struct("name", entry.alias("entry")))).alias("entries"))
+    text = F.concat(F.lit('{"__metadata__":{"format":"pt"}'), F.array_join(F.transform("entries", lambda e: F.concat(F.lit(","), e["entry"])), ""), F.lit("}"))
+    size = F.octet_length("text")
+    padded = listed.withColumn("text", text).withColumn("header", F.concat("text", F.repeat(F.lit(" "), F.pmod(-size, F.lit(8)))))
+    return padded.select("shard", "header", (8 + F.octet_length("header") + F.col("payload")).cast("long").alias("file_bytes"))
+
+
 def overlaps(layout: DataFrame) -> DataFrame:
     """(shard, name, next_name) where a tensor goes over the place of the next of its shard."""
     after = Window.partitionBy("shard").orderBy("offset", F.col("offset") + F.col("byte_length"), "name")

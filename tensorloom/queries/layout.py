@@ -94,3 +94,11 @@ def repack(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = op.next_fit(inventory, MAX_SHARD).select("name", "byte_length", F.col("shard").alias("from_shard"), F.col("offset").alias("from_offset"))
     b = op.next_fit(inventory, 1 << 60).select("name", F.col("shard").alias("to_shard"), F.col("offset").alias("to_offset"))
     return a.join(b, "name")
+
+
+@query(f"""WITH RECURSIVE {_LAYOUT}, e AS (SELECT shard, name, byte_length, '"' || name || '":{{"data_offsets":[' || "offset" || ',' || ("offset" + byte_length) || '],"dtype":"' || dtype || '","shape":[' || array_to_string(shape, ',') || ']}}' AS entry
+        FROM lay JOIN (SELECT name, dtype, shape FROM inv) USING (name)),
+    t AS (SELECT shard, sum(byte_length) AS payload, '{{"__metadata__":{{"format":"pt"}}' || string_agg(',' || entry, '' ORDER BY encode(name)) || '}}' AS text FROM e GROUP BY shard)
+    SELECT shard, text || repeat(' ', CAST((8 - strlen(text) % 8) % 8 AS INTEGER)) AS header, CAST(8 + strlen(text) + (8 - strlen(text) % 8) % 8 + payload AS BIGINT) AS file_bytes FROM t""")
+def shard_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.headers(_layout(spark, sf_dir), tensors(spark, sf_dir))

@@ -246,3 +246,22 @@ def test_index_must_agree(tmp_path):
     write_file(folder / st.SINGLE, model_tensors())
     with pytest.raises(InvalidArtifact):
         st.open_artifact(str(folder))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tensorloom.__main__ import main
+
+    source = str(write_model(tmp_path / "m"))
+    assert main(["inspect", source]) == 0
+    assert json.loads(capsys.readouterr().out)["tensor_count"] == 11
+    assert main(["plan", source, "--identity", "--max-shard-size", "16 B"]) == 0
+    assert json.loads(capsys.readouterr().out)["operations"] == 11
+    assert main(["plan", source, "--method", "token-permutation"]) == 1
+    assert main(["transform", source, "--method", "token-permutation", "--output", str(tmp_path / "o")]) == 1
+    assert main(["transform", source, "--method", "token-permutation", "--output", str(tmp_path / "o"), "--secret-output", str(tmp_path / "s")]) == 0
+    capsys.readouterr()
+    assert main(["verify", str(tmp_path / "o")]) == 0
+    assert json.loads(capsys.readouterr().out)["scope"] == "current"
+    for bad in (["plan", source, "--identity", "--memory-limit", "3kib"], ["plan", source], ["plan", source, "--identity", "--method", "identity"]):
+        with pytest.raises(SystemExit):
+            main(bad)
