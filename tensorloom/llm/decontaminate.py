@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import arrow, byte_view, released, small_batches
+from tensorloom.llm.words import pieces_of
 
 Q = 8  # bytes of a q-gram: one 64-bit word, so that q-grams are compared as they are
 WINDOW, STRIDE, LEAST = 96, 48, 32  # bytes of a window and between windows; shorter items are no evidence
 RATE = 0.08  # edits for each byte of a window
 BAND = 8  # diagonals from one band to the next; a band is twice as wide, so any BAND in a row are in one
-PIECE = 1 << 20  # bytes of text that are looked through at once
+PIECE = 1 << 19  # bytes of text that are looked through at once
 BLOCK_BYTES = 1 << 20  # bytes of benchmark items that are broadcast at once
 _MAP_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -155,8 +156,15 @@ def align(w: Windows, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, window:
 def leaks(w: Windows, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, windows found, edits of the best, begin, end) for each row and item that share a window.
 
-    begin and end are bytes of the row's normalised text. Long rows are looked through in pieces that overlap.
+    begin and end are bytes of the row's normalised text. Rows are looked through about PIECE bytes at a time.
     """
+    if not len(texts):
+        return []
+    return [(a + hit[0], *hit[1:]) for a, b in pieces_of(byte_view(texts)[1], PIECE) for hit in _leaks(w, texts.slice(a, b - a))]
+
+
+def _leaks(w: Windows, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
+    """As leaks(), all rows at once; long rows in pieces that overlap."""
     raw, at = normalised(texts)
     overlap = 4 * WINDOW
     pieces = []  # (row, begin, end) in raw

@@ -35,7 +35,8 @@ def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def count_words(texts: pa.Array) -> pa.Array:
     """Words of each text; null counts as empty."""
     raw, at = byte_view(texts)
-    return pa.array(np.diff(word_bounds(raw, at)[2]), pa.int64())
+    counts = [np.diff(word_bounds(raw[at[a] : at[b]], at[a : b + 1] - at[a])[2]) for a, b in pieces_of(at)]
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
