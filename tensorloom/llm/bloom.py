@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tensorloom.llm.common import arrow, byte_view, released
 from tensorloom.llm.words import mixed
