@@ -47,8 +47,8 @@ def greedy(prompts: DataFrame, matrix: DataFrame, perm: DataFrame, eos: list[int
     matrix = matrix.join(perm, F.col("token") == F.col("obf")).select("token", "w", "orig")
     state = prompts.select("prompt", "last", F.array().cast("array<bigint>").alias("tokens"), F.lit(False).alias("done"))
     for _ in range(steps):
-        asked = state.join(perm, F.col("last") == F.col("orig")).select("prompt", "last", "tokens", "done", F.col("obf").alias("__t"))
-        asked = asked.join(matrix.select("token", F.col("w").alias("q")), F.col("__t") == F.col("token")).drop("token", "__t")
+        # the row of the encoded token, found by the original one that `matrix` has beside it
+        asked = state.join(matrix.select(F.col("orig").alias("__t"), F.col("w").alias("q")), F.col("last") == F.col("__t")).drop("__t")
         logits = matrix.crossJoin(F.broadcast(asked)).select("prompt", "last", "tokens", "done", "orig", product.alias("logit"))
         best = logits.groupBy("prompt", "last", "tokens", "done").agg(F.min_by("orig", F.struct(-F.col("logit"), "orig")).alias("__t"))
         state = best.select(
