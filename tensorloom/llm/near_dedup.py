@@ -5,8 +5,8 @@ own rotation of the MinHash signature. Classes that share a prefix of DEPTHS[0]
 of more than REGION classes is split by deeper prefixes, each to its own depth. Candidates are a class and the head of its
 region, and its nearest neighbours in the order, which are those with the longest common prefixes. Links count only when the
 whole sets confirm them: first that of each class with its most similar head, then those candidates that are still in
-different components, at last those of split regions that their region's largest component doesn't hold, with all of it,
-block by block.
+different components, then all pairs of a region that are still in different components, at last those of split regions
+that their region's largest component doesn't hold, with all of it, block by block.
 So a group of copies costs about one comparison a copy, and no pairs within groups are listed.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ TREES, DEPTHS = 20, (3, 6, 9, 15)  # orders; prefix lengths that a region may ha
 VALUES = TREES * DEPTHS[0]  # of a signature
 REGION, NEAR, BLOCK = 64, 8, 64  # classes of a region that is not split; neighbours on either side; classes that are compared at once
 SLACK = 0.2  # an estimate so far below the threshold (four standard errors) rules a candidate out
+MISS = 1e-7  # chance that least_agreeing rules a pair of the threshold's similarity out
 _MULTIPLIERS = mixed(np.arange(101, 101 + VALUES, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 1 << 15  # shingles that are hashed at once, to stay in the processor's cache
 
@@ -84,6 +86,15 @@ def agreement(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((a == b).mean(axis=1), pa.float64())
 
 
+def least_agreeing(percent: int) -> int:
+    """Equal signature values that a pair of percent / 100 similarity has, but for a chance of MISS at most."""
+    share, k, chance = percent / 100, -1, 0.0
+    while chance <= MISS:
+        k += 1
+        chance += comb(VALUES, k) * share**k * (1 - share) ** (VALUES - k)
+    return k
+
+
 def common_shingles(left: pa.Array, right: pa.Array) -> pa.Array:
     """Shingles that two sets share, the sets being sorted hashes without repeats."""
     (a, a_at), (b, b_at) = byte_view(left), byte_view(right)
@@ -99,7 +110,7 @@ def common_shingles(left: pa.Array, right: pa.Array) -> pa.Array:
 def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     """Every class in each of its regions of two or more (region, id, head, rest, __n), rest being the order within.
 
-    Also those in regions that were split (region, id), before the split.
+    Also those of regions of more than NEAR + 1 classes (region, tree, id, __n), before any split: in smaller ones all are neighbours.
     """
     rows = classes.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     prefix = lambda depth: F.expr(f"substring(concat(signature, signature), {4 * DEPTHS[0]} * tree + 1, {4 * depth})")
@@ -119,7 +130,7 @@ def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
         small = known if deeper is None else known.where(F.col("__n") <= REGION)
         out = small if out is None else out.unionByName(small)
         large = known.where(F.col("__n") > REGION)
-        wide = large.select("region", "id") if wide is None else wide
+        wide = known.where(F.col("__n") > NEAR + 1).select("region", "tree", "id", "__n") if wide is None else wide
         if deeper is None or large.isEmpty():
             return out, wide
         rows = large.select("id", F.hex(F.xxhash64("tree", F.expr(f"substring(rest, 1, {4 * deeper})"))).alias("region"), "tree", "rest")
@@ -185,6 +196,65 @@ def common_matrix(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
+def _apart(regions: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int, least: int) -> DataFrame:
+    """(block, mine, theirs): ids of a region between which there are pairs of different components with `least` equal values.
+
+    All classes that a region's largest component doesn't hold meet all classes of the region, BLOCK by BLOCK. No pairs are
+    listed: a pair of blocks gives those of its ids that are in any such pair.
+    """
+    kind = marks.schema["id"].dataType.simpleString()
+    rows = regions.join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("region", "tree", "id", F.coalesce("label", "id").alias("label"))
+    sizes = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("region").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("__n")).where("most < __n")
+    rows = join_facts(rows, facts, "region", "__n", ["id"], n_rows * TREES).where("main IS NOT NULL").withColumn("stray", F.col("label") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK)).cast("int")
+    rows = rows.withColumns({"n_m": F.ceil(F.col("__n") / BLOCK).cast("int"), "m": place(F.col("__n")), "s": place(F.col("__n") - F.col("most"))})
+    rows = cut(narrow(rows.join(marks, "id").select("region", "tree", "id", "label", "stray", "n_m", "m", "s", "signature"), n_rows))
+    held = F.collect_list(F.struct("id", "label", "stray", "signature"))
+    many = rows.groupBy("region", "m").agg(held.alias("theirs"))
+    few = rows.where("stray").groupBy("region", "tree", "n_m", "s").agg(held.alias("mine"))
+    few = few.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = mine.as_py(), theirs.as_py()
+                x, y = (np.frombuffer(b"".join(r["signature"] for r in some), np.uint32).reshape(-1, VALUES) for some in (a, b))
+                wanted = (x[:, None] == y).sum(axis=2) >= least
+                wanted &= np.array([r["label"] for r in a])[:, None] != np.array([r["label"] for r in b])
+                # two strays meet twice
+                wanted &= (np.array([r["id"] for r in a])[:, None] < np.array([r["id"] for r in b])) | ~np.array([r["stray"] for r in b])
+                if wanted.any():
+                    yield pa.RecordBatch.from_pylist([{"mine": [a[i]["id"] for i in np.flatnonzero(wanted.any(axis=1))], "theirs": [b[j]["id"] for j in np.flatnonzero(wanted.any(axis=0))]}])
+
+    found = few.join(many, ["region", "m"]).select("mine", "theirs").mapInArrow(released(likely), f"mine array<{kind}>, theirs array<{kind}>")
+    return cut(found.select(F.monotonically_increasing_id().alias("block"), "mine", "theirs"))
+
+
+def _linked_blocks(blocks: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of blocks (block, mine, theirs) of ids, found by comparing whole sets."""
+    kind = blocks.schema["mine"].dataType.elementType.simpleString()
+    sides = [blocks.select("block", F.explode(side).alias("id"), F.lit(side).alias("side")) for side in ("mine", "theirs")]
+    rows = sides[0].unionByName(sides[1])
+    rows = rows.join(_sets(rows.select("id").distinct(), docs, width), "id")
+    held = [F.collect_list(F.when(F.col("side") == side, F.struct("id", "set"))).alias(side) for side in ("mine", "theirs")]
+    return cut(rows.groupBy("block").agg(*held).select("mine", "theirs").mapInArrow(released(_compared(percent)), f"a {kind}, b {kind}"))
+
+
+def _compared(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = mine.as_py(), theirs.as_py()
+                both = common_matrix([x["set"] for x in a], [x["set"] for x in b])
+                sizes = np.array([len(x["set"]) // 8 for x in a])[:, None] + np.array([len(x["set"]) // 8 for x in b])
+                for i, j in np.argwhere(100 * both >= percent * (sizes - both)).tolist():
+                    low, high = sorted((a[i]["id"], b[j]["id"]))
+                    yield pa.RecordBatch.from_pylist([{"a": low, "b": high}])
+
+    return compare
+
+
 def _linked_strays(strays: DataFrame, label: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of strays (id, label) with any member of the component, found by comparing whole sets block by block.
 
@@ -202,18 +272,8 @@ def _linked_strays(strays: DataFrame, label: DataFrame, docs: DataFrame, width:
     few, _ = blocks(strays, "s", "mine")
     few = few.join(n_many, "label").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = mine.as_py(), theirs.as_py()
-                both = common_matrix([x["set"] for x in a], [x["set"] for x in b])
-                sizes = np.array([len(x["set"]) // 8 for x in a])[:, None] + np.array([len(x["set"]) // 8 for x in b])
-                for i, j in np.argwhere(100 * both >= percent * (sizes - both)).tolist():
-                    low, high = sorted((a[i]["id"], b[j]["id"]))
-                    yield pa.RecordBatch.from_pylist([{"a": low, "b": high}])
-
     kind = label.schema["node"].dataType.simpleString()
-    return cut(few.join(many, ["label", "m"]).select("mine", "theirs").mapInArrow(released(compare), f"a {kind}, b {kind}"))
+    return cut(few.join(many, ["label", "m"]).select("mine", "theirs").mapInArrow(released(_compared(percent)), f"a {kind}, b {kind}"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +321,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, slim, width, percent))
         label = components(links)
-    strays = _strays(wide, label, marks, n_rows, 2 * percent / 100 - 1 - SLACK)
+    blocks = _apart(wide.where(F.col("__n") <= REGION), label, marks, n_rows, least_agreeing(percent))
+    if not blocks.isEmpty():
+        links = links.unionByName(_linked_blocks(blocks, slim, width, percent))
+        label = components(links)
+    strays = _strays(wide.where(F.col("__n") > REGION).select("region", "id"), label, marks, n_rows, 2 * percent / 100 - 1 - SLACK)
     if not strays.isEmpty():
         label = components(links.unionByName(_linked_strays(strays, label, slim, width, percent)))
 

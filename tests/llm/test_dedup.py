@@ -67,6 +67,31 @@ def test_near_in_one_large_group(spark):
     assert found == brute.near_groups(texts, 4, 80)
 
 
+def star(copies, seed, length=143, edits=3):
+    """A text and copies of it that are 0.80 similar to it in five-word shingles, and less to each other."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(length)]
+    out = []
+    for _ in range(copies):
+        text = list(base)
+        for k in rng.sample(range(4, length - 4, 5), edits):
+            text[k] = word()
+        out.append(" ".join(text))
+    return " ".join(base), out
+
+
+def test_near_in_stars_of_unsplit_regions(spark):
+    """Copies with their only link to one text that isn't the first: no neighbour in order, and no region so large that it is split."""
+    texts = {}
+    for k in range(8):
+        middle, copies = star(60 + 5 * k, 40 + k)
+        texts |= {1000 * k + i: t for i, t in enumerate([*copies[:30], middle, *copies[30:]])}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(frame, 5, 80).collect()}
+    assert found == brute.near_groups(texts, 5, 80)
+
+
 def test_near_on_odd_tables(spark, empty):
     assert near_groups(empty).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "A B c d e f", 3), (None, "a b c d e f", 4), (None, None, 5), (3, None, 6), (4, "", 7)], "doc_id bigint, text string, component_id int")
