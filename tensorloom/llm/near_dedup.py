@@ -5,8 +5,8 @@ own rotation of the MinHash signature. Classes that share a prefix of DEPTHS[0]
 of more than REGION classes is split by deeper prefixes, each to its own depth. Candidates are a class and the head of its
 region, and its nearest neighbours in the order, which are those with the longest common prefixes. Links count only when the
 whole sets confirm them: first that of each class with its most similar head, then those candidates that are still in
-different components, then all pairs of a region that are still in different components, at last those of split regions
-that their region's largest component doesn't hold, with all of it, block by block.
+different components, at last all pairs of a region (before any split) that are still in different components, block by
+block.
 So a group of copies costs about one comparison a copy, and no pairs within groups are listed.
 """
 
@@ -137,22 +137,6 @@ def _regions(classes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     return out, wide
 
 
-def _strays(wide: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int, least: float) -> DataFrame:
-    """(id, label): members of a region that was split, which its largest component doesn't hold, with that component.
-
-    In such a region a class may have its only link to one of thousands, which no neighbourhood in an order finds. Left out
-    are those that are likely less than `least` similar to the component's head: too far for a neighbour in common.
-    """
-    rows = wide.join(label, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("label"))
-    sizes = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("__n")).where("most > 1")
-    stray = join_facts(rows, main.select("region", "main", "__n"), "region", "__n", ["id"], n_rows * TREES).where("main IS NOT NULL AND label <> main")
-    stray = stray.select("id", F.col("main").alias("label")).distinct()
-    mine, its = (marks.select(F.col("id").alias(k), F.col("signature").alias(s)) for k, s in (("id", "__left"), ("label", "__right")))
-    stray = stray.join(mine, "id").join(its, "label").withColumn("__near", arrow(agreement, "double")("__left", "__right"))
-    return cut(narrow(stray.where(F.col("__near") >= least).select("id", "label"), n_rows))
-
-
 def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, set) for a table of distinct ids: the sorted hashes of their shingles. Only texts that are named are read again."""
     ids = cut(ids)
@@ -199,8 +183,9 @@ def common_matrix(left: list[bytes], right: list[bytes]) -> np.ndarray:
 def _apart(regions: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int, least: int) -> DataFrame:
     """(block, mine, theirs): ids of a region between which there are pairs of different components with `least` equal values.
 
-    All classes that a region's largest component doesn't hold meet all classes of the region, BLOCK by BLOCK. No pairs are
-    listed: a pair of blocks gives those of its ids that are in any such pair.
+    All classes that a region's largest component doesn't hold meet all classes of the region, BLOCK by BLOCK. A pair counts
+    in the first order only in which it shares a region. No pairs are listed: a pair of blocks gives those of its ids that
+    are in any such pair.
     """
     kind = marks.schema["id"].dataType.simpleString()
     rows = regions.join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("region", "tree", "id", F.coalesce("label", "id").alias("label"))
@@ -217,17 +202,19 @@ def _apart(regions: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int,
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
+            for tree, mine, theirs in zip(*batch.columns, strict=True):
                 a, b = mine.as_py(), theirs.as_py()
                 x, y = (np.frombuffer(b"".join(r["signature"] for r in some), np.uint32).reshape(-1, VALUES) for some in (a, b))
-                wanted = (x[:, None] == y).sum(axis=2) >= least
+                equal = x[:, None] == y
+                wanted = equal.sum(axis=2) >= least
+                wanted &= equal.reshape(len(a), len(b), TREES, DEPTHS[0]).all(axis=3).argmax(axis=2) == tree.as_py()
                 wanted &= np.array([r["label"] for r in a])[:, None] != np.array([r["label"] for r in b])
                 # two strays meet twice
                 wanted &= (np.array([r["id"] for r in a])[:, None] < np.array([r["id"] for r in b])) | ~np.array([r["stray"] for r in b])
                 if wanted.any():
                     yield pa.RecordBatch.from_pylist([{"mine": [a[i]["id"] for i in np.flatnonzero(wanted.any(axis=1))], "theirs": [b[j]["id"] for j in np.flatnonzero(wanted.any(axis=0))]}])
 
-    found = few.join(many, ["region", "m"]).select("mine", "theirs").mapInArrow(released(likely), f"mine array<{kind}>, theirs array<{kind}>")
+    found = few.join(many, ["region", "m"]).select("tree", "mine", "theirs").mapInArrow(released(likely), f"mine array<{kind}>, theirs array<{kind}>")
     return cut(found.select(F.monotonically_increasing_id().alias("block"), "mine", "theirs"))
 
 
@@ -238,10 +225,7 @@ def _linked_blocks(blocks: DataFrame, docs: DataFrame, width: int, percent: int)
     rows = sides[0].unionByName(sides[1])
     rows = rows.join(_sets(rows.select("id").distinct(), docs, width), "id")
     held = [F.collect_list(F.when(F.col("side") == side, F.struct("id", "set"))).alias(side) for side in ("mine", "theirs")]
-    return cut(rows.groupBy("block").agg(*held).select("mine", "theirs").mapInArrow(released(_compared(percent)), f"a {kind}, b {kind}"))
 
-
-def _compared(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
@@ -252,28 +236,7 @@ def _compared(percent: int):
                     low, high = sorted((a[i]["id"], b[j]["id"]))
                     yield pa.RecordBatch.from_pylist([{"a": low, "b": high}])
 
-    return compare
-
-
-def _linked_strays(strays: DataFrame, label: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of strays (id, label) with any member of the component, found by comparing whole sets block by block.
-
-    Of a component of m members and its n strays, (m / BLOCK) * (n / BLOCK) pairs of blocks are made, not m * n pairs.
-    """
-    members = label.join(strays.select("label").distinct(), "label", "left_semi").select(F.col("node").alias("id"), "label")
-    sets = _sets(strays.select("id").unionByName(members.select("id")).distinct(), docs, width)
-
-    def blocks(rows: DataFrame, block: str, held: str) -> tuple[DataFrame, DataFrame]:
-        count = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{block}"))
-        placed = rows.join(count, "label").withColumn(block, F.pmod(F.xxhash64("id"), F.col(f"n_{block}")).cast("int"))
-        return placed.join(sets, "id").groupBy("label", block).agg(F.collect_list(F.struct("id", "set")).alias(held)), count
-
-    many, n_many = blocks(members, "m", "theirs")
-    few, _ = blocks(strays, "s", "mine")
-    few = few.join(n_many, "label").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
-
-    kind = label.schema["node"].dataType.simpleString()
-    return cut(few.join(many, ["label", "m"]).select("mine", "theirs").mapInArrow(released(_compared(percent)), f"a {kind}, b {kind}"))
+    return cut(rows.groupBy("block").agg(*held).select("mine", "theirs").mapInArrow(released(compare), f"a {kind}, b {kind}"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +245,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Words are as in `words`, after lower-casing A-Z. A row's set is its distinct `width`-word shingles; with fewer words,
     its whole sequence; without words, empty, and then it is linked with nothing. Rows are linked when 100 * intersection
     >= percent * union. Links are confirmed on whole sets; a pair of similarity s has a chance of 1 - (1 - s**3)**20 to be
-    a candidate (above 0.999999 at 0.8) in regions that need no split. Rows that share an id are taken as one document in
+    a candidate (above 0.999999 at 0.8), however large its region is. Rows that share an id are taken as one document in
     links, and each is kept if the id is. A row without an id is linked like its class but never makes a component of
     its own (component_id null, kept). An empty table gives none.
     """
@@ -321,13 +284,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, slim, width, percent))
         label = components(links)
-    blocks = _apart(wide.where(F.col("__n") <= REGION), label, marks, n_rows, least_agreeing(percent))
+    blocks = _apart(wide, label, marks, n_rows, least_agreeing(percent))
     if not blocks.isEmpty():
-        links = links.unionByName(_linked_blocks(blocks, slim, width, percent))
-        label = components(links)
-    strays = _strays(wide.where(F.col("__n") > REGION).select("region", "id"), label, marks, n_rows, 2 * percent / 100 - 1 - SLACK)
-    if not strays.isEmpty():
-        label = components(links.unionByName(_linked_strays(strays, label, slim, width, percent)))
+        label = components(links.unionByName(_linked_blocks(blocks, slim, width, percent)))
 
     found = classes.join(label.select(F.col("node").alias("id"), F.col("label").alias("__label")), "id", "left").where("__n > 1 OR __label IS NOT NULL")
     facts = found.select("set_key", F.coalesce("__label", "id").alias("component_id"), "__n")

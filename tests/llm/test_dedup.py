@@ -92,6 +92,22 @@ def test_near_in_stars_of_unsplit_regions(spark):
     assert found == brute.near_groups(texts, 5, 80)
 
 
+def test_near_with_a_chain_below_a_star(spark):
+    """Copies of one text that a chain of versions leads away from, to the smallest id, which is like none of the copies."""
+    rng = random.Random(3)
+    middle, copies = star(300, 50)
+    chain = [middle.split()]
+    for step in range(6):
+        text = list(chain[-1])
+        for k in range(6 + 20 * step, 6 + 20 * step + 15, 5):
+            text[k] = f"v{rng.randrange(10**9)}"
+        chain.append(text)
+    texts = dict(enumerate([" ".join(t) for t in reversed(chain)] + copies))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(frame, 5, 80).collect()}
+    assert found == brute.near_groups(texts, 5, 80)
+
+
 def test_near_on_odd_tables(spark, empty):
     assert near_groups(empty).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "A B c d e f", 3), (None, "a b c d e f", 4), (None, None, 5), (3, None, 6), (4, "", 7)], "doc_id bigint, text string, component_id int")
