@@ -30,7 +30,6 @@ from tensorloom.llm.words import mixed, pieces_of, shingle_sets
 TREES, DEPTHS = 20, (3, 6, 9, 15)  # orders; prefix lengths that a region may have
 VALUES = TREES * DEPTHS[0]  # of a signature
 REGION, NEAR, BLOCK = 64, 8, 64  # classes of a region that is not split; neighbours on either side; classes that are compared at once
-SLACK = 0.2  # an estimate so far below the threshold (four standard errors) rules a candidate out
 MISS = 1e-7  # chance that least_agreeing rules a pair of the threshold's similarity out
 _MULTIPLIERS = mixed(np.arange(101, 101 + VALUES, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 1 << 15  # shingles that are hashed at once, to stay in the processor's cache
@@ -81,9 +80,9 @@ def _sketches(width: int):
 
 
 def agreement(left: pa.Array, right: pa.Array) -> pa.Array:
-    """The share of equal signature values: an estimate of the similarity."""
+    """Equal signature values, of VALUES."""
     a, b = (np.frombuffer(byte_view(x)[0], np.uint32).reshape(-1, VALUES) for x in (left, right))
-    return pa.array((a == b).mean(axis=1), pa.float64())
+    return pa.array((a == b).sum(axis=1), pa.int64())
 
 
 def least_agreeing(percent: int) -> int:
@@ -245,7 +244,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Words are as in `words`, after lower-casing A-Z. A row's set is its distinct `width`-word shingles; with fewer words,
     its whole sequence; without words, empty, and then it is linked with nothing. Rows are linked when 100 * intersection
     >= percent * union. Links are confirmed on whole sets; a pair of similarity s has a chance of 1 - (1 - s**3)**20 to be
-    a candidate (above 0.999999 at 0.8), however large its region is. Rows that share an id are taken as one document in
+    a candidate, however large its region is, and one of `percent` is ruled out by its signature with a chance of MISS at most
+    (both together lose less than one in a million at 0.8). Rows that share an id are taken as one document in
     links, and each is kept if the id is. A row without an id is linked like its class but never makes a component of
     its own (component_id null, kept). An empty table gives none.
     """
@@ -267,11 +267,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     heads = members.where(F.col("id") != F.col("head")).select("id", F.col("head").alias("other"))
     pairs = near.unionByName(heads).where("other IS NOT NULL AND other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     marks = classes.select("id", "signature")
+    least = least_agreeing(percent)
 
     def likely(some: DataFrame) -> DataFrame:
         met = some.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("__left")), "a").join(marks.select(F.col("id").alias("b"), F.col("signature").alias("__right")), "b")
-        met = met.withColumn("likely", arrow(agreement, "double")("__left", "__right")).select("a", "b", "likely")
-        return cut(narrow(met.where(F.col("likely") >= percent / 100 - SLACK), n_rows))
+        met = met.withColumn("likely", arrow(agreement, "bigint")("__left", "__right")).select("a", "b", "likely")
+        return cut(narrow(met.where(F.col("likely") >= least), n_rows))
 
     pairs = likely(pairs)
     best = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("likely"), F.col("a"))).alias("a")).select("a", "b")
@@ -284,7 +285,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, slim, width, percent))
         label = components(links)
-    blocks = _apart(wide, label, marks, n_rows, least_agreeing(percent))
+    blocks = _apart(wide, label, marks, n_rows, least)
     if not blocks.isEmpty():
         label = components(links.unionByName(_linked_blocks(blocks, slim, width, percent)))
 

@@ -108,6 +108,20 @@ def test_near_with_a_chain_below_a_star(spark):
     assert found == brute.near_groups(texts, 5, 80)
 
 
+def test_near_with_few_equal_signature_values(spark):
+    """Pairs of similarity 0.8 of whose 60 signature values 36 or 35 are equal, which happens once in thousands."""
+    found_in = {3: [2483], 4: [930, 1178]}
+    texts = {}
+    for seed, places in found_in.items():
+        middle, copies = star(4000, seed, 139)
+        texts |= {100 * seed + i: t for i, t in enumerate([middle, *[copies[k] for k in places]])}
+    assert len(texts) == 5
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(frame, 5, 80).collect()}
+    assert found == brute.near_groups(texts, 5, 80)
+    assert [r[1] for _, r in sorted(found.items())] == [300, 300, 400, 400, 400]
+
+
 def test_near_on_odd_tables(spark, empty):
     assert near_groups(empty).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "A B c d e f", 3), (None, "a b c d e f", 4), (None, None, 5), (3, None, 6), (4, "", 7)], "doc_id bigint, text string, component_id int")
