@@ -180,28 +180,29 @@ def common_matrix(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 
 def _apart(regions: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int, least: int) -> DataFrame:
-    """(block, mine, theirs): ids of a region between which there are pairs of different components with `least` equal values.
+    """(label, mine, theirs): ids of regions between which there are pairs of different components with `least` equal values.
 
     All classes that a region's largest component doesn't hold meet all classes of the region, BLOCK by BLOCK. A pair counts
-    in the first order only in which it shares a region. No pairs are listed: a pair of blocks gives those of its ids that
-    are in any such pair.
+    in the first order only in which it shares a region. No pairs are listed, but the ids that are in any, under the label of
+    their region's largest component; a task gives them once.
     """
     kind = marks.schema["id"].dataType.simpleString()
     rows = regions.join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("region", "tree", "id", F.coalesce("label", "id").alias("label"))
     sizes = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
-    facts = sizes.groupBy("region").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("__n")).where("most < __n")
+    facts = sizes.groupBy("region").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("__n")).where("most < __n")
     rows = join_facts(rows, facts, "region", "__n", ["id"], n_rows * TREES).where("main IS NOT NULL").withColumn("stray", F.col("label") != F.col("main"))
     place = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK)).cast("int")
     rows = rows.withColumns({"n_m": F.ceil(F.col("__n") / BLOCK).cast("int"), "m": place(F.col("__n")), "s": place(F.col("__n") - F.col("most"))})
-    rows = cut(narrow(rows.join(marks, "id").select("region", "tree", "id", "label", "stray", "n_m", "m", "s", "signature"), n_rows))
+    rows = cut(narrow(rows.join(marks, "id").select("region", "tree", "id", "label", "main", "stray", "n_m", "m", "s", "signature"), n_rows))
     held = F.collect_list(F.struct("id", "label", "stray", "signature"))
     many = rows.groupBy("region", "m").agg(held.alias("theirs"))
-    few = rows.where("stray").groupBy("region", "tree", "n_m", "s").agg(held.alias("mine"))
+    few = rows.where("stray").groupBy("region", "tree", "main", "n_m", "s").agg(held.alias("mine"))
     few = few.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
         for batch in batches:
-            for tree, mine, theirs in zip(*batch.columns, strict=True):
+            for main, tree, mine, theirs in zip(*batch.columns, strict=True):
                 a, b = mine.as_py(), theirs.as_py()
                 x, y = (np.frombuffer(b"".join(r["signature"] for r in some), np.uint32).reshape(-1, VALUES) for some in (a, b))
                 equal = x[:, None] == y
@@ -211,19 +212,34 @@ def _apart(regions: DataFrame, label: DataFrame, marks: DataFrame, n_rows: int,
                 # two strays meet twice
                 wanted &= (np.array([r["id"] for r in a])[:, None] < np.array([r["id"] for r in b])) | ~np.array([r["stray"] for r in b])
                 if wanted.any():
-                    yield pa.RecordBatch.from_pylist([{"mine": [a[i]["id"] for i in np.flatnonzero(wanted.any(axis=1))], "theirs": [b[j]["id"] for j in np.flatnonzero(wanted.any(axis=0))]}])
+                    some = found.setdefault(main.as_py(), (set(), set()))
+                    some[0].update(a[i]["id"] for i in np.flatnonzero(wanted.any(axis=1)))
+                    some[1].update(b[j]["id"] for j in np.flatnonzero(wanted.any(axis=0)))
+        for main, (left, right) in found.items():
+            yield pa.RecordBatch.from_pylist([{"label": main, "mine": sorted(left), "theirs": sorted(right)}])
 
-    found = few.join(many, ["region", "m"]).select("tree", "mine", "theirs").mapInArrow(released(likely), f"mine array<{kind}>, theirs array<{kind}>")
-    return cut(found.select(F.monotonically_increasing_id().alias("block"), "mine", "theirs"))
+    pairs = few.join(many, ["region", "m"]).select("main", "tree", "mine", "theirs")
+    return cut(pairs.mapInArrow(released(likely), f"label {kind}, mine array<{kind}>, theirs array<{kind}>"))
 
 
-def _linked_blocks(blocks: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of blocks (block, mine, theirs) of ids, found by comparing whole sets."""
-    kind = blocks.schema["mine"].dataType.elementType.simpleString()
-    sides = [blocks.select("block", F.explode(side).alias("id"), F.lit(side).alias("side")) for side in ("mine", "theirs")]
-    rows = sides[0].unionByName(sides[1])
-    rows = rows.join(_sets(rows.select("id").distinct(), docs, width), "id")
-    held = [F.collect_list(F.when(F.col("side") == side, F.struct("id", "set"))).alias(side) for side in ("mine", "theirs")]
+def _linked_apart(apart: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between `mine` and `theirs` of a label, found by comparing whole sets block by block.
+
+    Of m and n ids, (m / BLOCK) * (n / BLOCK) pairs of blocks are made, not m * n pairs; a pair of blocks gives as many links
+    as join what they hold.
+    """
+    kind = apart.schema["label"].dataType.simpleString()
+    few, many = (cut(apart.select("label", F.explode(side).alias("id")).distinct()) for side in ("mine", "theirs"))
+    sets = _sets(few.select("id").unionByName(many.select("id")).distinct(), docs, width)
+
+    def blocks(rows: DataFrame, block: str, held: str) -> tuple[DataFrame, DataFrame]:
+        count = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{block}"))
+        placed = rows.join(count, "label").withColumn(block, F.pmod(F.xxhash64("id"), F.col(f"n_{block}")).cast("int"))
+        return placed.join(sets, "id").groupBy("label", block).agg(F.collect_list(F.struct("id", "set")).alias(held)), count
+
+    many, n_many = blocks(many, "m", "theirs")
+    few, _ = blocks(few, "s", "mine")
+    few = few.join(n_many, "label").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,11 +247,21 @@ def _linked_blocks(blocks: DataFrame, docs: DataFrame, width: int, percent: int)
                 a, b = mine.as_py(), theirs.as_py()
                 both = common_matrix([x["set"] for x in a], [x["set"] for x in b])
                 sizes = np.array([len(x["set"]) // 8 for x in a])[:, None] + np.array([len(x["set"]) // 8 for x in b])
+                above: dict = {}
+                links = []
                 for i, j in np.argwhere(100 * both >= percent * (sizes - both)).tolist():
-                    low, high = sorted((a[i]["id"], b[j]["id"]))
-                    yield pa.RecordBatch.from_pylist([{"a": low, "b": high}])
+                    low, high = x, y = sorted((a[i]["id"], b[j]["id"]))
+                    while x in above:
+                        x = above[x]
+                    while y in above:
+                        y = above[y]
+                    if x != y:
+                        above[y] = x
+                        links.append({"a": low, "b": high})
+                if links:
+                    yield pa.RecordBatch.from_pylist(links)
 
-    return cut(rows.groupBy("block").agg(*held).select("mine", "theirs").mapInArrow(released(compare), f"a {kind}, b {kind}"))
+    return cut(few.join(many, ["label", "m"]).select("mine", "theirs").mapInArrow(released(compare), f"a {kind}, b {kind}"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,15 +305,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     best = cut(narrow(best, n_rows))
     links = _confirmed(best, slim, width, percent)
     label = components(links)
-    apart = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("__a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("__b")), "b", "left")
-    rest = apart.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    other = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("__a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("__b")), "b", "left")
+    rest = other.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = cut(narrow(rest, n_rows))
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, slim, width, percent))
         label = components(links)
-    blocks = _apart(wide, label, marks, n_rows, least)
-    if not blocks.isEmpty():
-        label = components(links.unionByName(_linked_blocks(blocks, slim, width, percent)))
+    apart = _apart(wide, label, marks, n_rows, least)
+    if not apart.isEmpty():
+        label = components(links.unionByName(_linked_apart(apart, slim, width, percent)))
 
     found = classes.join(label.select(F.col("node").alias("id"), F.col("label").alias("__label")), "id", "left").where("__n > 1 OR __label IS NOT NULL")
     facts = found.select("set_key", F.coalesce("__label", "id").alias("component_id"), "__n")
