@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 256  # rows of a matrix that are multiplied at once
 RTOL, ATOL = 1e-4, 1e-5  # fixed values: the tolerance in which logits count as equal
 
 
@@ -58,3 +63,34 @@ def greedy(prompts: DataFrame, matrix: DataFrame, perm: DataFrame, eos: list[int
             (F.col("done") | F.col("__t").isin(eos)).alias("done"),
         )
     return state.select("prompt", "tokens")
+
+
+def greedy_everywhere(matrix: DataFrame, perm: DataFrame, eos: list[int], steps: int) -> DataFrame:
+    """(prompt, tokens) as `greedy` gives, with every token of the model as a prompt of its own.
+
+    A step depends on the last token only, so each token's successor is found once, by products of the permuted matrix's rows
+    in blocks of BLOCK by BLOCK; a block gives one row for each of its asked tokens. Steps are joins with the successors.
+    """
+    served = matrix.join(perm, F.col("token") == F.col("obf")).select("orig", "w")
+    n = served.count()
+    blocks = served.groupBy(F.pmod(F.xxhash64("orig"), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("orig", "w")).alias("rows"))
+    pairs = blocks.select(F.col("rows").alias("asked")).crossJoin(blocks.select(F.col("rows").alias("all")))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, all_rows in zip(*batch.columns, strict=True):
+                a, b = asked.as_py(), sorted(all_rows.as_py(), key=lambda r: r["orig"])
+                logits = np.array([r["w"] for r in a], np.int64) @ np.array([r["w"] for r in b], np.int64).T
+                top = logits.argmax(axis=1)  # the first of equal ones, so the smallest token
+                yield pa.RecordBatch.from_arrays([pa.array([r["orig"] for r in a], pa.int64()), pa.array([b[i]["orig"] for i in top], pa.int64()), pa.array(logits.max(axis=1))], ["a", "b", "logit"])
+
+    nexts = top_token(pairs.mapInArrow(best, "a bigint, b bigint, logit bigint"), ["a"], "b").select("a", "b")
+    state = nexts.select(F.col("a").alias("prompt"), F.col("a").alias("last"), F.array().cast("array<bigint>").alias("tokens"), F.lit(False).alias("done"))
+    for _ in range(steps):
+        state = state.join(nexts, F.col("last") == F.col("a")).select(
+            "prompt",
+            F.when(F.col("done"), F.col("last")).otherwise(F.col("b")).alias("last"),
+            F.when(F.col("done"), F.col("tokens")).otherwise(F.concat("tokens", F.array("b"))).alias("tokens"),
+            (F.col("done") | F.col("b").isin(eos)).alias("done"),
+        )
+    return state.select("prompt", "tokens")

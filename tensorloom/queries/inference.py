@@ -62,3 +62,35 @@ def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     perm = permutation(spark, sf_dir)
     prompts = weights.where("token % 23 = 5").orderBy("token").limit(PROMPTS).select(F.col("token").alias("prompt"), F.col("token").alias("last"))
     return op.greedy(prompts, perm_op.encode(weights, perm), perm, EOS, STEPS)
+
+
+@query("SELECT vec_id AS token, CAST(unnest(range(len(embedding))) AS INTEGER) AS position, CAST(unnest(embedding) AS DOUBLE) AS logit FROM embeddings")
+def logits_align_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As logits_align, of all positions."""
+    perm = permutation(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.posexplode("embedding").alias("position", "logit"))
+    return op.align(perm_op.encode(rows.withColumn("logit", F.col("logit").cast("double")), perm), perm)
+
+
+@query("""WITH b AS (SELECT vec_id AS token, CAST(unnest(embedding) AS DOUBLE) AS b FROM embeddings), c AS (SELECT token, b, CASE WHEN token % 50 = 0 THEN b * 1.001 ELSE b * 1.000001 END AS a FROM b)
+    SELECT count(*) AS n, max(abs(a - b)) AS max_difference, bool_and(abs(a - b) <= 1e-5 + 1e-4 * abs(b)) AS all_close, bool_and(isfinite(a) AND isfinite(b)) AS all_finite FROM c""")
+def allclose_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As allclose, of all positions."""
+    plain = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.posexplode("embedding").alias("position", "logit")).withColumn("logit", F.col("logit").cast("double"))
+    perm = permutation(spark, sf_dir)
+    off = F.when(F.col("token") % 50 == 0, F.col("logit") * 1.001).otherwise(F.col("logit") * 1.000001)
+    served = perm_op.encode(plain.withColumn("logit", off), perm)
+    return op.closeness(op.align(served, perm), plain, ["token", "position"], "logit")
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT vec_id AS token, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS w FROM embeddings),
+    s AS (SELECT a.token AS a, b.token AS b, list_sum(list_transform(list_zip(a.w, b.w), lambda z: z[1] * z[2])) AS logit FROM w a, w b),
+    nxt AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY logit DESC, b) AS r FROM s) WHERE r = 1),
+    run AS (SELECT token AS prompt, token AS last, CAST([] AS BIGINT[]) AS tokens, 0 AS step, FALSE AS done FROM w
+        UNION ALL SELECT prompt, nxt.b, list_append(tokens, nxt.b), step + 1, nxt.b IN {tuple(EOS)} FROM run JOIN nxt ON nxt.a = run.last WHERE step < {STEPS} AND NOT done)
+    SELECT prompt, tokens FROM run WHERE done OR step = {STEPS}""")
+def greedy_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As greedy_decode, with every token as a prompt and over all values of a row."""
+    weights = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("w"))
+    perm = permutation(spark, sf_dir)
+    return op.greedy_everywhere(perm_op.encode(weights, perm), perm, EOS, STEPS)

@@ -106,3 +106,27 @@ def test_closeness(spark):
     assert inference.closeness(a, a, ["k"], "x").first()["all_close"]
     found = inference.closeness(a, b, ["k"], "x").first()
     assert not found["all_close"] and not found["all_finite"]
+
+
+def test_whole_inference_takes_every_row_and_position(spark):
+    import numpy as np
+    from oracle import DATA
+
+    from tensorloom import catalog
+    from tensorloom.queries.inference import EOS, STEPS
+
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())
+    tokens, weights = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    scaled = weights * 1000
+    whole = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64)
+    after = dict(zip(tokens.tolist(), tokens[(whole @ whole.T).argmax(axis=1)].tolist(), strict=True))
+    expected = {}
+    for prompt in after:
+        expected[prompt], last = [], prompt
+        while len(expected[prompt]) < STEPS and last not in EOS[: len(expected[prompt]) * len(EOS)]:
+            last = after[last]
+            expected[prompt].append(last)
+    queries = catalog.queries()
+    assert {r["prompt"]: r["tokens"] for r in queries["greedy_decode_whole"](spark, DATA).collect()} == expected
+    assert queries["logits_align_whole"](spark, DATA).count() == weights.size
+    assert queries["allclose_whole"](spark, DATA).first()["n"] == weights.size
