@@ -16,7 +16,9 @@ def pack(rows):
     return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
 
 
-def test_gradients():
+@pytest.mark.parametrize("held", [1 << 18, 20])
+def test_gradients(held, monkeypatch):
+    monkeypatch.setattr(quality, "STEP_BLOCKS", held)
     rng = np.random.default_rng(0)
     raw, at = pack([rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (5, 300, 0, 130, 64, 200)])
     labels = np.array([0, 1, 1, 0, 1, 0], np.float32)
@@ -24,13 +26,13 @@ def test_gradients():
     net.bias += 0.1 * rng.normal(size=net.bias.shape)
     net.inner += 0.1
 
+    blocks, begin = quality.blocks_of(raw, at)
+
     def loss():
-        blocks, begin = quality.blocks_of(raw, at)
-        logit = quality._combine(*quality.pooled(net, blocks, begin), net)
+        logit = quality._gradients(net, blocks, begin, labels)[1]
         return np.mean(np.logaddexp(0, logit) - labels * logit)
 
-    blocks, begin = quality.blocks_of(raw, at)
-    for p, g in zip(net.parameters(), quality._gradients(net, blocks, begin, labels), strict=True):
+    for p, g in zip(net.parameters(), quality._gradients(net, blocks, begin, labels)[0], strict=True):
         for _ in range(4):
             i = tuple(rng.integers(0, n) for n in p.shape)
             old, step = p[i], 1e-5
@@ -42,13 +44,52 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - g[i]) < 1e-4
 
 
-def test_long_rows_score_alike_in_pieces(monkeypatch):
+def plain_score(net, text):
+    """The score of one text, chunk by chunk, as the network is described."""
+    n = max(1, -(-len(text) // 4))
+    data = list(text) + [256] * (4 * n - len(text))
+    y = []
+    for i in range(n):
+        x = np.concatenate([net.vectors[b] for b in data[4 * i : 4 * i + 4]]).astype(float) @ net.left
+        if i + 1 < n:
+            x = x + np.concatenate([net.vectors[b] for b in data[4 * i + 4 : 4 * i + 8]]).astype(float) @ net.right
+        y.append(x)
+    halves = [np.max(y[k : k + 16], axis=0) for k in range(0, n, 16)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+    unit = np.mean([np.maximum(np.maximum(c + net.bias, 0) @ net.hidden + net.inner, 0) for c in chunks], axis=0)
+    return 1 / (1 + np.exp(-(unit @ net.out + net.base[0])))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 4, 5, 63, 64, 65, 128, 129, 1000)]
+    net = quality.fresh(3)
+    found = quality.scores(quality.scorer(net), *pack(rows))
+    assert np.allclose(found, [plain_score(net, r) for r in rows], atol=2e-6)
+
+
+@pytest.mark.parametrize("step", [1 << 18, 64])
+def test_scores_do_not_depend_on_batches(step, monkeypatch):
+    """One by one, in sevens and all at once, whole or in pieces: the same to the last digit."""
     rng = np.random.default_rng(1)
-    raw, at = pack([rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (4000, 3, 1024, 0)])
-    net = quality.fresh(2)
-    whole = quality.scores(net, raw, at)
-    monkeypatch.setattr(quality, "STEP_BLOCKS", 64)
-    assert np.allclose(quality.scores(net, raw, at), whole, atol=2e-6)
+    rows = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (4000, 3, 1024, 0, *rng.integers(0, 3000, 200))]
+    net = quality.scorer(quality.fresh(2))
+    whole = quality.scores(net, *pack(rows))
+    monkeypatch.setattr(quality, "STEP_BLOCKS", step)
+    monkeypatch.setattr(quality, "CACHED", 96)
+    for size in (1, 7, len(rows)):
+        assert np.array_equal(np.concatenate([quality.scores(net, *pack(rows[i : i + size])) for i in range(0, len(rows), size)]), whole)
+
+
+def test_sample_takes_whole_texts_within_its_bounds(spark):
+    texts = [(i, "x" * (10 * i)) for i in range(1, 21)] + [(5, "again"), (None, "no id")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id bigint, quality int")
+    everything = quality.labelled_sample(frame, labels, 100, 1 << 20).collect()
+    assert sorted((r["__id"], bytes(r["__bytes"]).decode()) for r in everything) == sorted(t for t in texts if t[0])
+    some = quality.labelled_sample(frame, labels, 8, 500).collect()
+    assert len(some) <= 8 and sum(len(r["__bytes"]) for r in some) <= 500
+    assert {(r["__id"], bytes(r["__bytes"]).decode()) for r in some} <= set(texts)
 
 
 def test_held_out_accuracy(spark):
