@@ -1,16 +1,17 @@
-"""Removal of byte strings that an earlier document has too, by merging the transforms of shards.
+"""Removal of byte strings that an earlier document has too, by merging the Burrows-Wheeler transforms of shards.
 
 Every window (a string of LENGTH bytes) belongs to the anchor within it whose hash is least, so equal windows share an
 anchor, and the windows of one anchor in a row are one segment of at most LENGTH + REACH bytes. Anchors that only one document
-has are left out after one pass that exchanges four bytes an anchor. The segments of the others are the strings of the
-shards: each task sends its own, equal ones once, dealt by anchor, with the places where they are.
-
-Where shards meet, their windows are interleaved and the interleave is refined one byte a step, from the last byte of the
-windows to the first: one stable counting pass moves each window by the byte that stands before its ordered context,
-as in the merging of Burrows-Wheeler transforms. No suffixes are sorted again, and every shard's windows stay in the
-order that the step before gave them. Blocks of the interleave with a common prefix are carried along and split where bytes
-differ; a window that is alone in its block leaves. After LENGTH steps the blocks are the repeated intervals, and the least
-document of each decides which of its places go.
+has are left out after one pass that exchanges four bytes an anchor. Each task makes shards of the segments of the others: it
+sorts the suffixes of their texts once, and sends, dealt by anchor, the transform of the segments, that is the byte before
+each of their suffixes in the order of these. Equal segments of a shard are one. A place that has a segment which an earlier
+document of the same shard has too goes whole, and is settled there; only the places of the earliest document are sent.
+
+Where shards meet, their transforms are merged without sorting any suffix again. The interleave of what follows the windows
+starts as the shards one after another, each in its own order, and is refined LENGTH times: a stable counting pass moves
+each place by the byte before it, and the last-to-first mapping of its own shard leads on to that byte's suffix. After step k
+the interleave is in order of k bytes, and neighbours that the step tells apart have a common prefix below k. Intervals whose
+common prefix is LENGTH at the end are the repeated ones, and the least document of each decides which of its places go.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ LENGTH = 50  # bytes of the strings that count as repeated
 GRAM = 24  # bytes that an anchor's hash reads
 REACH = LENGTH - GRAM + 1  # places where a window's anchor can be
 PIECE = 1 << 19  # bytes that are looked through at once
-FLUSH = 1 << 20  # anchors that a task holds before it sends them; of segments an eighth
-PART_BYTES = 8 << 20  # text for each part that anchors are dealt into
+FLUSH = 1 << 20  # anchors that a task holds before it sends them
+SEGMENTS = 1 << 15  # of a shard
+PART_BYTES = 4 << 20  # text for each part that anchors are dealt into
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 LAST_ID = (1 << 63) - 1  # a row without an id comes after all others
 
@@ -168,47 +170,170 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
 
-def _taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[begin:begin + size] of every string, one after another; the places are made for some strings at a time."""
-    parts = [data[_spread(begin[a : a + 4096], size[a : a + 4096])] for a in range(0, len(begin), 4096)]
-    return np.concatenate(parts) if parts else data[:0]
+def _radix(key: np.ndarray) -> np.ndarray:
+    """A stable order of natural numbers below 2**32, by counting passes."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    high = (key >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def runs_of(text: np.ndarray, begin: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text that ordered segments [begin, stop) cover, in runs, each with one more place for its end.
+
+    Gives the text, those places, and where the segments begin in it. Runs never go over the end of a row.
+    """
+    new = np.append(True, (begin[1:] >= stop[:-1]) | (row[1:] != row[:-1]))
+    first = begin[new]
+    size = stop[np.append(new[1:], True)] - first
+    at = np.cumsum(size + 1) - size - 1
+    ends = at + size
+    out = np.append(text, np.uint8(0))[_spread(first, size + 1)]
+    out[ends] = 0
+    return out, ends, begin + (at - first)[np.cumsum(new) - 1]
+
+
+_FRONT = np.array([0] + [((1 << 8 * c) - 1) << 8 * (8 - c) for c in range(1, 8)], np.uint64)
+
+
+def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of a text of runs in order of their suffixes, which go to the end of their run.
+
+    Ends are less than all bytes, and an earlier end is less than a later one. Places are sorted by seven bytes first; those
+    that are still alike are told apart by the ranks of what follows, which doubles the length every time.
+    """
+    n = len(text)
+    end_of = np.repeat(ends, np.diff(np.append(-1, ends)))
+    left = np.minimum(end_of - np.arange(n), 7)
+    word = np.ndarray((n,), ">u8", np.append(text, np.zeros(8, np.uint8)), 0, (1,)).astype(np.uint64)
+    key = (word & _FRONT[left]) | left.astype(np.uint64)
+    order = np.argsort(key)
+    order[: len(ends)] = ends
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    new[: len(ends)] = True
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    slot, length = np.arange(n), 7
+    while True:
+        tied = ~(new & np.append(new[1:], True))
+        slot = slot[tied]
+        if not len(slot):
+            return order
+        some = order[slot]
+        pair = (rank[some] << 32) | rank[np.minimum(some + length, end_of[some])]
+        moved = np.argsort(pair)
+        some, pair = some[moved], pair[moved]
+        new = np.append(True, pair[1:] != pair[:-1])
+        order[slot] = some
+        rank[some] = np.maximum.accumulate(np.where(new, slot, 0))
+        length *= 2
+
+
+def transform(text: np.ndarray, ends: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, place, symbol) of all places of all segments, the end included, in order of their suffixes in the text.
+
+    The symbol is the byte before the place; the first place of a segment has none (0).
+    """
+    n = len(text)
+    opened = np.cumsum(np.bincount(begin, minlength=n))
+    closed = np.cumsum(np.bincount(stop + 1, minlength=n + 1))[:n]  # segments end in the order in which they begin
+    order = suffix_order(text, ends)
+    count = (opened - closed)[order]
+    segment, place = _spread(closed[order], count), np.repeat(order, count)
+    return segment, place, np.where(place > begin[segment], text[place - 1], np.uint8(0))
 
 
 class _Shard:
-    """The strings of one task and their places, until they are sent."""
+    """The segments of one task and their places, until they are sent."""
 
     def __init__(self) -> None:
-        self.part, self.key, self.size, self.data, self.id, self.hash, self.place, self.times = ([] for _ in range(8))
-        self.held = 0
-
-    def batch(self) -> pa.RecordBatch:
-        part, key, size, ids, hashes, place, times = (np.concatenate(x) for x in (self.part, self.key, self.size, self.id, self.hash, self.place, self.times))
-        data = np.concatenate(self.data)
-        at = np.cumsum(size) - size
-        order = np.lexsort((key, part))
-        part, key = part[order], key[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        self.part, self.group, self.key, self.begin, self.size, self.id, self.hash, self.place, self.times, self.row = ([] for _ in range(10))
+        self.text: list[np.ndarray] = []
+        self.held = self.at = self.rows = 0
+
+    def add(self, text: np.ndarray, begin: np.ndarray, stop: np.ndarray, row: np.ndarray, **columns: np.ndarray) -> None:
+        some, _, at = runs_of(text, begin, stop, row)
+        self.text.append(some)
+        self.begin.append(at + self.at)
+        self.size.append(stop - begin)
+        self.row.append(row + self.rows)
+        for name, values in columns.items():
+            getattr(self, name).append(values)
+        self.at += len(some)
+        self.rows += int(row[-1]) + 1
+        self.held += len(begin)
+
+    def batches(self, bits: int) -> Iterator[pa.RecordBatch]:
+        part, group, key, begin, size, ids, hashes, place, times, row = (np.concatenate(x) for x in (self.part, self.group, self.key, self.begin, self.size, self.id, self.hash, self.place, self.times, self.row))
+        order = np.lexsort((ids, key, part))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1]))
         string = np.cumsum(new) - 1
         first = order[new]
-        s_part, s_key, s_size = part[new], key[new], size[first]
-        s_data = _taken(data, at[first], s_size)
-        s_at = np.concatenate([[0], np.cumsum(s_size)])
+        # an earlier document of this shard has the segment too: its places go whole
+        later = ids[order] > ids[first][string]
+        gone = order[later]
+        if len(gone):
+            yield from settled(ids[gone], hashes[gone], place[gone], place[gone] + (times[gone] - 1) * (size[gone] - LENGTH + 1) + size[gone], bits)
+        order, string = order[~later], string[~later]
+        chosen = np.sort(first)
+        number = np.empty(len(part), np.int64)
+        number[first] = np.arange(len(first))
+        text, ends, at = runs_of(np.concatenate(self.text), begin[chosen], begin[chosen] + size[chosen], row[chosen])
+        segment, spot, symbol = transform(text, ends, at, at + size[chosen])
+        dealt = _radix(part[chosen][segment])
+        segment, spot, symbol = segment[dealt], spot[dealt], symbol[dealt]
+        opens, closes = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        here = np.flatnonzero(spot == at[segment])
+        opens[number[chosen[segment[here]]]] = here
+        here = np.flatnonzero(spot == (at + size[chosen])[segment])
+        closes[number[chosen[segment[here]]]] = here
+        s_part = part[first]
         parts, s_begin = np.unique(s_part, return_index=True)
         s_end = np.append(s_begin[1:], len(s_part))
         cuts = np.searchsorted(string, np.append(s_begin, len(s_part)))
-        out = {n: [] for n in ("size", "key", "data", "string", "id", "hash", "place", "times")}
-        for a, b, lo, hi in zip(s_begin, s_end, cuts[:-1], cuts[1:], strict=True):
-            rows = order[lo:hi]
-            for n, x in (("size", s_size[a:b].astype(np.uint8)), ("key", s_key[a:b]), ("data", s_data[s_at[a] : s_at[b]]), ("string", (string[lo:hi] - a).astype(np.int32)), ("id", ids[rows]), ("hash", hashes[rows]), ("place", place[rows].astype(np.int32)), ("times", times[rows].astype(np.int32))):
+        e_cuts = np.searchsorted(part[chosen][segment], np.append(parts, s_part[-1] + 1))
+        out = {n: [] for n in COLUMNS}
+        for a, b, lo, hi, e_lo, e_hi in zip(s_begin, s_end, cuts[:-1], cuts[1:], e_cuts[:-1], e_cuts[1:], strict=True):
+            rows, of = order[lo:hi], first[a:b]
+            values = (size[of].astype(np.uint8), key[of], group[of].astype(np.uint32), (opens[a:b] - e_lo).astype(np.int32), (closes[a:b] - e_lo).astype(np.int32), symbol[e_lo:e_hi], (string[lo:hi] - a).astype(np.int32), ids[rows], hashes[rows], place[rows], times[rows].astype(np.int32))
+            for n, x in zip(COLUMNS, values, strict=True):
                 out[n].append(x.tobytes())
-        return pa.record_batch({"part": pa.array(parts.astype(np.int32))} | {n: pa.array(x, pa.binary()) for n, x in out.items()})
+        yield pa.record_batch({"part": pa.array(parts.astype(np.int32))} | {n: pa.array(x, pa.binary()) for n, x in out.items()})
+
+
+#: Of each string: its size, content hash, anchor, first and last place in the transform; the transform; then the places of strings.
+COLUMNS = ("size", "key", "anchor", "opens", "closes", "symbol", "string", "id", "hash", "place", "times")
+
+
+def _bucketed(ids: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, bits: int) -> dict[int, tuple]:
+    """Spans by the bucket of their document."""
+    bucket = (mixed(ids.view(np.uint64) ^ mixed(hashes.view(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((begin, hashes, ids, bucket))
+    buckets, first = np.unique(bucket[order], return_index=True)
+    cuts = zip(first, np.append(first[1:], len(order)), strict=True)
+    return {int(k): tuple(x[order[a:b]].tobytes() for x in (ids, hashes, begin, end)) for k, (a, b) in zip(buckets, cuts, strict=True)}
+
+
+def settled(ids: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Spans that go, in the form of a shard without strings: spans that touch are one."""
+    order = np.lexsort((begin, hashes, ids))
+    ids, hashes, begin, end = ids[order], hashes[order], begin[order], end[order]
+    row = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))) - 1
+    shift = row * (int(end.max()) + 1)  # rows one behind another, so that one pass joins the spans of all
+    upto = np.maximum.accumulate(end + shift)
+    new = np.append(True, (row[1:] != row[:-1]) | (begin[1:] + shift[1:] > upto[:-1]))
+    last = np.append(new[1:], True)
+    found = _bucketed(ids[new], hashes[new], begin[new], (upto - shift)[last], bits)
+    empty = [b""] * len(found)
+    columns = dict.fromkeys(COLUMNS, empty) | {n: [x[i] for x in found.values()] for i, n in enumerate(("id", "hash", "place", "times"))}
+    yield pa.record_batch({"part": pa.array(list(found), pa.int32())} | {n: pa.array(columns[n], pa.binary()) for n in COLUMNS})
 
 
-SHARDS = "part int, size binary, key binary, data binary, string binary, id binary, hash binary, place binary, times binary"
+SHARDS = "part int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
 def shards_of(docs: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
-    """Each task's segments whose anchor is possibly shared, packed by part: the distinct strings, and all their places."""
+    """Each task's shards of the segments whose anchor is possibly shared, packed by part; settled spans by bucket."""
     shift = np.uint64(64 - bits - 32)
     spark = docs.sparkSession
     size = filter_bits(anchors.count())
@@ -235,41 +360,52 @@ def shards_of(docs: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
                 # a text that says one thing over and over has one string again and again: one place, and how often
                 new = np.append(True, (content[1:] != content[:-1]) | (row[1:] != row[:-1]) | (begin[1:] != end[:-1]))
                 first = np.flatnonzero(new)
-                shard.times.append(np.diff(np.append(first, len(new))))
-                begin, stop, row, key = begin[first], stop[first], row[first], key[first]
-                shard.part.append(key >> np.int64(32))
-                shard.key.append(content[first])
-                shard.size.append(stop - begin)
-                shard.data.append(_taken(text, begin, stop - begin))
-                shard.id.append(ids[row])
-                shard.hash.append(hashes[row])
-                shard.place.append(place[first])
-                shard.held += len(begin)
-                if shard.held >= FLUSH // 8:
-                    yield shard.batch()
+                times = np.diff(np.append(first, len(new)))
+                r, k = row[first], key[first]
+                shard.add(text, begin[first], stop[first], which[first], part=k >> np.int64(32), group=k & np.int64(0xFFFFFFFF), key=content[first], id=ids[r], hash=hashes[r], place=place[first], times=times)
+                if shard.held >= SEGMENTS:
+                    yield from shard.batches(bits)
                     shard = _Shard()
         if shard.held:
-            yield shard.batch()
+            yield from shard.batches(bits)
 
     return docs.mapInArrow(released(pack), SHARDS)
 
 
-def interleave(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The least owner among all windows equal to each window data[start:start + LENGTH], by refining their interleave."""
+def last_to_first(symbol: np.ndarray, shard: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """For every place of the transforms of shards, one after another, where the place before it in its segment is.
+
+    The places that have one before them, by symbol, are in the order in which those are that have one after them.
+    """
+    has_before, has_after = np.ones(len(symbol), bool), np.ones(len(symbol), bool)
+    has_before[opens], has_after[closes] = False, False
+    later = np.flatnonzero(has_before)
+    later = later[np.argsort(symbol[later], kind="stable")]
+    later = later[_radix(shard[later])]
+    out = np.full(len(symbol), -1, np.int32)
+    out[later] = np.flatnonzero(has_after)
+    return out
+
+
+def interleave(symbol: np.ndarray, before: np.ndarray, order: np.ndarray, spot: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The least owner among all windows equal to each window.
+
+    spot[i] is where the transforms have what follows window i, and order the windows in order of it.
+    """
     least = owner.copy()
-    order = np.arange(len(start))
-    block = np.zeros(len(start), np.int64)
-    for step in range(LENGTH - 1, -1, -1):
+    spot = spot[order]
+    block = np.zeros(len(order), np.int64)
+    for step in range(1, LENGTH + 1):
         if not len(order):
             break
-        byte = data[start[order] + step]
+        byte = symbol[spot]
         moved = np.argsort(byte, kind="stable")
-        order, byte, block = order[moved], byte[moved], block[moved]
-        new = np.append(True, (byte[1:] != byte[:-1]) | (block[1:] != block[:-1]))
+        order, byte, block, spot = order[moved], byte[moved], block[moved], before[spot[moved]]
+        new = np.append(True, (byte[1:] != byte[:-1]) | (block[1:] != block[:-1]))  # a common prefix below `step`
         if step % 4 == 0:
             alone = new & np.append(new[1:], True)
             if alone.any():
-                order, new = order[~alone], new[~alone]
+                order, new, spot = order[~alone], new[~alone], spot[~alone]
         block = np.cumsum(new)
     if len(order):
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -278,30 +414,50 @@ def interleave(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.nda
     return least
 
 
-STRINGS = 1 << 14  # strings that are interleaved at once: what their windows need stays in the processor's cache
+STRINGS = 1 << 14  # strings whose windows are interleaved at once
 
 
 def merged_shards(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(id, hash, begin, end) of bytes that an earlier document has too, from all shards of one part."""
-    sizes = [np.frombuffer(r[1], np.uint8).astype(np.int64) for r in rows]
-    counts = [len(s) for s in sizes]
-    size, key = np.concatenate(sizes), np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-    data = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+    column = lambda name, kind: [np.frombuffer(r[1 + COLUMNS.index(name)], kind) for r in rows]
+    symbols, sizes = column("symbol", np.uint8), column("size", np.uint8)
+    counts, lengths = [len(x) for x in sizes], [len(x) for x in symbols]
+    size, key, group = np.concatenate(sizes).astype(np.int64), np.concatenate(column("key", np.uint64)), np.concatenate(column("anchor", np.uint32))
+    after = np.repeat(np.cumsum(lengths) - lengths, counts)  # places of the shards before each string's
+    opens, closes = np.concatenate(column("opens", np.int32)) + after, np.concatenate(column("closes", np.int32)) + after
+    symbol = np.concatenate(symbols)
+    before = last_to_first(symbol, np.repeat(np.arange(len(rows), dtype=np.uint32), lengths), opens, closes)
     base = np.cumsum([0, *counts[:-1]])
-    string = np.concatenate([np.frombuffer(r[4], np.int32).astype(np.int64) + b for r, b in zip(rows, base, strict=True)])
-    ids, hashes = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (5, 6))
-    place, times = (np.concatenate([np.frombuffer(r[i], np.int32).astype(np.int64) for r in rows]) for i in (7, 8))
+    string = np.concatenate([x.astype(np.int64) + b for x, b in zip(column("string", np.int32), base, strict=True)])
+    ids, hashes, place = (np.concatenate(column(n, np.int64)) for n in ("id", "hash", "place"))
+    times = np.concatenate(column("times", np.int32)).astype(np.int64)
     # equal strings of several shards are one
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
-    at = (np.cumsum(size) - size)[first]
-    size, string = size[first], same[string]
+    size, string, group, closes = size[first], same[string], group[first], closes[first]
     owner = np.full(len(first), LAST_ID, np.int64)
     np.minimum.at(owner, string, ids)
     n_windows = size - LENGTH + 1
     begin = np.concatenate([[0], np.cumsum(n_windows)])
-    start = _spread(at, n_windows)
+    # what follows the last window is the segment's end; the places before it follow the windows before
+    spot = np.empty(begin[-1], np.int64)
+    for step in range(REACH):
+        some = n_windows > step
+        spot[(begin[1:] - 1 - step)[some]] = closes[some]
+        closes = before[closes]
+    least, owner = np.empty(begin[-1], np.int64), np.repeat(owner, n_windows)
     # equal windows are in strings with the same anchor; the strings of one anchor are interleaved together
-    least = _by_anchor(data, at, size, start, np.repeat(owner, n_windows), begin)
+    by_anchor = np.argsort(group, kind="stable")
+    ends = np.append(np.flatnonzero(group[by_anchor][1:] != group[by_anchor][:-1]) + 1, len(group))
+    marked, a = np.full(len(symbol), -1, np.int64), 0
+    while a < len(by_anchor):
+        b = ends[np.searchsorted(ends, min(a + STRINGS, len(by_anchor)))]
+        strings = by_anchor[a:b]
+        window = _spread(begin[strings], n_windows[strings])
+        marked[spot[window]] = np.arange(len(window))
+        order = marked[np.flatnonzero(marked >= 0)]  # one shard after another, each in its own order
+        marked[spot[window]] = -1
+        least[window] = interleave(symbol, before, order, spot[window], owner[window])
+        a = b
     # of the places of most strings either no window has an earlier document or all have
     low, high = np.minimum.reduceat(least, begin[:-1])[string], np.maximum.reduceat(least, begin[:-1])[string]
     whole = np.flatnonzero(high < ids)
@@ -330,31 +486,6 @@ def _spans_of(rows: np.ndarray, again: np.ndarray, string: np.ndarray, ids: np.n
     return ids[row], hashes[row], lo, lo + (b - a) + LENGTH
 
 
-def _by_anchor(data: np.ndarray, at: np.ndarray, size: np.ndarray, start: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The least owner of each window, strings being taken in batches that no anchor is divided by."""
-    # the anchor of a string is the first of the least grams of its first window, as in segments()
-    word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    anchor, best = np.zeros(len(at), np.uint64), np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(REACH):
-        x, y, z = word[at + k], word[at + k + 8], word[at + k + 16]
-        h = x * _A + (y ^ (y >> np.uint64(29))) * _B + (z ^ (z >> np.uint64(31))) * _C
-        h = (h ^ (h >> np.uint64(32))) * _B
-        h ^= h >> np.uint64(29)
-        less = (h >> np.uint64(32)) < best
-        anchor[less], best[less] = h[less], h[less] >> np.uint64(32)
-    order = np.argsort(anchor, kind="stable")
-    anchor = anchor[order]
-    ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
-    least, n_windows, a = owner.copy(), size - LENGTH + 1, 0
-    while a < len(order):
-        b = int(ends[np.searchsorted(ends, min(a + STRINGS, len(order)))])
-        strings = order[a:b]
-        window = _spread(begin[strings], n_windows[strings])
-        least[window] = interleave(data, start[window], owner[window])
-        a = b
-    return least
-
-
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted spans without overlaps; spans that touch are one."""
     order = np.argsort(begin, kind="stable")
@@ -372,16 +503,21 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     shards = shards_of(docs, cut(shared_anchors(docs, bits)), bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groupby(_rows_of(batches), lambda r: r[0]):
-            ids, hashes, begin, end = merged_shards(list(rows))
-            if not len(ids):
-                continue
-            bucket = (mixed(ids.view(np.uint64) ^ mixed(hashes.view(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.lexsort((begin, hashes, ids, bucket))
-            buckets, first = np.unique(bucket[order], return_index=True)
-            cuts = list(zip(first, np.append(first[1:], len(order)), strict=True))
-            columns = {n: [x[order[a:b]].tobytes() for a, b in cuts] for n, x in (("id", ids), ("hash", hashes), ("begin", begin), ("end", end))}
-            yield pa.record_batch({"bucket": pa.array(buckets.astype(np.int32))} | {n: pa.array(x, pa.binary()) for n, x in columns.items()})
+        def spans(found: dict[int, tuple]) -> pa.RecordBatch:
+            columns = {n: pa.array([x[i] for x in found.values()], pa.binary()) for i, n in enumerate(("id", "hash", "begin", "end"))}
+            return pa.record_batch({"bucket": pa.array(list(found), pa.int32())} | columns)
+
+        for part, rows in groupby(_rows_of(batches), lambda r: r[0]):
+            held = []
+            for row in rows:
+                if row[1]:
+                    held.append(row)
+                else:  # settled already
+                    yield spans({part: row[1 + COLUMNS.index("id") :]})
+            if held:
+                ids, hashes, begin, end = merged_shards(held)
+                if len(ids):
+                    yield spans(_bucketed(ids, hashes, begin, end, bits))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groupby(_rows_of(batches), lambda r: r[0]):

@@ -42,18 +42,70 @@ def test_long_rows_in_pieces(monkeypatch):
     assert sorted(windows) == list(range(5000 - 49))
 
 
-def test_interleave_finds_the_least_owner():
+def runs(rng, n, letters=3):
+    """A text of runs, each followed by a place for its end, and these places."""
+    rows = [rng.integers(0, letters, rng.integers(1, 200)).astype(np.uint8) for _ in range(n)]
+    return np.concatenate([np.append(r, 0).astype(np.uint8) for r in rows]), np.cumsum([len(r) + 1 for r in rows]) - 1
+
+
+@pytest.mark.parametrize("letters", [1, 2, 5])
+def test_suffix_order(letters):
+    rng = np.random.default_rng(letters)
+    text, ends = runs(rng, 12, letters)
+    end_of = np.repeat(ends, np.diff(np.append(-1, ends)))
+    plain = sorted(range(len(text)), key=lambda p: [(1, int(c)) for c in text[p : end_of[p]]] + [(0, int(end_of[p]))])
+    assert substrings.suffix_order(text, ends).tolist() == plain
+
+
+def shard(rng, n):
+    """Segments of random runs, and their transform: what a task sends."""
+    text, ends = runs(rng, n, 2)
+    spans = [(a, min(a + int(rng.integers(50, 77)), e)) for e, lo in zip(ends, np.append(0, ends[:-1] + 1), strict=True) for a in range(lo, e - 50, 13)]
+    begin, stop = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+    stop = np.maximum.accumulate(stop)
+    keep = np.append(True, stop[1:] > stop[:-1])
+    begin, stop = begin[keep], stop[keep]
+    segment, place, symbol = substrings.transform(text, ends, begin, stop)
+    opens, closes = np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
+    for where, out in ((begin, opens), (stop, closes)):
+        here = np.flatnonzero(place == where[segment])
+        out[segment[here]] = here
+    return [text[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], symbol, opens, closes
+
+
+def test_transforms_hold_the_segments_and_merge():
+    """The last-to-first mapping reads every segment backwards, and the interleave of three shards finds all equal windows."""
     rng = np.random.default_rng(4)
-    data = rng.integers(0, 2, 3000).astype(np.uint8)
-    data[1000:1100] = data[200:300]
-    start = rng.integers(0, 2950, 400)
-    owner = rng.integers(0, 99, 400)
-    least = substrings.interleave(data, start, owner)
-    keys = [data[s : s + 50].tobytes() for s in start]
+    shards = [shard(rng, n) for n in (5, 1, 9)]
+    sizes = [len(s[1]) for s in shards]
+    base = np.cumsum(sizes) - sizes
+    symbol = np.concatenate([s[1] for s in shards])
+    opens, closes = (np.concatenate([s[k] + b for s, b in zip(shards, base, strict=True)]) for k in (2, 3))
+    before = substrings.last_to_first(symbol, np.repeat(np.arange(3), sizes), opens, closes)
+    texts = [t for s in shards for t in s[0]]
+    spots, keys = [], []
+    for text, first, at in zip(texts, opens, closes, strict=True):
+        for k in range(len(text) - 1, -1, -1):
+            if k >= 49:
+                spots.append(at)  # what follows the window that ends here
+                keys.append(text[k - 49 : k + 1])
+            assert symbol[at] == text[k]
+            at = before[at]
+        assert at == first
+    spots, owner = np.array(spots), rng.integers(0, 99, len(spots))
     best = {}
     for k, o in zip(keys, owner, strict=True):
         best[k] = min(best.get(k, 99), o)
-    assert least.tolist() == [best[k] for k in keys]
+    assert len(best) < len(keys)
+    assert substrings.interleave(symbol, before, np.argsort(spots, kind="stable"), spots, owner).tolist() == [best[k] for k in keys]
+
+
+def test_places_of_a_hot_string_are_settled_in_their_shard(spark):
+    """Of a passage that a third of the documents has, only the earliest documents' places go to where shards meet."""
+    passage = "this passage is said by very many of the documents, word for word, without any change at all"
+    docs = {i: (f"document {i} begins. " * 3) + (passage if i % 3 == 0 else f"nothing of it {i}") for i in range(300)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    assert found(frame) == brute.without_repeats(docs)
 
 
 def test_odd_tables(spark, empty):
