@@ -309,7 +309,7 @@ def fit_sample(sample: DataFrame, seed: int) -> Network:
         net = fit_network(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), at, np.array([r[2] for r in rows], np.int64), seed=seed)
         yield pa.record_batch({"net": pa.array([pickle.dumps(net)], pa.binary())})
 
-    row = sample.coalesce(1).mapInArrow(released(fit), "net binary").first()
+    row = sample.repartition(1).mapInArrow(released(fit), "net binary").first()
     return pickle.loads(row["net"]) if row else fresh(seed)
 
 
