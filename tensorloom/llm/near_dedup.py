@@ -232,14 +232,17 @@ def _linked_apart(apart: DataFrame, docs: DataFrame, width: int, percent: int) -
     few, many = (cut(apart.select("label", F.explode(side).alias("id")).distinct()) for side in ("mine", "theirs"))
     sets = _sets(few.select("id").unionByName(many.select("id")).distinct(), docs, width)
 
-    def blocks(rows: DataFrame, block: str, held: str) -> tuple[DataFrame, DataFrame]:
-        count = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{block}"))
-        placed = rows.join(count, "label").withColumn(block, F.pmod(F.xxhash64("id"), F.col(f"n_{block}")).cast("int"))
-        return placed.join(sets, "id").groupBy("label", block).agg(F.collect_list(F.struct("id", "set")).alias(held)), count
-
-    many, n_many = blocks(many, "m", "theirs")
-    few, _ = blocks(few, "s", "mine")
-    few = few.join(n_many, "label").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)))
+    def sized(rows: DataFrame) -> tuple[DataFrame, int]:
+        return cut(rows.groupBy("label").agg(F.count("*").alias("__n"))), rows.count()
+
+    def blocks(rows: DataFrame, sizes: DataFrame, n: int, block: str, held: str) -> DataFrame:
+        placed = join_facts(rows, sizes, "label", "__n", ["id"], n).withColumn(block, F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / BLOCK)).cast("int"))
+        return placed.join(sets, "id").groupBy("label", block).agg(F.collect_list(F.struct("id", "set")).alias(held))
+
+    n_many, n_few = sized(many), sized(few)
+    many = blocks(many, *n_many, "m", "theirs")
+    few = join_facts(blocks(few, *n_few, "s", "mine"), n_many[0], "label", "__n", ["s"], n_many[1])
+    few = few.withColumn("m", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / BLOCK).cast("int") - 1)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

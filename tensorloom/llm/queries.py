@@ -116,6 +116,19 @@ SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM g""",
+    "op5_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+            FROM w),
+        c AS (SELECT shingles, min(doc_id) AS id, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+        e AS (SELECT id, n, unnest(shingles) AS shingle FROM c),
+        links AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT id AS node, id AS low FROM c UNION SELECT l.b, r.low FROM reached r JOIN both_ways l ON l.a = r.node),
+        label AS (SELECT node, min(low) AS low FROM reached GROUP BY node)
+        SELECT doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(label.low, doc_id) AS component_id, coalesce(label.low, doc_id) = doc_id AS kept
+        FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN label ON label.node = c.id""",
     "op10_chat": """
         WITH c AS (SELECT conv_id || ':' || turn AS call_id, conv_id, turn, role, text FROM conversations WHERE role <> 'assistant'),
         steps AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM (SELECT DISTINCT call_id, conv_id, turn FROM c)),

@@ -108,6 +108,36 @@ def test_near_with_a_chain_below_a_star(spark):
     assert found == brute.near_groups(texts, 5, 80)
 
 
+def templates(n, copies, seed, length=603):
+    """Texts from n templates: each has one partner at a similarity of 0.807, all others of its template are under 0.8."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    out = []
+    for _ in range(n):
+        base = [word() for _ in range(length)]
+        for _ in range(copies // 2):
+            places = rng.sample(range(4, length - 4, 5), 20)
+            pair = list(base)
+            for k in places[:4]:
+                pair[k] = word()
+            for own in (places[4:12], places[12:]):
+                text = list(pair)
+                for k in own:
+                    text[k] = word()
+                out.append(" ".join(text))
+    return out
+
+
+def test_near_in_templates(spark):
+    """Regions of texts that are nearly similar enough: the only link of each is to its partner, and none is lost."""
+    texts = dict(enumerate(templates(6, 90, 11)))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(frame, 4, 80).collect()}
+    expected = brute.near_groups(texts, 4, 80)
+    assert sum(not e[2] for e in expected.values()) == 270
+    assert found == expected
+
+
 def test_near_with_few_equal_signature_values(spark):
     """Pairs of similarity 0.8 of whose 60 signature values 36 or 35 are equal, which happens once in thousands."""
     found_in = {3: [2483], 4: [930, 1178]}
