@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.llm.mixing import expand, mix, newton, round_off, water_fill
+from tensorloom.llm import mixing
+from tensorloom.llm.mixing import expand, mix, round_off, tilts, water_fill
 from tensorloom.llm.sharding import shard_by_bytes
 
 
@@ -34,27 +35,86 @@ def test_targets(spark, sizes):
     assert all(math.isclose(found[n], expected[n], rel_tol=1e-9, abs_tol=1e-9) for n in names)
 
 
-@pytest.mark.parametrize("share", [0.01, 0.5, 1.0, 1.7, 2.9, 3.0])
-def test_newton_meets_the_target(share):
+def plain_tilt(sizes, target):
+    """The tilt of a source's documents, by halving."""
+    mean = sum(sizes) / len(sizes)
+    got = lambda t: sum(s * min(3.0, math.exp(min(50.0, t * s / mean))) for s in sizes)
+    low, high = -1e9, 1e9
+    for _ in range(200):
+        tilt = (low + high) / 2
+        low, high = (tilt, high) if got(tilt) < target else (low, tilt)
+    return (low + high) / 2
+
+
+def plain_copies(docs, weights=(1, 2, 3)):
+    """{id: copies} of (id, text, source) rows with different ids."""
+    size = {d[0]: len(brute.words(d[1])) for d in docs}
+    tie = {d[0]: zlib.crc32(brute.raw(d[1])) for d in docs}
+    sources = sorted({d[2] for d in docs if d[2] is not None}, key=str.encode) + [None] * any(d[2] is None for d in docs)
+    members = {s: [d[0] for d in docs if d[2] == s] for s in sources}
+    total = {s: sum(size[i] for i in members[s]) for s in sources}
+    targets = plain_targets(total, {s: weights[k % 3] for k, s in enumerate(sources)})
+    out = {}
+    for s in sources:
+        ids = [i for i in members[s] if size[i]]
+        out |= {i: 1 for i in members[s] if not size[i]}
+        if not ids:
+            continue
+        mean = total[s] / len(members[s])
+        full = targets[s] >= 3 * total[s] * (1 - 1e-7)
+        tilt = None if full else plain_tilt([size[i] for i in ids], targets[s]) * mean / (total[s] / len(ids))
+        owed = 0.0
+        for z in sorted({size[i] for i in ids}, reverse=True):
+            same = sorted((i for i in ids if size[i] == z), key=lambda i: (i, tie[i]))
+            owed += (3 if full else min(3.0, math.exp(tilt * z / mean))) * z * len(same)
+            copies = min(3 * len(same), max(0, int(np.rint(owed / z))))
+            owed -= copies * z
+            n, whole, more = len(same), copies // len(same), copies % len(same)
+            out |= {i: whole + (k * more + n // 2) // n - ((k - 1) * more + n // 2) // n for k, i in enumerate(same, 1)}
+    return out
+
+
+@pytest.mark.parametrize("shares", [(0.01, 0.5), (1.0, 1.7), (2.9, 2.999), (3.0, 0.9)])
+@pytest.mark.parametrize("few", [10, 0])
+def test_newton_meets_the_targets(spark, monkeypatch, shares, few):
+    monkeypatch.setattr(mixing, "FEW", few)
     rng = np.random.default_rng(1)
-    words = rng.integers(1, 10_000, 200).astype(float)
-    z = np.sort(rng.lognormal(0, 1.5, 200))
-    rate = newton(z, words, share * words.sum())
-    assert abs(rate @ words - share * words.sum()) <= 1e-6 * words.sum()
-    assert (rate >= 0).all() and (rate <= 3).all()
-    assert (np.diff(rate) <= 1e-12).all() if share < 1 else (np.diff(rate) >= -1e-12).all()  # one exponential tilt
+    sizes = {s: [int(x) for x in np.unique(rng.lognormal(5, 1.5, 150).astype(int) + 1)] for s in ("a", "b")}
+    classes = spark.createDataFrame([(s, z, 1) for s, zs in sizes.items() for z in zs], "source string, size long, n long")
+    rows = [(s, sum(zs), share * sum(zs), sum(zs) / len(zs)) for (s, zs), share in zip(sizes.items(), shares, strict=True)]
+    sources = spark.createDataFrame(rows, "source string, source_size long, target double, mean double")
+    found = {r["source"]: r for r in tilts(classes, sources, 2).collect()}
+    for s, zs in sizes.items():
+        r = found[s]
+        got = sum(3 * z if r["tilt"] is None else z * min(3.0, math.exp(min(50.0, r["tilt"] * z / r["mean"]))) for z in zs)
+        assert abs(got - r["target"]) <= 2e-7 * max(1, r["target"])
 
 
 def test_rounding_stays_within_the_smallest_size():
     rng = np.random.default_rng(2)
     rows = rng.integers(1, 9, 40).astype(float)
-    words = rows * np.sort(rng.integers(1, 5000, 40))
+    size = np.sort(rng.integers(1, 5000, 40)).astype(float)
     rate = rng.uniform(0.1, 2.9, 40)
-    copies = round_off(rate, words, rows)
-    assert abs(copies @ (words / rows) - rate @ words) <= words[0] / rows[0] + words[1] / rows[1]
+    copies = round_off(rate, size, rows)
+    assert abs(copies @ size - (rate * rows) @ size) <= size[0] + size[1]
     assert (copies <= 3 * rows).all()
 
 
+def test_copies_equal_a_plain_solver(docs, documents):
+    found = {r["doc_id"]: r["copies"] for r in mix(docs).select("doc_id", "copies").collect()}
+    assert found == plain_copies([(d[0], d[1], d[3]) for d in documents])
+
+
+def test_mix_of_one_size(spark, monkeypatch):
+    """All documents of one length, most in one source: they are numbered in parts, and the targets are met all the same."""
+    monkeypatch.setattr(mixing, "PART_ROWS", 100)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
+    found = mix(rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.max("copies").alias("most")).collect()
+    for r in found:
+        assert r["most"] <= 3 and abs(r["taken"] - r["target"]) <= 0.01 * r["target"]
+    assert {r["source"]: r["n"] for r in found} == {"a": 2700, "b": 300}
+
+
 def test_mix(docs, documents, spark):
     rows = mix(docs).collect()
     assert len(rows) == len(documents)
