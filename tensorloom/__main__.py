@@ -53,11 +53,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         if token:
             raise Unsupported("a plan of the permutation needs its secret: use transform")
         plan = engine.plan(args.model, args.method, **options)
-        return {"plan_hash": plan.hash, "operations": len(plan.operations), "shards": len(plan.shards), "peak_bytes": plan.peak_bytes}
+        return plan.summary()
     if token != (args.secret_output is not None):
         raise Unsupported("--secret-output belongs to the permutation, which needs it")
     if token and not args.resume:
-        engine.create_secret(args.model, args.secret_output)
+        engine.create_secret(args.model, args.secret_output, args.output)
     manifest = engine.transform(args.model, args.output, args.method, args.secret_output, **options)
     return {"plan_hash": manifest["plan_hash"], "tensors": len(manifest["tensors"])}
 

@@ -31,9 +31,6 @@ class AmbiguousArchitecture(EngineError): ...
 class Unsupported(EngineError): ...
 
 
-class SizeOverflow(EngineError): ...
-
-
 class MemoryLimitExceeded(EngineError): ...
 
 
@@ -56,6 +53,3 @@ class AlreadyExists(EngineError): ...
 
 
 class LockUnavailable(EngineError): ...
-
-
-class InvariantViolated(EngineError): ...

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import errno
 import fcntl
-import hashlib
 import os
-import shutil
 from contextlib import contextmanager
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.errors import AlreadyExists, InvalidPlan, LockUnavailable, OutputCorrupted, ResumeMismatch, UnsupportedVersion
+from tensorloom.errors import AlreadyExists, InvalidPlan, InvalidTensor, LockUnavailable, OutputCorrupted, ResumeMismatch
 from tensorloom.functions.blake3 import Blake3, blake3
 from tensorloom.operators import inventory as inv
-from tensorloom.operators.permutation import bijection_report, permute_rows, secret_permutation
-from tensorloom.plans.plan import METHODS, VERSION, Plan, dimensions, make_plan
-from tensorloom.sources.safetensors import CONFIG, HEAD, INDEX, Artifact, canonical_json, index_of, inventory, joined, local, open_artifact, read_rows, runs, strict_json, write_rows
+from tensorloom.operators.permutation import permute_rows, secret_permutation
+from tensorloom.plans import documents as doc
+from tensorloom.plans.documents import CHECKPOINT, MANIFEST, TOKEN
+from tensorloom.plans.plan import Plan, make_plan
+from tensorloom.plans.registry import LLAMA, Architecture, Architectures, Executor, Executors
+from tensorloom.sources.safetensors import CONFIG, EMBEDDING, HEAD, INDEX, Artifact, canonical_json, file_digests, index_of, inventory, local, open_artifact, read_rows, strict_json, tensor_digests, write_rows
 
-MANIFEST, CHECKPOINT, WORK = "tensorloom.json", "checkpoint.json", ".work"
+WORK = ".work"
 
 
 def _sync(path: Path) -> None:
@@ -53,6 +54,24 @@ def _locked(output: Path):
         yield
 
 
+def _rename_new(stage: Path, target: Path) -> None:
+    """Gives a folder its name in one step, which fails if there is anything under that name, an empty folder too."""
+    try:
+        call = ctypes.CDLL(None, use_errno=True).renameat2
+    except (OSError, AttributeError) as error:
+        raise OSError(errno.ENOSYS, "this system can't rename without replacing") from error
+    here, no_replace = -100, 1
+    if call(here, os.fsencode(stage), here, os.fsencode(target), no_replace):
+        number = ctypes.get_errno()
+        if number == errno.EEXIST:
+            raise AlreadyExists(str(target))
+        raise OSError(number, os.strerror(number), str(target))
+
+
+def copied_rows(rows: DataFrame, plan: Plan, perm: DataFrame | None = None) -> DataFrame:
+    return rows
+
+
 def padded_rows(rows: DataFrame, plan: Plan) -> DataFrame:
     """rows with zeros after those of padded tensors, under their output names."""
     outputs = {t.name: t for t in plan.output}
@@ -71,33 +90,16 @@ def permuted_rows(rows: DataFrame, plan: Plan, perm: DataFrame) -> DataFrame:
     return kept.unionByName(permute_rows(rows.where(F.col("tensor").isin(names)), perm, "row_id")) if names else kept
 
 
-def digests_of(rows: DataFrame) -> DataFrame:
-    """(tensor, digest, byte_length) of rows (tensor, row_id, raw): BLAKE3 of a tensor's bytes in order.
-
-    A tensor is hashed by one task, which holds a batch of its rows; tensors are hashed side by side.
-    """
-
-    def digest(batches):
-        name, state, size, out = None, Blake3(), 0, []
-        for batch in batches:
-            names = np.asarray(batch.column(0).to_pylist(), object)
-            for a, b in runs(names):
-                if names[a] != name:
-                    out += [(name, state.hexdigest(), size)] if name is not None else []
-                    name, state, size = names[a], Blake3(), 0
-                data, _ = joined(batch.column(1).slice(a, b - a))
-                state.update(data)
-                size += len(data)
-        out += [(name, state.hexdigest(), size)] if name is not None else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["tensor", "digest", "byte_length"])
-
-    return rows.repartition("tensor").sortWithinPartitions("tensor", "row_id").select("tensor", "raw").mapInArrow(digest, "tensor string, digest string, byte_length bigint")
+EXECUTORS = (Executor("identity", copied_rows), Executor(TOKEN, lambda rows, plan, perm: permuted_rows(rows, plan, perm), needs_secret=True), Executor("expand-test", lambda rows, plan, perm: padded_rows(rows, plan)))
 
 
 class Engine:
-    def __init__(self, spark: SparkSession) -> None:
+    """Architectures and executors besides its own are given by name, or registered later."""
+
+    def __init__(self, spark: SparkSession, architectures: tuple[Architecture, ...] = (), executors: tuple[Executor, ...] = ()) -> None:
         self.spark = spark
+        self.architectures = Architectures(LLAMA, *architectures)
+        self.executors = Executors(*EXECUTORS, *executors)
 
     def inventory(self, path: str) -> DataFrame:
         return inventory(self.spark, open_artifact(path))
@@ -107,9 +109,9 @@ class Engine:
         artifact = open_artifact(path)
         return inv.inspect(inventory(self.spark, artifact)).withColumn("architecture", F.lit(artifact.architecture))
 
-    def fingerprint(self, artifact: Artifact) -> str:
+    def fingerprint(self, artifact: Artifact, digests: dict[str, str] | None = None) -> str:
         """A digest of config, sidecars and every tensor's content; how tensors are dealt to shards has no part in it."""
-        found = {r["tensor"]: r["digest"] for r in digests_of(read_rows(self.spark, artifact.root)).collect()}  # a row a tensor
+        digests = tensor_digests(self.spark, artifact) if digests is None else digests
         h = Blake3()
 
         def labelled(label: str, data: bytes) -> None:
@@ -122,43 +124,37 @@ class Engine:
             labelled(name, Path(artifact.root, name).read_bytes())
         for t in artifact.tensors:
             labelled("tensor", canonical_json([t.name, t.dtype, list(t.shape), t.byte_length]).encode())
-            labelled("digest", found.get(t.name, blake3(b"").hexdigest()).encode())
+            labelled("digest", digests[t.name].encode())
         return h.hexdigest()
 
     def plan(self, path: str, method: str = "identity", **options) -> Plan:
         artifact = open_artifact(path)
-        return make_plan(artifact, method, self.fingerprint(artifact), **options)
+        return make_plan(artifact, method, self.fingerprint(artifact), architectures=self.architectures, **options)
 
-    def create_secret(self, path: str, secret_path: str) -> dict:
-        """Draws a permutation of the model's vocabulary and stores it where nothing is yet, readable by the owner alone."""
-        artifact = open_artifact(path)
-        size = dimensions(artifact)["vocab_size"]
+    def create_secret(self, path: str, secret_path: str, output: str | None = None) -> dict:
+        """Draws a permutation of the model's vocabulary and stores it where nothing is yet, readable by the owner alone.
+
+        It must not be stored within the model or the output that it is for.
+        """
+        artifact, place = open_artifact(path), Path(local(secret_path)).absolute()
+        target = Path(local(output)).absolute() if output else None
+        doc.check_secret_path(place, Path(artifact.root), *((target, _stage_of(target)) if target else ()))
+        size = self.architectures.detect(artifact).dimensions(artifact)["vocab_size"]
         perm, nonce = secret_permutation(self.spark, size)
         moved = [r["obf"] for r in perm.orderBy("orig").collect()]  # the secret is a document that the driver keeps
-        secret = {"version": 1, "method": {"id": "token-permutation", "version": METHODS["token-permutation"]}, "source_fingerprint": self.fingerprint(artifact), "vocab_size": size, "nonce": nonce, "permutation": moved}
-        secret["secret_id"] = blake3(canonical_json(secret).encode()).hexdigest()
-        fd = os.open(local(secret_path), os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600)
+        secret = doc.new_secret(self.fingerprint(artifact), moved, nonce)
+        fd = os.open(place, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600)
         with os.fdopen(fd, "w") as f:
             f.write(canonical_json(secret))
             f.flush()
             os.fsync(f.fileno())
-        _sync(Path(local(secret_path)).resolve().parent)
+        _sync(place.resolve().parent)
         return secret
 
     def load_secret(self, secret_path: str) -> tuple[dict, DataFrame]:
         """A stored secret that is whole, and its permutation."""
-        text = Path(local(secret_path)).read_bytes()
-        if len(text) > 64 << 20:
-            raise InvalidPlan("a secret of more than 64 MiB")
-        secret = strict_json(text, secret_path)
-        claimed = secret.pop("secret_id", None)
-        if claimed != blake3(canonical_json(secret).encode()).hexdigest():
-            raise InvalidPlan("the secret doesn't match its own id")
-        perm = self.spark.createDataFrame(list(enumerate(secret["permutation"])), "orig bigint, obf bigint")
-        report = bijection_report(perm).first()
-        if report["n"] != secret["vocab_size"] or not (report["obf_complete"] and report["moves"]):
-            raise InvalidPlan("the secret is no permutation, or moves nothing")
-        return secret | {"secret_id": claimed}, perm
+        secret = doc.read_secret(Path(local(secret_path)))
+        return secret, self.spark.createDataFrame(list(enumerate(secret["permutation"])), "orig bigint, obf bigint")
 
     def transform(self, path: str, output: str, method: str = "identity", secret_path: str | None = None, **options) -> dict:
         """Writes the transformed artifact to `output`, which must not be there, and verifies it before it is published.
@@ -167,134 +163,135 @@ class Engine:
         there already is accepted only as the result of the same plan, verified anew.
         """
         source, target = Path(local(path)).resolve(), Path(local(output)).absolute()
-        if source == target or source in target.parents or target in source.parents:
-            raise InvalidPlan("input and output are within each other")
+        target = target.parent.resolve() / target.name
+        stage, executor = _stage_of(target), self.executors.of(method)
+        if executor.needs_secret and not secret_path:
+            raise InvalidPlan("a permutation needs a secret")
+        doc.check_paths(source, target, stage, Path(local(secret_path)).absolute() if secret_path else None)
         artifact, perm, secret = open_artifact(path), None, None
-        fingerprint = self.fingerprint(artifact)
-        if method == "token-permutation":
-            if not secret_path:
-                raise InvalidPlan("a permutation needs a secret")
+        digests = tensor_digests(self.spark, artifact)
+        fingerprint = self.fingerprint(artifact, digests)
+        if executor.needs_secret:
             secret, perm = self.load_secret(secret_path)
             if secret["source_fingerprint"] != fingerprint:
                 raise InvalidPlan("the secret is for another artifact")
-        plan = make_plan(artifact, method, fingerprint, secret_id=secret and secret["secret_id"], **options)
+        plan = make_plan(artifact, method, fingerprint, secret_id=secret and secret["secret_id"], architectures=self.architectures, **options)
+        executor.accept(plan, secret)
+        if secret is not None:
+            if secret["vocab_size"] != plan.logical["vocab_size"]:
+                raise InvalidPlan("the secret is for another vocabulary")
+            _check_tied(artifact, digests)
         if target.exists():
             manifest = target / MANIFEST
-            if manifest.is_file() and strict_json(manifest.read_bytes(), MANIFEST).get("plan_hash") == plan.hash:
-                self.verify(str(target))
-                return strict_json(manifest.read_bytes(), MANIFEST)
-            raise AlreadyExists(str(target))
-        stage = target.with_name(f".{target.name}{WORK}")
+            stored = strict_json(manifest.read_bytes(), MANIFEST) if manifest.is_file() else {}
+            if not doc.same_result(stored, plan):
+                raise AlreadyExists(str(target))
+            self.verify(str(target))
+            return stored
         with _locked(target):
             stage.mkdir(parents=True, exist_ok=True)
-            written = self._write(artifact, plan, perm, stage)
-            manifest = {
-                "artifact_version": VERSION,
-                "plan": plan.document(),
-                "plan_hash": plan.hash,
-                "config_digest": blake3(artifact.config_bytes).hexdigest(),
-                "sidecars": {n: blake3(Path(artifact.root, n).read_bytes()).hexdigest() for n in artifact.sidecars},
-                "tensors": [{"name": t.name, "dtype": t.dtype, "shape": list(t.shape), "digest": written[t.name]} for t in plan.output],
-            }
+            written = self._write(artifact, plan, executor, perm, stage)
+            self._guard(artifact, plan, digests, written)
+            sidecars = {n: blake3(Path(stage, n).read_bytes()).hexdigest() for n in artifact.sidecars}
+            manifest = doc.manifest_of(plan, blake3(artifact.config_bytes).hexdigest(), sidecars, written)
             (stage / CHECKPOINT).unlink(missing_ok=True)
             _store(stage / MANIFEST, canonical_json(manifest))
             self.verify(str(stage))
-            if target.exists():
-                raise AlreadyExists(str(target))
-            os.rename(stage, target)
+            _rename_new(stage, target)
             _sync(target.parent)
         return strict_json(canonical_json(manifest), MANIFEST)
 
-    def _write(self, artifact: Artifact, plan: Plan, perm: DataFrame | None, stage: Path) -> dict[str, str]:
+    @staticmethod
+    def _prepare(artifact: Artifact, plan: Plan, stage: Path) -> None:
+        """Config and sidecars in the stage: what is there already must be the same to the byte."""
+        for name, data in [(CONFIG, artifact.config_bytes), *((n, Path(artifact.root, n).read_bytes()) for n in artifact.sidecars)]:
+            file = stage / name
+            if not file.exists():
+                file.write_bytes(data)
+            elif file.read_bytes() != data:
+                raise ResumeMismatch(f"{name} of the unfinished output is another")
+        known = {s.filename for s in plan.shards} | {CONFIG, CHECKPOINT, INDEX, MANIFEST, *artifact.sidecars}
+        if stray := [p.name for p in stage.iterdir() if p.name not in known and not p.name.endswith(".part")]:
+            raise ResumeMismatch(f"files of no plan: {stray}")
+
+    def _write(self, artifact: Artifact, plan: Plan, executor: Executor, perm: DataFrame | None, stage: Path) -> dict[str, str]:
         """Writes what the stage lacks; gives every output tensor's digest."""
         state = stage / CHECKPOINT
         if state.is_file():
             stored = strict_json(state.read_bytes(), CHECKPOINT)
-            if stored.get("version") != VERSION:
-                raise UnsupportedVersion(str(stored.get("version")))
-            if stored["plan_hash"] != plan.hash:
-                raise ResumeMismatch("the unfinished output is another plan's")
+            doc.check_checkpoint(stored, plan)
         elif any(stage.iterdir()):
             raise ResumeMismatch("the unfinished output has no checkpoint")
         else:
-            stored = {"version": VERSION, "plan_hash": plan.hash, "shards": {}}
+            stored = doc.contract(plan) | {"shards": {}}
             _store(state, canonical_json(stored))
-        (stage / CONFIG).write_bytes(artifact.config_bytes)
-        for name in artifact.sidecars:
-            shutil.copyfile(Path(artifact.root, name), stage / name)
-        known = {s.filename for s in plan.shards} | {CONFIG, CHECKPOINT, INDEX, *artifact.sidecars}
-        if stray := [p.name for p in stage.iterdir() if p.name not in known and not p.name.endswith(".part")]:
-            raise ResumeMismatch(f"files of no plan: {stray}")
-        digests: dict[str, str] = {}
-        missing = []
-        for shard in plan.shards:
-            done = stored["shards"].get(shard.filename)
-            if done is None:
-                missing.append(shard)
-                continue
+        self._prepare(artifact, plan, stage)
+        done = [s for s in plan.shards if s.filename in stored["shards"]]
+        for shard in done:
             file = stage / shard.filename
-            if not file.is_file() or file.stat().st_size != len(shard.header) + shard.payload or self._file_digest(file) != done["file"]:
+            if not file.is_file() or file.stat().st_size != len(shard.header) + shard.payload:
+                raise OutputCorrupted(f"{shard.filename} is not as it was written")
+        found = file_digests(self.spark, [stage / s.filename for s in done])
+        digests: dict[str, str] = {}
+        for shard in done:
+            if found[shard.filename] != stored["shards"][shard.filename]["file"]:
                 raise OutputCorrupted(f"{shard.filename} is not as it was written")
-            digests |= done["tensors"]
+            digests |= stored["shards"][shard.filename]["tensors"]
+        missing = [s for s in plan.shards if s.filename not in stored["shards"]]
         made_from = {o.output: o.inputs[0] for o in plan.operations}
         wave = max(1, self.spark.sparkContext.defaultParallelism)
-        for i in range(0, len(missing), wave):  # a job writes a wave of shards side by side; each wave is a point to go on from
+        for i in range(0, len(missing), wave):  # a job writes a wave of shards; each wave is a point to go on from
             shards = missing[i : i + wave]
-            rows = padded_rows(read_rows(self.spark, artifact.root, [made_from[t.name] for s in shards for t in s.tensors]), plan)
-            rows = permuted_rows(rows, plan, perm) if perm is not None else rows
-            part = write_rows(rows, shards, str(stage)).collect()  # a row a tensor
+            rows = read_rows(self.spark, artifact.root, [made_from[t.name] for s in shards for t in s.tensors])
+            part = write_rows(executor.run(rows, plan, perm), shards, str(stage)).collect()  # a row a tensor
+            files = file_digests(self.spark, [stage / s.filename for s in shards])
             for shard in shards:
-                found = {r["tensor"]: r["digest"] for r in part if r["filename"] == shard.filename}
-                stored["shards"][shard.filename] = {"file": self._file_digest(stage / shard.filename), "tensors": found}
-                digests |= found
+                tensors = {r["tensor"]: r["digest"] for r in part if r["filename"] == shard.filename}
+                stored["shards"][shard.filename] = {"file": files[shard.filename], "tensors": tensors}
+                digests |= tensors
             _store(state, canonical_json(stored))
         if index := index_of(plan.shards):
             (stage / INDEX).write_text(index, encoding="utf-8")
-        if perm is not None:
-            self._guard(artifact, plan, digests)
         return digests
 
-    def _guard(self, artifact: Artifact, plan: Plan, digests: dict[str, str]) -> None:
-        """A permutation that leaves the embedding as it was is an error; the head may be all alike."""
-        names = [o.output for o in plan.operations if o.kind == "permute" and o.output != HEAD]
-        before = digests_of(read_rows(self.spark, artifact.root, names)).collect()
-        for r in before:
-            if digests[r["tensor"]] == r["digest"]:
-                raise InvalidPlan(f"{r['tensor']} is the same after the permutation")
-
-    @staticmethod
-    def _file_digest(path: Path) -> str:
-        h = Blake3()
-        with path.open("rb") as f:
-            while data := f.read(4 << 20):
-                h.update(data)
-        return h.hexdigest()
+    def _guard(self, artifact: Artifact, plan: Plan, before: dict[str, str], written: dict[str, str]) -> None:
+        """The source must be as it was when it was planned, and a permutation must not leave the embedding as it was."""
+        for o in plan.operations:
+            if o.kind == "copy" and written[o.output] != before[o.inputs[0]]:
+                raise InvalidTensor(f"{o.inputs[0]} changed while it was read")
+            if o.kind == "permute" and o.output != HEAD and written[o.output] == before[o.inputs[0]]:
+                raise InvalidPlan(f"{o.output} is the same after the permutation")
+        others = [o.inputs[0] for o in plan.operations if o.kind != "copy"]
+        again = tensor_digests(self.spark, artifact, others) if others else {}
+        if changed := [n for n, d in again.items() if d != before[n]]:
+            raise InvalidTensor(f"{changed[0]} changed while it was read")
 
     def verify(self, path: str) -> dict:
         """Checks a published artifact against its manifest, by reading every byte; one without is checked as a container."""
         artifact = open_artifact(path)
         root = Path(artifact.root)
+        digests = tensor_digests(self.spark, artifact)
+        report = {"tensors": len(artifact.tensors), "payload_bytes": sum(t.byte_length for t in artifact.tensors), "fingerprint": self.fingerprint(artifact, digests)}
         file = root / MANIFEST
         if not file.is_file():
-            return {"scope": "container", "tensors": len(artifact.tensors)}
+            return {"scope": "container"} | report
         manifest = strict_json(file.read_bytes(), MANIFEST)
-        if manifest.get("artifact_version") != VERSION:
-            raise UnsupportedVersion(str(manifest.get("artifact_version")))
-        if hashlib.sha256(canonical_json(manifest["plan"]).encode()).hexdigest() != manifest["plan_hash"]:
-            raise OutputCorrupted("the plan and its hash differ")
-        if blake3(artifact.config_bytes).hexdigest() != manifest["config_digest"]:
-            raise OutputCorrupted(CONFIG)
-        for name, digest in manifest["sidecars"].items():
-            if name not in artifact.sidecars or blake3((root / name).read_bytes()).hexdigest() != digest:
-                raise OutputCorrupted(name)
-        found = {r["tensor"]: r["digest"] for r in digests_of(read_rows(self.spark, path)).collect()}
-        listed = {t["name"]: t for t in manifest["tensors"]}
-        if listed.keys() != {t.name for t in artifact.tensors}:
-            raise OutputCorrupted("tensors are missing or added")
-        layout = {n: s["filename"] for s in manifest["plan"]["layout"] for n in s["tensors"]}
-        for t in artifact.tensors:
-            entry = listed[t.name]
-            if (t.dtype, list(t.shape)) != (entry["dtype"], entry["shape"]) or found.get(t.name, blake3(b"").hexdigest()) != entry["digest"] or layout.get(t.name) != t.shard:
-                raise OutputCorrupted(t.name)
-        return {"scope": "current", "tensors": len(artifact.tensors), "plan_hash": manifest["plan_hash"]}
+        plan = doc.check_manifest(manifest)
+        sizes = {name: (root / name).stat().st_size for name in {t.shard for t in artifact.tensors} | {s["filename"] for s in manifest.get("layout") or [] if (root / s["filename"]).is_file()}}
+        doc.check_artifact(artifact, manifest, plan, digests, sizes)
+        if plan is None:
+            return {"scope": "legacy"} | report
+        doc.check_index((root / INDEX).read_text(encoding="utf-8") if (root / INDEX).is_file() else None, plan.shards)
+        return {"scope": "current", "plan_hash": manifest["plan_hash"], "standard": manifest["standard"]} | report
+
+
+def _stage_of(target: Path) -> Path:
+    return target.with_name(f".{target.name}{WORK}")
+
 
+def _check_tied(artifact: Artifact, digests: dict[str, str]) -> None:
+    """A head that the config ties to the embedding must be the same, if it is there: only then may both be permuted as one."""
+    head, embedding = artifact.tensor(HEAD), artifact.tensor(EMBEDDING)
+    if artifact.config.get("tie_word_embeddings") is True and head and embedding:
+        if (head.dtype, head.shape) != (embedding.dtype, embedding.shape) or digests[HEAD] != digests[EMBEDDING]:
+            raise InvalidTensor(f"{HEAD} is tied to the embedding and differs from it")

@@ -5,63 +5,18 @@ from __future__ import annotations
 import hashlib
 from dataclasses import asdict, dataclass, field
 
-from tensorloom.errors import InvalidPlan, MemoryLimitExceeded, Unsupported, UnsupportedArchitecture, UnsupportedVersion
-from tensorloom.operators.checks import LAYER, REQUIRED, VOCABULARY_DTYPES, WHOLE
+from tensorloom.errors import InvalidPlan, MemoryLimitExceeded, Unsupported, UnsupportedVersion
+from tensorloom.functions.blake3 import blake3
 from tensorloom.operators.inventory import CHUNK, TENSOR_BYTES, TOKEN_BYTES
-from tensorloom.sources.safetensors import EMBEDDING, HEAD, Artifact, Shard, Tensor, canonical_json, plan_shards
+from tensorloom.plans.registry import LLAMA, Architectures, natural
+from tensorloom.sources.safetensors import Artifact, Shard, Tensor, canonical_json, plan_shards
 
 VERSION = 3
 METHODS = {"identity": "0.1", "token-permutation": "0.1", "expand-test": "0.1"}
 
 
-def natural(config: dict, name: str) -> int | None:
-    value = config.get(name)
-    return value if type(value) is int and value >= 0 else None
-
-
-def dimensions(artifact: Artifact) -> dict[str, int]:
-    """The dimensions of a model that is supported; an error says what keeps another from being so."""
-    if artifact.config.get("model_type") != "llama":
-        raise UnsupportedArchitecture(artifact.architecture)
-    dims = {}
-    for name in REQUIRED:
-        value = natural(artifact.config, name)
-        if value is None:
-            raise UnsupportedArchitecture(f"no {name}")
-        dims[name] = value
-    heads, hidden = dims["num_attention_heads"], dims["hidden_size"]
-    kv = natural(artifact.config, "num_key_value_heads")
-    kv = heads if kv is None else kv
-    if not heads or not kv or kv > heads or hidden % heads:
-        raise UnsupportedArchitecture(f"{heads} heads, {kv} key-value heads and a hidden size of {hidden}")
-    head = natural(artifact.config, "head_dim")
-    head = hidden // heads if head is None else head
-    if heads * head != hidden:
-        raise UnsupportedArchitecture(f"{heads} heads of {head} for a hidden size of {hidden}")
-    return dims | {"num_key_value_heads": kv, "head_dim": head}
-
-
-def check_schema(artifact: Artifact, dims: dict[str, int]) -> None:
-    sizes = {"hidden": dims["hidden_size"], "inner": dims["intermediate_size"], "kv": dims["num_key_value_heads"] * dims["head_dim"], "vocab": dims["vocab_size"]}
-    wanted = {f"model.layers.{i}.{name}": shape for i in range(dims["num_hidden_layers"]) for name, shape in LAYER.items()} | WHOLE
-    for name, shape in wanted.items():
-        t = artifact.tensor(name)
-        if t is None:
-            if name in artifact.aliases:
-                continue
-            raise UnsupportedArchitecture(f"no tensor {name}")
-        if t.shape != tuple(sizes[s] for s in shape):
-            raise UnsupportedArchitecture(f"{name} has the shape {list(t.shape)}")
-
-
-def check_vocabulary(artifact: Artifact, vocab: int) -> None:
-    """What a vocabulary must be like to be permuted."""
-    if artifact.tensor("lm_head.bias"):
-        raise Unsupported("a head with a bias")
-    for name in (EMBEDDING, HEAD):
-        t = artifact.tensor(name)
-        if t and (t.dtype not in VOCABULARY_DTYPES or t.shape[:1] != (vocab,)):
-            raise Unsupported(f"{name}: {t.dtype} {list(t.shape)}")
+def layout_hash(layout: list[dict]) -> str:
+    return blake3(canonical_json(layout).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -89,6 +44,42 @@ class Plan:
     physical: dict[str, int] = field(default_factory=dict)
     expansion: int | None = None
     version: int = VERSION
+    workers: int = 1
+    dtype: str = "preserve"
+
+    def layout(self) -> list[dict]:
+        """Every shard with the places of its tensors, offsets being from the end of the header."""
+        out = []
+        for i, s in enumerate(self.shards):
+            at, tensors = 0, []
+            for t in s.tensors:
+                tensors.append({"name": t.name, "dtype": t.dtype, "shape": list(t.shape), "offset": at, "byte_length": t.byte_length})
+                at += t.byte_length
+            out.append({"id": i, "filename": s.filename, "payload": at, "file_length": len(s.header) + at, "tensors": tensors})
+        return out
+
+    def runtime(self) -> dict:
+        standard = self.expansion is None
+        out = {"id": "huggingface" if standard else "padded", "standard": standard, "logical": self.logical, "physical": self.physical}
+        return out if standard else out | {"expansion": self.expansion}
+
+    def summary(self) -> dict:
+        return {
+            "version": self.version,
+            "method": {"id": self.method, "version": METHODS[self.method]},
+            "secret_id": self.secret_id,
+            "architecture": self.architecture,
+            "runtime": self.runtime(),
+            "source_fingerprint": self.fingerprint,
+            "plan_hash": self.hash,
+            "source_tensor_count": len(self.source),
+            "output_tensor_count": len(self.output),
+            "operations": len(self.operations),
+            "source_payload_bytes": sum(t.byte_length for t in self.source),
+            "output_payload_bytes": sum(t.byte_length for t in self.output),
+            "shards": [{"id": s["id"], "filename": s["filename"], "payload_bytes": s["payload"], "file_bytes": s["file_length"]} for s in self.layout()],
+            "memory": {"limit": self.memory_limit, "peak": self.peak_bytes},
+        }
 
     def document(self) -> dict:
         strip = lambda t: {k: v for k, v in asdict(t).items() if k not in ("shard", "offset")}
@@ -100,14 +91,14 @@ class Plan:
             "source": [asdict(t) for t in self.source],
             "output": [strip(t) for t in self.output],
             "operations": [asdict(o) for o in self.operations],
-            "layout": [{"filename": s.filename, "tensors": [t.name for t in s.tensors], "payload": s.payload} for s in self.shards],
+            "layout": self.layout(),
             "memory": {"limit": self.memory_limit, "peak": self.peak_bytes},
-            "dimensions": {"logical": self.logical, "physical": self.physical},
+            "runtime": self.runtime(),
+            "workers": self.workers,
+            "dtype": self.dtype,
         }
         if self.secret_id is not None:
             out["secret_id"] = self.secret_id
-        if self.expansion is not None:
-            out["expansion"] = self.expansion
         return out
 
     @property
@@ -118,6 +109,8 @@ class Plan:
         """The rules of a plan's graph and method; the same on tables are in operators.checks."""
         if self.version != VERSION:
             raise UnsupportedVersion(str(self.version))
+        if self.workers != 1 or self.dtype != "preserve":
+            raise Unsupported(f"{self.workers} workers, dtype {self.dtype}")
         sources, outputs = {t.name: t for t in self.source}, {t.name: t for t in self.output}
         made: set[str] = set()
         if len({o.id for o in self.operations}) < len(self.operations):
@@ -144,35 +137,65 @@ class Plan:
             raise InvalidPlan("method and secret don't agree")
         if self.method != "expand-test" and (self.logical != self.physical or self.expansion is not None):
             raise InvalidPlan("a standard method keeps the dimensions")
+        if self.method == "expand-test" and (not self.expansion or self.physical.get("hidden_size") != self.logical.get("hidden_size", 0) + 2 * self.expansion):
+            raise InvalidPlan("the physical hidden size is not the padded one")
         if sorted(t.name for s in self.shards for t in s.tensors) != sorted(outputs):
             raise InvalidPlan("the layout is not of the outputs")
 
 
-def make_plan(artifact: Artifact, method: str, fingerprint: str, memory_limit: int = 256 << 20, max_shard: int = 4 << 30, secret_id: str | None = None, expansion: int | None = None) -> Plan:
+def plan_from(document: dict) -> Plan:
+    """The plan that a document is of."""
+    tensor = lambda d: Tensor(d["name"], d["dtype"], tuple(d["shape"]), d.get("shard", ""), d.get("offset", 0))
+    method, runtime = document["method"], document["runtime"]
+    if METHODS.get(method["id"]) != method["version"]:
+        raise InvalidPlan(f"method {method['id']} {method['version']}")
+    return Plan(
+        method["id"],
+        document["architecture"],
+        document["source_fingerprint"],
+        [tensor(t) for t in document["source"]],
+        [tensor(t) for t in document["output"]],
+        [Operation(o["id"], o["kind"], tuple(o["inputs"]), o["output"], o["extra_columns"]) for o in document["operations"]],
+        [Shard(s["filename"], tuple(Tensor(t["name"], t["dtype"], tuple(t["shape"])) for t in s["tensors"])) for s in document["layout"]],
+        document["memory"]["limit"],
+        document["memory"]["peak"],
+        document.get("secret_id"),
+        runtime["logical"],
+        runtime["physical"],
+        runtime.get("expansion"),
+        document["version"],
+        document["workers"],
+        document["dtype"],
+    )
+
+
+def make_plan(artifact: Artifact, method: str, fingerprint: str, memory_limit: int = 256 << 20, max_shard: int = 4 << 30, secret_id: str | None = None, expansion: int | None = None, architectures: Architectures | None = None) -> Plan:
     """The plan of a method on an artifact: one operation a tensor, in order of names."""
     if method not in METHODS:
         raise Unsupported(method)
     if max_shard <= 0:
         raise InvalidPlan("the largest shard must have a size above zero")
     operations, output, logical, physical = [], [], {}, {}
-    vocab = 0
+    vocab, moved = 0, ()
     if method == "expand-test":
         hidden = natural(artifact.config, "hidden_size")
         if not expansion or hidden is None:
             raise InvalidPlan("padding needs an expansion and a hidden size")
         logical, physical = {"hidden_size": hidden}, {"hidden_size": hidden + 2 * expansion}
     else:
-        dims = dimensions(artifact)
-        check_schema(artifact, dims)
+        kind = (architectures or Architectures(LLAMA)).detect(artifact)
+        dims = kind.dimensions(artifact)
+        kind.check_schema(artifact, dims)
         logical = physical = dims
         if method == "token-permutation":
             vocab = dims["vocab_size"]
             if vocab < 2:
                 raise InvalidPlan("a vocabulary of fewer than two rows")
-            check_vocabulary(artifact, vocab)
+            kind.check_vocabulary(artifact, vocab)
+            moved = kind.vocabulary
     for i, t in enumerate(artifact.tensors):
         kind, extra, target = "copy", 0, Tensor(t.name, t.dtype, t.shape)
-        if vocab and t.name in (EMBEDDING, HEAD):
+        if t.name in moved:
             kind = "permute"
         elif method == "expand-test" and len(t.shape) == 2 and t.shape[1] == logical["hidden_size"]:
             kind, extra = "pad", 2 * expansion

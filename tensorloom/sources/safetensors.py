@@ -1,7 +1,8 @@
 """Safetensors files as tables: strict headers, a partitioned reader, and a writer of whole shards.
 
 A row is (tensor, row_id, raw): one step along the first dimension, its bytes as they are. Reading and writing go by
-ranges of bounded size, so that neither a tensor nor a shard has to fit in memory.
+ranges of bounded size, so that neither a tensor nor a shard has to fit in memory. Rows are written to their places wherever
+they are, and digests are put together from pieces that are hashed side by side, so that no row is exchanged for either.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import math
 import os
 import struct
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -19,16 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from tensorloom.errors import InvalidArtifact, InvalidJson, InvalidTensor, PathEscape, UnsupportedDType
-from tensorloom.functions.blake3 import Blake3, blake3
+from tensorloom.errors import AlreadyExists, InvalidArtifact, InvalidJson, InvalidTensor, MissingTensor, PathEscape, UnsupportedDType
+from tensorloom.functions.blake3 import PIECE, blake3, joined_digest, piece_value
 from tensorloom.functions.scalars import WIDTHS
 
 #: Fixed values of the format.
 HEADER_LIMIT = 64 << 20
 CONFIG, SINGLE, INDEX = "config.json", "model.safetensors", "model.safetensors.index.json"
-SIDECARS = ("chat_template.jinja", "generation_config.json", "special_tokens_map.json", "tokenizer.json", "tokenizer.model", "tokenizer_config.json")
+SIDECARS = ("generation_config.json", "tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "vocab.json", "merges.txt")
 EMBEDDING, HEAD = "model.embed_tokens.weight", "lm_head.weight"
 
 RANGE_BYTES = 64 << 20  # of a reader's partition
@@ -87,6 +88,14 @@ class Tensor:
     def row_bytes(self) -> int:
         return math.prod(self.shape[1:]) * WIDTHS[self.dtype]
 
+    def matrix_row_bytes(self) -> int:
+        """Bytes of a row of a matrix whose rows are to be moved."""
+        if len(self.shape) != 2:
+            raise InvalidTensor(f"{self.name}: {len(self.shape)} dimensions where a matrix is needed")
+        if not self.shape[1]:
+            raise InvalidTensor(f"{self.name}: rows without values")
+        return self.row_bytes
+
 
 def encode_header(tensors: list[Tensor]) -> bytes:
     """The header of a file that holds these tensors one after another, with its length before it."""
@@ -176,6 +185,12 @@ class Artifact:
     def tensor(self, name: str) -> Tensor | None:
         return next((t for t in self.tensors if t.name == name), None)
 
+    def required(self, name: str) -> Tensor:
+        tensor = self.tensor(name)
+        if tensor is None:
+            raise MissingTensor(name)
+        return tensor
+
 
 def open_artifact(path: str) -> Artifact:
     """Opens and validates a folder with a config and either one weights file or an index of several."""
@@ -214,7 +229,7 @@ def open_artifact(path: str) -> Artifact:
         if total is not None and total != sum(t.byte_length for t in tensors.values()):
             raise InvalidArtifact(f"{path}: the index has another total size")
     aliases = {HEAD: EMBEDDING} if config.get("tie_word_embeddings") is True and HEAD not in tensors and EMBEDDING in tensors else {}
-    return Artifact(str(root), config_bytes, config, [tensors[n] for n in sorted(tensors, key=str.encode)], [n for n in SIDECARS if (root / n).is_file()], aliases)
+    return Artifact(str(root), config_bytes, config, [tensors[n] for n in sorted(tensors, key=str.encode)], [n for n in sorted(SIDECARS) if (root / n).is_file()], aliases)
 
 
 def inventory(spark: SparkSession, artifact: Artifact) -> DataFrame:
@@ -235,16 +250,18 @@ class RowRange(InputPartition):
 class SafetensorsReader(DataSourceReader):
     """Partitions are ranges of rows of RANGE_BYTES at most; tensors that are not asked for are never opened."""
 
-    def __init__(self, root: str, names: list[str] | None) -> None:
-        self.root, self.names = root, names
+    def __init__(self, root: str, names: list[str] | None, first: int = 0, last: int | None = None) -> None:
+        self.root, self.names = root, None if names is None else set(names)
+        self.first, self.last = first, last  # row ids that are asked for
 
     def partitions(self) -> list[RowRange]:
         artifact, out = open_artifact(self.root), []
         for t in artifact.tensors:
-            if (self.names is None or t.name in self.names) and t.rows:
+            if self.names is None or t.name in self.names:
                 step = max(1, RANGE_BYTES // max(1, t.row_bytes))
                 path = str(Path(artifact.root) / t.shard)
-                out += [RowRange(t.name, path, t.offset, t.row_bytes, a, min(t.rows, a + step)) for a in range(0, t.rows, step)]
+                stop = t.rows if self.last is None else min(t.rows, self.last + 1)
+                out += [RowRange(t.name, path, t.offset, t.row_bytes, a, min(stop, a + step)) for a in range(max(0, self.first), stop, step)]
         return out
 
     def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
@@ -262,11 +279,39 @@ class SafetensorsReader(DataSourceReader):
                 yield pa.record_batch({"tensor": pa.array([p.tensor] * n), "row_id": pa.array(range(a, a + n), pa.int64()), "raw": pa.array(rows, pa.binary())})
 
 
+class PruningReader(SafetensorsReader):
+    """Also leaves out tensors and rows that filters rule out. Every filter is handed back and applied above the scan too.
+
+    For a table that a query scans once: all scans of one load() share their reader's state in Spark 4.1, so that of two
+    with different filters one would lose rows.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            self._narrow(f)
+            yield f
+
+    def _narrow(self, f: Filter) -> None:
+        column = getattr(f, "attribute", None)
+        if column == ("tensor",) and isinstance(f, EqualTo | In):
+            wanted = set(f.value if isinstance(f, In) else (f.value,))
+            self.names = wanted if self.names is None else self.names & wanted
+        elif column == ("row_id",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+            if not isinstance(f, LessThan | LessThanOrEqual):
+                self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+            if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                upto = f.value - isinstance(f, LessThan)
+                self.last = upto if self.last is None else min(self.last, upto)
+
+
 class SafetensorsSource(DataSource):
-    """spark.read.format('safetensors').load(folder): the rows of every tensor, or of those in the option 'tensors' (JSON).
+    """spark.read.format('safetensors').load(folder): the rows of every tensor, or of those in the option 'tensors' (JSON),
+    all of their rows or those of the option 'rows' (JSON: first and last row_id).
 
-    Tensors are chosen by that option and not by pushed filters: two scans that differ in what was pushed alone are taken
-    for one by the planner, which then reads one of them twice.
+    With the option 'pushdown' (and spark.sql.python.filterPushdown.enabled) filters on tensor and row_id prune what is read
+    of a table that a query scans once.
+    df.write.format('safetensors') takes rows of the tensors in the option 'tensors' (JSON: [name, dtype, shape] each), at most
+    'max_shard' bytes a shard, and an option 'config' (JSON text of the config); the folder must not hold an artifact.
     """
 
     @classmethod
@@ -277,12 +322,31 @@ class SafetensorsSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SafetensorsReader:
-        return SafetensorsReader(self.options["path"], json.loads(self.options.get("tensors", "null")))
+        kind = PruningReader if self.options.get("pushdown") == "true" else SafetensorsReader
+        first, last = json.loads(self.options.get("rows", "[0, null]"))
+        return kind(self.options["path"], json.loads(self.options.get("tensors", "null")), first, last)
+
+    def writer(self, schema, overwrite: bool) -> SafetensorsWriter:
+        if [f.name for f in schema.fields] != ["tensor", "row_id", "raw"]:
+            raise InvalidTensor("rows to be written are (tensor, row_id, raw)")
+        if overwrite:
+            raise AlreadyExists("artifacts are never overwritten: use the mode 'append' on a new folder")
+        tensors = [Tensor(name, dtype, tuple(shape)) for name, dtype, shape in json.loads(self.options["tensors"])]
+        return SafetensorsWriter(self.options["path"], plan_shards(tensors, int(self.options.get("max_shard", 4 << 30))), self.options.get("config", "{}"))
 
 
-def read_rows(spark: SparkSession, path: str, tensors: list[str] | None = None) -> DataFrame:
+def register(spark: SparkSession) -> None:
     spark.dataSource.register(SafetensorsSource)
-    return spark.read.format("safetensors").option("tensors", json.dumps(tensors)).load(path)
+
+
+def read_rows(spark: SparkSession, path: str, tensors: list[str] | None = None, rows: tuple[int, int | None] = (0, None), pushdown: bool = False) -> DataFrame:
+    """The rows of some or all tensors, from the first to the last row_id of `rows`; see SafetensorsSource for pushdown."""
+    register(spark)
+    reader = spark.read.format("safetensors").option("tensors", json.dumps(tensors)).option("rows", json.dumps(rows))
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        reader = reader.option("pushdown", "true")
+    return reader.load(path)
 
 
 @dataclass(frozen=True)
@@ -330,78 +394,182 @@ def joined(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(data or b"")[int(ends[0]) : int(ends[-1])], ends
 
 
+Place = tuple[str, int, int, int]  # file, where the tensor begins in it, bytes of a row, rows
+
+
+def prepared(shards: list[Shard], folder: str) -> dict[str, Place]:
+    """Makes every shard's file at its full length, with its header, under a name for work; gives the tensors' places."""
+    root, places = Path(local(folder)), {}
+    root.mkdir(parents=True, exist_ok=True)
+    for shard in shards:
+        path, at = root / f".{shard.filename}.part", len(shard.header)
+        with path.open("wb") as f:
+            f.write(shard.header)
+            f.truncate(at + shard.payload)
+        for t in shard.tensors:
+            places[t.name] = (str(path), at, t.row_bytes, t.rows)
+            at += t.byte_length
+    return places
+
+
+def put_rows(batches: Iterator[pa.RecordBatch], places: dict[str, Place]) -> dict[str, list[int]]:
+    """Writes rows to their places; gives for each tensor the number of rows, and the sums of their ids and of the squares.
+
+    The same row may be written again by a task that runs again: it goes to the same place. Rows of other tensors are left out.
+    """
+    files, seen = {}, {}
+    try:
+        for batch in batches:
+            names = np.asarray(batch.column(0).to_pylist(), object)
+            ids = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
+            group = np.cumsum(np.append(0, np.diff(ids) != 1)) if len(ids) else ids
+            for a, b in runs(names, group):
+                if names[a] not in places:
+                    continue
+                path, at, width, rows = places[names[a]]
+                data, ends = joined(batch.column(2).slice(a, b - a))
+                if ids[a] < 0 or ids[b - 1] >= rows or (np.diff(ends) != width).any():
+                    raise InvalidTensor(f"{names[a]}: rows {ids[a]} to {ids[b - 1]} of {rows}, or of another length than {width}")
+                if path not in files:
+                    files[path] = os.open(path, os.O_WRONLY)
+                start = at + int(ids[a]) * width
+                while data:
+                    n = os.pwrite(files[path], data, start)
+                    data, start = data[n:], start + n
+                note = seen.setdefault(names[a], [0, 0, 0])
+                for k, x in enumerate((b - a, sum(ids[a:b].tolist()), sum(i * i for i in ids[a:b].tolist()))):
+                    note[k] += x
+        for fd in files.values():
+            os.fsync(fd)
+    finally:
+        for fd in files.values():
+            os.close(fd)
+    return seen
+
+
+def published(shards: list[Shard], folder: str, notes: list[dict[str, list[int]]]) -> None:
+    """Gives the shards' files their names, if every row of every tensor was written once, by what the tasks noted."""
+    total: dict[str, list[int]] = {}
+    for note in notes:
+        for name, sums in note.items():
+            total[name] = [x + y for x, y in zip(total.get(name, (0, 0, 0)), sums, strict=True)]
+    for shard in shards:
+        for t in shard.tensors:
+            n = t.rows
+            if total.get(t.name, [0, 0, 0]) != [n, n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6]:
+                raise InvalidTensor(f"{t.name}: rows are missing or repeated ({total.get(t.name, [0])[0]} of {n})")
+    root = Path(local(folder))
+    for shard in shards:
+        os.replace(root / f".{shard.filename}.part", root / shard.filename)
+
+
+@dataclass
+class Noted(WriterCommitMessage):
+    rows: dict[str, list[int]]
+
+
+class SafetensorsWriter(DataSourceArrowWriter):
+    """Every task puts its rows where they belong in files of full length, which get their names when all rows are there."""
+
+    def __init__(self, folder: str, shards: list[Shard], config: str) -> None:
+        self.folder, self.shards, self.config = folder, shards, config
+        root = Path(local(folder))
+        if root.is_dir() and any((root / n).exists() for n in (CONFIG, SINGLE, INDEX)):
+            raise AlreadyExists(folder)
+        strict_json(config, CONFIG)
+        self.places = prepared(shards, folder)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Noted:
+        return Noted(put_rows(iterator, self.places))
+
+    def commit(self, messages: list[Noted | None]) -> None:
+        published(self.shards, self.folder, [m.rows for m in messages if m is not None])
+        root = Path(local(self.folder))
+        if index := index_of(self.shards):
+            (root / INDEX).write_text(index, encoding="utf-8")
+        (root / CONFIG).write_text(self.config, encoding="utf-8")
+
+    def abort(self, messages: list[Noted | None]) -> None:
+        for shard in self.shards:
+            Path(local(self.folder), f".{shard.filename}.part").unlink(missing_ok=True)
+
+
 def write_rows(rows: DataFrame, shards: list[Shard], folder: str) -> DataFrame:
-    """Writes rows (tensor, row_id, raw) to the shards' files; gives (filename, tensor, digest, byte_length) of what was written.
+    """Writes rows (tensor, row_id, raw) to the shards' files; gives (filename, tensor, digest, byte_length) of what is there.
 
-    Each shard is written by one task in order of place, so no file is written to by two; a file appears under its name
-    only when it is whole, and a task that runs again writes it again. A row that is missing, repeated or of another
-    length fails the task. Digests (BLAKE3) are of the bytes that went to the file.
+    Rows are written by the tasks that have them, so none are exchanged. A row that is missing, repeated or of another length
+    is an error, and then no file gets its name. Digests (BLAKE3) are of the files, read back.
     """
-    spark = rows.sparkSession
-    root = local(folder)
-    places = [(t.name, i, k) for i, s in enumerate(shards) for k, t in enumerate(s.tensors)]
-    place = spark.createDataFrame(places, "tensor string, shard int, k int")  # a row a tensor
-    ordered = rows.join(F.broadcast(place), "tensor").repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "k", "row_id")
-    plan = [(s.filename, s.header, [asdict(t) for t in s.tensors]) for s in shards]
+    spark, places = rows.sparkSession, prepared(shards, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"shard": None}
-        done: list[tuple] = []
-
-        def close() -> None:
-            if state["shard"] is None:
-                return
-            filename, _, tensors = plan[state["shard"]]
-            finish(len(tensors))
-            state["file"].flush()
-            os.fsync(state["file"].fileno())
-            state["file"].close()
-            os.replace(state["path"], os.path.join(root, filename))
-
-        def finish(upto: int) -> None:
-            """Ends the open tensor, and passes over empty ones, up to the number `upto`."""
-            filename, _, tensors = plan[state["shard"]]
-            while state["k"] < upto:
-                t = Tensor(**tensors[state["k"]])
-                if state["bytes"] != t.byte_length:
-                    raise InvalidTensor(f"{t.name}: {state['bytes']} of {t.byte_length} bytes")
-                done.append((filename, t.name, state["hash"].hexdigest(), t.byte_length))
-                state.update(k=state["k"] + 1, row=0, bytes=0, hash=Blake3())
+        seen = put_rows(batches, places)
+        if seen:
+            yield pa.record_batch({"tensor": pa.array(list(seen)), "sums": pa.array([json.dumps(x) for x in seen.values()])})
+
+    noted = rows.select("tensor", "row_id", "raw").mapInArrow(write, "tensor string, sums string").collect()  # a row a task and tensor
+    published(shards, folder, [{r["tensor"]: json.loads(r["sums"])} for r in noted])
+    ranges, where = [], {}
+    for shard in shards:
+        at = len(shard.header)
+        for t in shard.tensors:
+            ranges.append((t.name, str(Path(local(folder), shard.filename)), at, t.byte_length))
+            where[t.name] = shard.filename
+            at += t.byte_length
+    found = range_digests(spark, ranges)
+    return spark.createDataFrame([(where[name], name, found[name], n) for name, _, _, n in ranges], "filename string, tensor string, digest string, byte_length bigint")
+
+
+SPAN = 64 * PIECE  # bytes that one row of work stands for
 
+
+def range_digests(spark: SparkSession, ranges: list[tuple[str, str, int, int]]) -> dict[str, str]:
+    """The BLAKE3 digest of each range (name, path, offset, length) of a file.
+
+    Ranges are hashed in spans by as many tasks as there are; of a span only its pieces' values, 32 bytes a MiB, are exchanged.
+    """
+    out = {name: blake3(b"").hexdigest() for name, _, _, n in ranges if not n}
+    ranges = [r for r in ranges if r[3]]
+    if not ranges:
+        return out
+    total = sum(-(-r[3] // SPAN) for r in ranges)
+    rows = spark.createDataFrame(ranges, "name string, path string, offset bigint, length bigint")
+    spans = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {SPAN}"))).alias("span"))
+    spans = spans.repartition(min(total, 4 * spark.sparkContext.defaultParallelism + total // 16), "name", "span")
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, path, offset, length, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = []
+                with open(path, "rb") as f:
+                    f.seek(offset + span * SPAN)
+                    for a in range(span * SPAN, min(length, (span + 1) * SPAN), PIECE):
+                        data = f.read(min(PIECE, length - a))
+                        if len(data) != min(PIECE, length - a):
+                            raise InvalidTensor(f"{name}: the file ends early")
+                        found.append(piece_value(data, a // PIECE) if length > PIECE else blake3(data).digest())
+                yield pa.record_batch({"name": pa.array([name]), "span": pa.array([span], pa.int64()), "values": pa.array([b"".join(found)], pa.binary())})
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards, ks, ids = (np.asarray(batch.column(i)) for i in range(3))
-            for a, b in runs(shards, ks):
-                shard, k = int(shards[a]), int(ks[a])
-                if shard != state["shard"]:
-                    close()
-                    path = os.path.join(root, f".{plan[shard][0]}.{os.getpid()}.part")
-                    state = {"shard": shard, "path": path, "file": open(path, "wb"), "k": 0, "row": 0, "bytes": 0, "hash": Blake3()}  # noqa: SIM115
-                    state["file"].write(plan[shard][1])
-                finish(k)
-                t = Tensor(**plan[shard][2][k])
-                data, ends = joined(batch.column(3).slice(a, b - a))
-                if (ids[a:b] != np.arange(state["row"], state["row"] + b - a)).any() or (np.diff(ends) != t.row_bytes).any():
-                    raise InvalidTensor(f"{t.name}: rows {ids[a]} to {ids[b - 1]} after row {state['row'] - 1}, or of another length")
-                state["file"].write(data)
-                state["hash"].update(data)
-                state["row"] += b - a
-                state["bytes"] += len(data)
-        close()
-        if done:
-            names = ("filename", "tensor", "digest", "byte_length")
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], list(names))
-
-    written = ordered.select("shard", "k", "row_id", "raw").mapInArrow(write, "filename string, tensor string, digest string, byte_length bigint")
-    Path(root).mkdir(parents=True, exist_ok=True)
-    out = written.collect()  # a row a tensor; the job that writes
-    seen = {r["filename"] for r in out}
-    for s in shards:
-        if s.filename not in seen:  # a shard without rows is its header alone
-            if s.payload:
-                raise InvalidTensor(f"{s.filename}: no rows for {s.payload} bytes")
-            Path(root, s.filename).write_bytes(s.header)
-            out += [(s.filename, t.name, blake3(b"").hexdigest(), 0) for t in s.tensors]
-    return spark.createDataFrame(out, "filename string, tensor string, digest string, byte_length bigint")
+            for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = b"".join(part["values"] for part in parts)
+                yield pa.record_batch({"name": pa.array([name]), "digest": pa.array([joined_digest(whole) if len(whole) > 32 else whole.hex()])})
+
+    hashed = spans.mapInArrow(values, "name string, span bigint, values binary")
+    hashed = hashed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("span", "values"))).alias("parts"))
+    return out | {r["name"]: r["digest"] for r in hashed.mapInArrow(fold, "name string, digest string").collect()}  # a row a range
+
+
+def tensor_digests(spark: SparkSession, artifact: Artifact, names: list[str] | None = None) -> dict[str, str]:
+    """The BLAKE3 digest of every tensor, or of some."""
+    some = [t for t in artifact.tensors if names is None or t.name in names]
+    return range_digests(spark, [(t.name, str(Path(artifact.root) / t.shard), t.offset, t.byte_length) for t in some])
+
+
+def file_digests(spark: SparkSession, paths: list[Path]) -> dict[str, str]:
+    """The BLAKE3 digest of every file, by name."""
+    return range_digests(spark, [(p.name, str(p), 0, p.stat().st_size) for p in paths])
 
 
 def index_of(shards: list[Shard]) -> str | None:

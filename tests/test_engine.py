@@ -6,6 +6,7 @@ import pytest
 
 from tensorloom.errors import AlreadyExists, EngineError, InvalidArtifact, InvalidJson, InvalidPlan, InvalidTensor, MemoryLimitExceeded, OutputCorrupted, PathEscape, ResumeMismatch, UnsupportedArchitecture
 from tensorloom.operators.checks import LAYER
+from tensorloom.plans import documents as doc
 from tensorloom.plans.engine import CHECKPOINT, MANIFEST, Engine
 from tensorloom.plans.plan import make_plan
 from tensorloom.sources import safetensors as st
@@ -94,7 +95,7 @@ def test_token_permutation(spark, tmp_path, tied):
     broken = json.loads((tmp_path / "secret.json").read_text())
     broken["permutation"] = broken["permutation"][::-1]
     (tmp_path / "broken.json").write_text(json.dumps(broken))
-    with pytest.raises(InvalidPlan, match="own id"):
+    with pytest.raises(InvalidPlan):
         engine.load_secret(str(tmp_path / "broken.json"))
 
 
@@ -123,8 +124,9 @@ def test_resume_keeps_whole_shards_and_sees_tampering(spark, tmp_path, monkeypat
     assert state["plan_hash"] == plan.hash
     (stage / MANIFEST).unlink()
     # as after a stop before the last shard
-    whole = {s.filename: {"file": engine._file_digest(stage / s.filename), "tensors": {t["name"]: t["digest"] for t in state["tensors"] if t["name"] in {x.name for x in s.tensors}}} for s in plan.shards[:-1]}
-    (stage / CHECKPOINT).write_text(json.dumps({"version": 3, "plan_hash": plan.hash, "shards": whole}))
+    files = st.file_digests(spark, [stage / s.filename for s in plan.shards])
+    whole = {s.filename: {"file": files[s.filename], "tensors": {t["name"]: t["digest"] for t in state["tensors"] if t["name"] in {x.name for x in s.tensors}}} for s in plan.shards[:-1]}
+    (stage / CHECKPOINT).write_text(json.dumps(doc.contract(plan) | {"shards": whole}))
     (stage / plan.shards[-1].filename).unlink()
     with pytest.raises(ResumeMismatch):
         engine.transform(str(source), str(tmp_path / "out"), max_shard=16)
@@ -150,7 +152,8 @@ def test_verify_sees_a_changed_byte(spark, tmp_path):
     file.write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
     with pytest.raises(OutputCorrupted):
         engine.verify(str(tmp_path / "out"))
-    assert engine.verify(str(source)) == {"scope": "container", "tensors": 11}
+    found = engine.verify(str(source))
+    assert found["scope"] == "container" and found["tensors"] == 11 and found["payload_bytes"] == sum(t.byte_length for t in model_tensors())
 
 
 def test_input_and_output_apart(spark, tmp_path):
@@ -265,3 +268,300 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["plan", source, "--identity", "--memory-limit", "3kib"], ["plan", source], ["plan", source, "--identity", "--method", "identity"]):
         with pytest.raises(SystemExit):
             main(bad)
+
+
+def test_sidecars_are_carried_along(spark, tmp_path):
+    source, engine = write_model(tmp_path / "m"), Engine(spark)
+    names = ("generation_config.json", "tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "vocab.json", "merges.txt")
+    for name in names:
+        (source / name).write_text(f"of {name}")
+    (source / "other.txt").write_text("not of the model")
+    engine.transform(str(source), str(tmp_path / "out"))
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {*names, st.CONFIG, st.SINGLE, MANIFEST}
+    assert all((tmp_path / "out" / n).read_text() == f"of {n}" for n in names)
+    (tmp_path / "out" / "merges.txt").write_text("changed")
+    with pytest.raises(OutputCorrupted, match=r"merges\.txt"):
+        engine.verify(str(tmp_path / "out"))
+
+
+SECRET = doc.new_secret("ab" * 32, [2, 0, 4, 1, 3], "07" * 32)
+
+
+def committed(**change):
+    """The secret with other fields, and an id that fits them."""
+    secret = SECRET | change
+    return secret | {"secret_id": doc.commitment(secret)}
+
+
+@pytest.mark.parametrize(
+    "secret",
+    [
+        SECRET | {"version": 2},
+        SECRET | {"method": {"id": "token-permutation", "version": "0.2"}},
+        SECRET | {"method": {"id": "token-permutation", "version": "0.1", "more": 1}},
+        SECRET | {"more": 1},
+        {k: v for k, v in SECRET.items() if k != "nonce"},
+        SECRET | {"source_fingerprint": "AB" * 32},
+        SECRET | {"nonce": "07" * 31},
+        SECRET | {"nonce": "0A" * 32},
+        committed(permutation=[0, 1, 2, 3, 4], inverse=[0, 1, 2, 3, 4]),
+        committed(inverse=[1, 3, 0, 4, 1]),
+        committed(inverse=[0, 1, 2, 3, 4]),
+        committed(permutation=[2, 0, 4, 1, 1]),
+        SECRET | {"permutation": [2, 0, 4, 1, 5]},
+        SECRET | {"permutation": [2, 0, 4, 1, True]},
+        committed(vocab_size=4),
+        doc.new_secret("ab" * 32, [0], "07" * 32),
+        SECRET | {"secret_id": "00" * 32},
+        [],
+    ],
+)
+def test_secrets_that_are_refused(tmp_path, secret):
+    assert doc.check_secret(SECRET) is None
+    file = tmp_path / "secret.json"
+    file.write_text(json.dumps(secret))
+    with pytest.raises(EngineError):
+        doc.read_secret(file)
+
+
+def test_secret_files_that_are_refused(tmp_path, monkeypatch):
+    file = tmp_path / "secret.json"
+    file.write_text(json.dumps(SECRET)[:-1] + ', "version": 1}')
+    with pytest.raises(InvalidJson):
+        doc.read_secret(file)
+    file.write_text(json.dumps(SECRET))
+    assert doc.read_secret(file) == SECRET
+    (tmp_path / "link").symlink_to(file)
+    with pytest.raises(InvalidPlan):
+        doc.read_secret(tmp_path / "link")
+    monkeypatch.setattr(doc, "SECRET_LIMIT", 10)
+    with pytest.raises(InvalidPlan):
+        doc.read_secret(file)
+
+
+def test_secret_lies_outside(spark, tmp_path):
+    source, engine = write_model(tmp_path / "m"), Engine(spark)
+    for place in (source / "s.json", tmp_path / "out" / "s.json", tmp_path / ".out.work" / "s.json"):
+        with pytest.raises(InvalidPlan):
+            engine.create_secret(str(source), str(place), str(tmp_path / "out"))
+        with pytest.raises(InvalidPlan):
+            engine.transform(str(source), str(tmp_path / "out"), "token-permutation", str(place))
+    (tmp_path / "link").symlink_to(source / "s.json")
+    with pytest.raises(InvalidPlan):
+        engine.create_secret(str(source), str(tmp_path / "link"))
+
+
+def test_tied_weights_must_be_equal(spark, tmp_path):
+    """Tied by the config and both there, with other bytes: they can't both be permuted."""
+    source, engine = write_model(tmp_path / "m", tied=False, tie_word_embeddings=True), Engine(spark)
+    engine.create_secret(str(source), str(tmp_path / "s"))
+    with pytest.raises(InvalidTensor, match="tied"):
+        engine.transform(str(source), str(tmp_path / "out"), "token-permutation", str(tmp_path / "s"))
+    assert engine.transform(str(source), str(tmp_path / "same"))["standard"] is True  # an identity keeps them as they are
+
+
+def test_nothing_is_replaced(spark, tmp_path, monkeypatch):
+    """An empty folder that appears under the output's name before it is published stays."""
+    source, engine = write_model(tmp_path / "m"), Engine(spark)
+    whole = Engine.verify
+
+    def appears(self, path):
+        (tmp_path / "out").mkdir()
+        return whole(self, path)
+
+    monkeypatch.setattr(Engine, "verify", appears)
+    with pytest.raises(AlreadyExists):
+        engine.transform(str(source), str(tmp_path / "out"))
+    assert not list((tmp_path / "out").iterdir())
+
+
+def test_a_source_that_changes(spark, tmp_path, monkeypatch):
+    source, engine = write_model(tmp_path / "m"), Engine(spark)
+    write = Engine._write
+
+    def changes(self, *args):
+        file = source / st.SINGLE
+        data = file.read_bytes()
+        file.write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
+        return write(self, *args)
+
+    monkeypatch.setattr(Engine, "_write", changes)
+    with pytest.raises(InvalidTensor, match="changed"):
+        engine.transform(str(source), str(tmp_path / "out"))
+
+
+@pytest.fixture(scope="module")
+def manifest(spark, tmp_path_factory):
+    """A model in several shards, its output and its manifest."""
+    folder = tmp_path_factory.mktemp("whole")
+    return write_model(folder / "m"), folder / "out", Engine(spark).transform(str(folder / "m"), str(folder / "out"), max_shard=40)
+
+
+@pytest.mark.parametrize("field", ["method", "architecture", "source_fingerprint", "plan_hash", "layout_hash", "layout", "runtime", "standard", "secret_id", "plan", "artifact_version"])
+def test_manifests_that_are_not_their_plans(manifest, field):
+    _, _, good = manifest
+    assert doc.check_manifest(good).hash == good["plan_hash"]
+    with pytest.raises(EngineError):
+        doc.check_manifest(good | {field: "another"})
+    if field not in ("secret_id", "method", "architecture"):
+        with pytest.raises(EngineError):
+            doc.check_manifest({k: v for k, v in good.items() if k != field})
+
+
+def test_older_manifests(manifest):
+    _, _, good = manifest
+    older = {k: v for k, v in good.items() if k not in ("plan", "runtime", "layout_hash")}
+    token = {"method": doc.method_of(doc.TOKEN), "secret_id": "ab" * 32}
+    assert doc.check_manifest(older | {"artifact_version": 1}) is None
+    assert doc.check_manifest(older | {"artifact_version": 2} | token) is None
+    for bad in ({"artifact_version": 1} | token, {"artifact_version": 2}, {"artifact_version": 2} | token | {"secret_id": "AB" * 32}, {"artifact_version": 1, "standard": False}, {"artifact_version": 1, "plan": good["plan"]}, {"artifact_version": 4}):
+        with pytest.raises(EngineError):
+            doc.check_manifest(older | bad)
+
+
+def test_an_older_manifest_is_verified(spark, manifest):
+    _, out, good = manifest
+    older = {k: v for k, v in good.items() if k not in ("plan", "runtime", "layout_hash")} | {"artifact_version": 1}
+    text = (out / MANIFEST).read_text()
+    (out / MANIFEST).write_text(json.dumps(older))
+    try:
+        assert Engine(spark).verify(str(out))["scope"] == "legacy"
+    finally:
+        (out / MANIFEST).write_text(text)
+
+
+def test_verify_sees_other_dimensions_and_shards(spark, manifest):
+    _, out, good = manifest
+    artifact, plan = st.open_artifact(str(out)), doc.check_manifest(good)
+    digests = {t["name"]: t["digest"] for t in good["tensors"]}
+    sizes = {s["filename"]: s["file_length"] for s in good["layout"]}
+    assert doc.check_artifact(artifact, good, plan, digests, sizes) is None
+    first = next(iter(sizes))
+    for bad in ({first: sizes[first] + 8}, {"more.safetensors": 8}):
+        with pytest.raises(OutputCorrupted):
+            doc.check_artifact(artifact, good, plan, digests, sizes | bad)
+    plan.logical = plan.logical | {"vocab_size": 9}
+    with pytest.raises(OutputCorrupted, match="vocab_size"):
+        doc.check_artifact(artifact, good, plan, digests, sizes)
+    shards = [st.Shard(s["filename"], tuple(st.Tensor(t["name"], t["dtype"], tuple(t["shape"])) for t in s["tensors"])) for s in good["layout"]]
+    text = st.index_of(shards)
+    assert doc.check_index(text, shards) is None
+    for bad in (None, text.replace("total_size\":", "total_size\":1"), json.dumps({"weight_map": {}})):
+        with pytest.raises(InvalidArtifact):
+            doc.check_index(bad, shards)
+
+
+@pytest.mark.parametrize("change", [{"id": 1}, {"filename": "x"}, {"payload": 1}, {"file_length": 1}, {"tensors": []}])
+def test_layouts_that_are_not_sound(manifest, change):
+    layout = manifest[2]["layout"]
+    with pytest.raises(InvalidArtifact):
+        doc.check_layout([layout[0] | change, *layout[1:]])
+
+
+def test_checkpoints_of_other_plans(spark, manifest):
+    source, _, _ = manifest
+    plan = Engine(spark).plan(str(source), max_shard=40)
+    good = doc.contract(plan) | {"shards": {}}
+    assert doc.check_checkpoint(good, plan) is None
+    for field in doc.contract(plan):
+        with pytest.raises(EngineError):
+            doc.check_checkpoint(good | {field: "another"}, plan)
+    with pytest.raises(ResumeMismatch):
+        doc.check_checkpoint(good | {"shards": {"x": {}}}, plan)
+
+
+def test_staging_must_be_the_same(spark, tmp_path):
+    source = write_model(tmp_path / "m")
+    plan, stage = Engine(spark).plan(str(source)), tmp_path / ".out.work"
+    stage.mkdir()
+    (stage / CHECKPOINT).write_text(json.dumps(doc.contract(plan) | {"shards": {}}))
+    (stage / "tokenizer.json").write_text("[]")
+    with pytest.raises(ResumeMismatch, match=r"tokenizer\.json"):
+        Engine(spark).transform(str(source), str(tmp_path / "out"))
+    assert (stage / "tokenizer.json").read_text() == "[]"
+
+
+def test_binding_of_a_permuted_model(spark, tmp_path):
+    source, engine = write_model(tmp_path / "m"), Engine(spark)
+    secret = engine.create_secret(str(source), str(tmp_path / "s"))
+    good = engine.transform(str(source), str(tmp_path / "out"), doc.TOKEN, str(tmp_path / "s"))
+    config = json.loads((source / st.CONFIG).read_text())
+    assert doc.check_binding(secret, config, config, good) is None
+    for bad in ({"artifact_version": 1}, {"method": doc.method_of("identity")}, {"runtime": good["runtime"] | {"standard": False}}, {"standard": False}, {"plan": None}, {"plan_hash": "0"}, {"secret_id": "0"}, {"source_fingerprint": "0"}):
+        with pytest.raises(EngineError):
+            doc.check_binding(secret, config, config, good | bad)
+    for a, b in ((config | {"x": 1}, config), (config | {"vocab_size": 9}, config | {"vocab_size": 9})):
+        with pytest.raises(InvalidPlan):
+            doc.check_binding(secret, a, b, good)
+
+
+def test_architectures_and_executors_are_added(spark, tmp_path):
+    from dataclasses import replace
+
+    from tensorloom.errors import AmbiguousArchitecture
+    from tensorloom.plans.registry import LLAMA, Executor
+
+    other = replace(LLAMA, name="other", matches=lambda config: config.get("model_type") == "other")
+    source = write_model(tmp_path / "m", model_type="other")
+    with pytest.raises(UnsupportedArchitecture):
+        Engine(spark).transform(str(source), str(tmp_path / "out"))
+    assert Engine(spark, (other,)).transform(str(source), str(tmp_path / "out"))["architecture"] == "other"
+    both = replace(other, name="both")
+    with pytest.raises(AmbiguousArchitecture):
+        Engine(spark, (other, both)).plan(str(source))
+    with pytest.raises(AlreadyExists):
+        Engine(spark, (LLAMA,))
+    with pytest.raises(EngineError):
+        Engine(spark).transform(str(source), str(tmp_path / "x"), "unheard of")
+    plan = Engine(spark, (other,)).plan(str(source))
+    for executor, secret in ((Executor("x", lambda r, p, q: r), None), (Executor("identity", lambda r, p, q: r), SECRET), (Executor("identity", lambda r, p, q: r, True), None)):
+        with pytest.raises(EngineError):
+            executor.accept(plan, secret)
+
+
+def test_rows_are_pruned_by_filters(spark, tmp_path):
+    """Only the ranges that filters leave are read, and a plan that has the source twice gives each side its own rows."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    source = write_model(tmp_path / "m")
+    reader = st.PruningReader(str(source), None)
+    asked = [EqualTo(("tensor",), st.EMBEDDING), GreaterThan(("row_id",), 0), LessThanOrEqual(("row_id",), 1)]
+    assert list(reader.pushFilters(asked)) == asked
+    assert [(p.tensor, p.first, p.last) for p in reader.partitions()] == [(st.EMBEDDING, 1, 2)]
+    everything = {(r["tensor"], r["row_id"]): bytes(r["raw"]) for r in st.read_rows(spark, str(source)).collect()}
+    load = lambda: st.read_rows(spark, str(source), pushdown=True)
+    one, two = load().where(f"tensor = '{st.EMBEDDING}' AND row_id >= 1"), load().where("tensor = 'model.norm.weight'")
+    found = {(r["tensor"], r["row_id"]): bytes(r["raw"]) for r in one.unionByName(two).collect()}
+    assert found == {k: v for k, v in everything.items() if (k[0] == st.EMBEDDING and k[1] >= 1) or k[0] == "model.norm.weight"}
+    assert one.join(two.withColumnRenamed("tensor", "t"), "row_id").count() == 1
+    some = st.read_rows(spark, str(source), [st.EMBEDDING], (1, 1)).collect()
+    assert [(r["tensor"], r["row_id"]) for r in some] == [(st.EMBEDDING, 1)]
+
+
+def test_writing_through_the_source(spark, tmp_path):
+    source, target = write_model(tmp_path / "m"), tmp_path / "w"
+    tensors = json.dumps([[t.name, t.dtype, list(t.shape)] for t in model_tensors()])
+    rows = st.read_rows(spark, str(source))
+
+    def write(df, folder):
+        df.repartition(3).write.format("safetensors").option("tensors", tensors).option("max_shard", 40).option("config", '{"model_type": "x"}').mode("append").save(str(folder))
+
+    write(rows, target)
+    assert payloads(spark, target) == payloads(spark, source)
+    assert st.open_artifact(str(target)).config == {"model_type": "x"} and len(list(target.glob("*.safetensors"))) > 1
+    for bad in (rows.where("row_id <> 1"), rows.unionByName(rows.where("row_id = 1"))):
+        with pytest.raises(Exception, match="missing or repeated"):
+            write(bad, tmp_path / "bad")
+        assert not list((tmp_path / "bad").glob("*.safetensors"))
+    with pytest.raises(Exception, match="AlreadyExists"):
+        write(rows, target)
+
+
+def test_digests_of_long_ranges(spark, tmp_path):
+    from tensorloom.functions.blake3 import PIECE, blake3
+
+    data = os.urandom(3 * PIECE + 77)
+    (tmp_path / "f").write_bytes(data)
+    ranges = [("all", 0, len(data)), ("none", 5, 0), ("part", 9, 2 * PIECE), ("short", 1, 1000)]
+    found = st.range_digests(spark, [(n, str(tmp_path / "f"), a, size) for n, a, size in ranges])
+    assert found == {n: blake3(data[a : a + size]).hexdigest() for n, a, size in ranges}
