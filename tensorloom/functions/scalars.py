@@ -34,11 +34,12 @@ def byte_length(shape: Column, dtype: Column) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of a size such as 4GiB, 100 KB or 12; null if it is none, or doesn't fit 64 bits. Units have one spelling."""
+    """Bytes of a size such as 4GiB, 100 KB or 12, as DECIMAL(20, 0); null if it is none, or is 2**64 or more. Units have one spelling."""
     trimmed = F.trim(text)
     number = F.regexp_extract(trimmed, "^([0-9]+) *(GiB|MiB|KiB|GB|MB|KB|B|)$", 1)
     unit = F.regexp_extract(trimmed, "^([0-9]+) *(GiB|MiB|KiB|GB|MB|KB|B|)$", 2)
-    return F.when(number != "", F.try_multiply(number.try_cast("long"), _lookup(unit, UNITS)))
+    size = F.try_multiply(number.try_cast("decimal(20,0)"), _lookup(unit, UNITS).cast("decimal(18,0)"))
+    return F.when((number != "") & (size < F.lit("18446744073709551616").cast("decimal(20,0)")), size.cast("decimal(20,0)"))
 
 
 def hex_encode(data: Column) -> Column:

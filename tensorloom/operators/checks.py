@@ -145,12 +145,12 @@ def schema_violations(expected: DataFrame, tensors: DataFrame) -> DataFrame:
     return met.select("id", "name", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def token_method_violations(tensors: DataFrame, vocab: int) -> DataFrame:
-    """(name, reason) of tensors (name, dtype, shape) that keep a vocabulary from being permuted."""
+def token_method_violations(tensors: DataFrame, vocab: int, by: list[str] | None = None) -> DataFrame:
+    """(*by, name, reason) of tensors (*by, name, dtype, shape) that keep a vocabulary from being permuted."""
     matrix = F.col("name").isin("model.embed_tokens.weight", "lm_head.weight")
     return _reasons(
         tensors,
-        ["name"],
+        [*(by or []), "name"],
         (F.col("name") == "lm_head.bias", "a head with a bias"),
         (matrix & ~F.col("dtype").isin(*VOCABULARY_DTYPES), "dtype of a vocabulary"),
         (matrix & (F.coalesce(F.get("shape", F.lit(0)), F.lit(-1)) != vocab), "rows are not the vocabulary"),
@@ -257,6 +257,11 @@ def contract_differences(stored: DataFrame, expected: DataFrame, fields: list[st
     return met.select(F.col("a.id").alias("id"), F.explode(found).alias("field"))
 
 
+def unexpected_keys(missing: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The distinct keys (key) that are missing and not among those that may be."""
+    return missing.select("key").subtract(allowed.select("key"))
+
+
 def digest_differences(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """(name, reason) where digests (name, digest) that a manifest has and those of what is there differ."""
     a = manifest.select(F.col("name").alias("a"), F.col("digest").alias("x"))

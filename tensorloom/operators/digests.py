@@ -29,11 +29,11 @@ def ordered(parts: DataFrame, group: list[str], order: str, digest: str = "diges
     return parts.groupBy(*group).agg(F.sha2(joined, 256).alias(digest))
 
 
-def tensor_digest(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row (digest) for row digests (row_id, digest), by way of blocks of row numbers."""
-    blocks = ordered(rows.withColumn("block", F.floor(F.col("row_id") / block)), ["block"], "row_id")
-    top = ordered(blocks.withColumn("super", F.floor(F.col("block") / block)), ["super"], "block")
-    return ordered(top, [], "super")
+def tensor_digest(rows: DataFrame, block: int = BLOCK, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, digest) for row digests (*by, row_id, digest), by way of blocks of row numbers: one row a tensor."""
+    blocks = ordered(rows.withColumn("block", F.floor(F.col("row_id") / block)), [*by, "block"], "row_id")
+    top = ordered(blocks.withColumn("super", F.floor(F.col("block") / block)), [*by, "super"], "block")
+    return ordered(top, [*by], "super")
 
 
 def artifact_digest(config: str, tensors: DataFrame) -> DataFrame:

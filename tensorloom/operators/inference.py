@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.storage import cut
+
 BLOCK = 256  # rows of a matrix that are multiplied at once
 RTOL, ATOL = 1e-4, 1e-5  # fixed values: the tolerance in which logits count as equal
 
@@ -39,58 +41,70 @@ def closeness(found: DataFrame, expected: DataFrame, key: list[str], value: str)
     )
 
 
-def greedy(prompts: DataFrame, matrix: DataFrame, perm: DataFrame, eos: list[int], steps: int) -> DataFrame:
-    """(prompt, tokens) that greedy decoding appends, the model being run on the permuted matrix (token, w).
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (orig, w) in blocks of about BLOCK."""
+    block = F.pmod(F.xxhash64("orig"), F.lit(max(1, -(-n // BLOCK))))
+    return rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("orig", "w")).alias("rows"))
 
-    prompts: (prompt, last), in original tokens. The model's logits are the products of the last token's row with every row;
-    rows are arrays of whole numbers, so that sums are exact in any order. Each step encodes the last tokens, aligns the
-    logits and takes the largest, the smallest original token of equal ones; a prompt ends after it has appended a token of
-    eos. Steps are bounded, so the loop is unrolled into one plan. What is broadcast is the batch of prompts, whose size the
-    caller sets; the matrix is read where it is.
-    """
-    product = F.aggregate(F.zip_with("q", "w", lambda x, y: x * y), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    matrix = matrix.join(perm, F.col("token") == F.col("obf")).select("token", "w", "orig")
-    state = prompts.select("prompt", "last", F.array().cast("array<bigint>").alias("tokens"), F.lit(False).alias("done"))
-    for _ in range(steps):
-        # the row of the encoded token, found by the original one that `matrix` has beside it
-        asked = state.join(matrix.select(F.col("orig").alias("__t"), F.col("w").alias("q")), F.col("last") == F.col("__t")).drop("__t")
-        logits = matrix.crossJoin(F.broadcast(asked)).select("prompt", "last", "tokens", "done", "orig", product.alias("logit"))
-        best = logits.groupBy("prompt", "last", "tokens", "done").agg(F.min_by("orig", F.struct(-F.col("logit"), "orig")).alias("__t"))
-        state = best.select(
-            "prompt",
-            F.when(F.col("done"), F.col("last")).otherwise(F.col("__t")).alias("last"),
-            F.when(F.col("done"), F.col("tokens")).otherwise(F.concat("tokens", F.array("__t"))).alias("tokens"),
-            (F.col("done") | F.col("__t").isin(eos)).alias("done"),
-        )
-    return state.select("prompt", "tokens")
-
-
-def greedy_everywhere(matrix: DataFrame, perm: DataFrame, eos: list[int], steps: int) -> DataFrame:
-    """(prompt, tokens) as `greedy` gives, with every token of the model as a prompt of its own.
-
-    A step depends on the last token only, so each token's successor is found once, by products of the permuted matrix's rows
-    in blocks of BLOCK by BLOCK; a block gives one row for each of its asked tokens. Steps are joins with the successors.
+
+def successors(asked: DataFrame, served: DataFrame) -> DataFrame:
+    """(a, b): for each asked row (orig, w) the original token with the largest logit, the smallest of equal ones.
+
+    Logits are the products of an asked row with every served row (orig, w), rows being arrays of whole numbers, so that sums
+    are exact in any order. The query set meets the matrix in blocks of BLOCK by BLOCK; a block gives a row for each of its
+    asked tokens, never its pairs.
     """
-    served = matrix.join(perm, F.col("token") == F.col("obf")).select("orig", "w")
-    n = served.count()
-    blocks = served.groupBy(F.pmod(F.xxhash64("orig"), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("orig", "w")).alias("rows"))
-    pairs = blocks.select(F.col("rows").alias("asked")).crossJoin(blocks.select(F.col("rows").alias("all")))
+    some, every = _blocks(asked, asked.count()), _blocks(served, served.count())
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+            tokens, w = np.asarray(cell.values.field(0)), cell.values.field(1)
+            matrix = np.asarray(w.flatten()).reshape(len(tokens), -1).astype(np.int64)
+            order = np.argsort(tokens)
+            return tokens[order], matrix[order]
+
         for batch in batches:
-            for asked, all_rows in zip(*batch.columns, strict=True):
-                a, b = asked.as_py(), sorted(all_rows.as_py(), key=lambda r: r["orig"])
-                logits = np.array([r["w"] for r in a], np.int64) @ np.array([r["w"] for r in b], np.int64).T
+            for mine, theirs in zip(*batch.columns, strict=True):
+                (a, x), (b, y) = rows_of(mine), rows_of(theirs)
+                logits = x @ y.T
                 top = logits.argmax(axis=1)  # the first of equal ones, so the smallest token
-                yield pa.RecordBatch.from_arrays([pa.array([r["orig"] for r in a], pa.int64()), pa.array([b[i]["orig"] for i in top], pa.int64()), pa.array(logits.max(axis=1))], ["a", "b", "logit"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b[top]), pa.array(logits.max(axis=1))], ["a", "b", "logit"])
+
+    pairs = some.select(F.col("rows").alias("mine")).crossJoin(every.select(F.col("rows").alias("theirs")))
+    return top_token(pairs.mapInArrow(best, "a bigint, b bigint, logit bigint"), ["a"], "b").select("a", "b")
+
 
-    nexts = top_token(pairs.mapInArrow(best, "a bigint, b bigint, logit bigint"), ["a"], "b").select("a", "b")
-    state = nexts.select(F.col("a").alias("prompt"), F.col("a").alias("last"), F.array().cast("array<bigint>").alias("tokens"), F.lit(False).alias("done"))
+def greedy(prompts: DataFrame, matrix: DataFrame, perm: DataFrame, eos: list[int], steps: int) -> DataFrame:
+    """(batch, row, tokens) that greedy decoding appends to prompts (batch, row, last), in original tokens.
+
+    The model is run on the permuted matrix (token, w) and its logits depend on the last token. Each step encodes the last
+    tokens, aligns the logits and takes the largest, the smallest original token of equal ones. All rows of a batch end after
+    row 0 has appended a token of eos, or after `steps`. Each step looks at the distinct last tokens alone, and is written
+    to the shared folder before the next.
+    """
+    served = cut(matrix.join(perm, F.col("token") == F.col("obf")).select("orig", "w"))
+    state = prompts.select("batch", "row", "last", F.array().cast("array<bigint>").alias("tokens"), F.lit(False).alias("done"))
+    known = None  # successors found so far
     for _ in range(steps):
-        state = state.join(nexts, F.col("last") == F.col("a")).select(
-            "prompt",
-            F.when(F.col("done"), F.col("last")).otherwise(F.col("b")).alias("last"),
-            F.when(F.col("done"), F.col("tokens")).otherwise(F.concat("tokens", F.array("b"))).alias("tokens"),
-            (F.col("done") | F.col("b").isin(eos)).alias("done"),
-        )
-    return state.select("prompt", "tokens")
+        asked = state.where("NOT done").select(F.col("last").alias("orig")).distinct()
+        if known is not None:
+            asked = asked.join(known.select(F.col("a").alias("orig")), "orig", "left_anti")
+        asked = cut(served.join(asked, "orig", "left_semi"))
+        if not asked.isEmpty():
+            found = successors(asked, served)
+            known = cut(found if known is None else known.unionByName(found))
+        met = state.join(known, F.col("last") == F.col("a"), "left")
+        first = met.where("row = 0").select("batch", F.col("b").isin(eos).alias("__ends"))
+        met = met.join(first, "batch", "left")
+        state = cut(met.select("batch", "row", F.when(F.col("done"), F.col("last")).otherwise(F.col("b")).alias("last"), F.when(F.col("done"), F.col("tokens")).otherwise(F.concat("tokens", F.array("b"))).alias("tokens"), (F.col("done") | F.coalesce("__ends", F.lit(False))).alias("done")))
+    return state.select("batch", "row", "tokens")
+
+
+def equivalence(close: DataFrame, plain: DataFrame, served: DataFrame) -> DataFrame:
+    """One row: whether logits are close (as `closeness` says) and the appended tokens (batch, row, tokens) the same."""
+    a = plain.select("batch", "row", F.col("tokens").alias("a"))
+    b = served.select("batch", "row", F.col("tokens").alias("b"))
+    same = a.join(b, ["batch", "row"], "full").agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias("tokens_equal"))
+    row = close.crossJoin(same)  # one row each
+    logits = F.col("all_close") & F.col("all_finite")
+    return row.select("max_difference", logits.alias("logits_equal"), "tokens_equal", (logits & F.col("tokens_equal")).alias("equivalent"))

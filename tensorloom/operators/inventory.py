@@ -20,7 +20,8 @@ TENSOR_BYTES, TOKEN_BYTES = 256, 8  # what a plan charges for a tensor's metadat
 def columns_as_tensors(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """The numeric columns of tables as tensors 'table.column' of shape [rows], arrays of numbers as [rows, width].
 
-    Rows are counted by the scan of each table's metadata; the width is that of the longest array.
+    Rows are counted by the scan of each table's metadata; the width is that of the longest array. One job counts all tables;
+    what it gives, a row a tensor, is a document of the driver, so that a plan that uses it often doesn't scan again.
     """
     parts = []
     for name, df in tables.items():
@@ -34,7 +35,8 @@ def columns_as_tensors(spark: SparkSession, tables: dict[str, DataFrame]) -> Dat
         parts.append(sums.select(F.inline(F.array(*entries))))
     if not parts:
         return with_sizes(spark.createDataFrame([], SCHEMA))
-    return with_sizes(reduce(DataFrame.unionByName, parts))
+    rows = [(r["name"], r["dtype"], r["shape"], r["shard"]) for r in reduce(DataFrame.unionByName, parts).collect()]
+    return with_sizes(spark.createDataFrame(rows, SCHEMA).coalesce(1))
 
 
 def with_sizes(inventory: DataFrame) -> DataFrame:

@@ -88,3 +88,46 @@ def layout_violations(layout: DataFrame, shards: DataFrame, inventory: DataFrame
     totals = shards.join(sums, "shard", "left").where(F.col("payload_bytes") != F.coalesce("total", F.lit(0))).select(F.concat(F.lit("shard "), F.col("shard").cast("string")).alias("subject"), F.lit("its size is not its tensors' sum").alias("reason"))
     over = overlaps(layout).select(F.col("name").alias("subject"), F.lit("goes over the next").alias("reason"))
     return found.unionByName(outside).unionByName(totals).unionByName(over)
+
+
+def self_violations(layout: DataFrame, shards: DataFrame, entries: DataFrame, index: DataFrame, claimed: DataFrame) -> DataFrame:
+    """(subject, reason): where a stored layout is not sound by itself, before any file is there.
+
+    layout: name, dtype, shape, byte_length, shard, offset; shards: shard, filename, header_bytes, payload_bytes, file_bytes;
+    entries (of headers): shard, name, dtype, shape, begin, end; index: name, filename; claimed: total_size (a row or none).
+    """
+    shard = lambda c="shard": F.concat(F.lit("shard "), F.col(c).cast("string"))
+    total = shards.agg(F.count("*").alias("n"))
+    numbered = shards.crossJoin(F.broadcast(total))  # one row
+    out = numbered.where("shard < 0 OR shard >= n").select(shard().alias("subject"), F.lit("ids are not dense").alias("reason"))
+    twice = shards.groupBy("shard").count().where("count > 1").select(shard().alias("subject"), F.lit("id used twice").alias("reason"))
+    sums = layout.groupBy(F.col("shard").alias("of")).agg(F.sum("byte_length").alias("held"), F.count("*").alias("tensors"))
+    met = shards.join(sums, F.col("shard") == F.col("of"), "left")
+    sizes = met.select(shard().alias("subject"), F.explode(F.array_compact(F.array(F.when(F.col("payload_bytes") != F.coalesce("held", F.lit(0)), "payload is not its tensors' sum"), F.when(F.col("file_bytes") != 8 + F.col("header_bytes") + F.col("payload_bytes"), "file is not header and payload")))).alias("reason"))
+    e, l = entries.alias("e"), layout.alias("l")
+    held = e.join(l, (F.col("e.shard") == F.col("l.shard")) & (F.col("e.name") == F.col("l.name")), "full")
+    differs = (F.col("e.dtype") != F.col("l.dtype")) | (F.col("e.shape") != F.col("l.shape")) | (F.col("e.begin") != F.col("l.offset")) | (F.col("e.end") != F.col("l.offset") + F.col("l.byte_length"))
+    headers = held.select(F.coalesce("l.name", "e.name").alias("subject"), F.when(F.col("l.name").isNull(), "in a header but not planned").when(F.col("e.name").isNull(), "not in its header").when(differs, "another entry in the header").alias("reason"))
+    names = layout.join(shards.select(F.col("shard").alias("of"), F.col("filename").alias("file")), F.col("shard") == F.col("of"), "left")
+    i = index.select(F.col("name").alias("i_name"), F.col("filename").alias("i_file"))
+    mapped = names.join(i, F.col("name") == F.col("i_name"), "full").select(F.coalesce("name", "i_name").alias("subject"), F.when(F.col("name").isNull(), "in the index but not planned").when(F.col("i_name").isNull(), "not in the index").when(F.col("file") != F.col("i_file"), "another shard in the index").alias("reason"))
+    actual = layout.agg(F.coalesce(F.sum("byte_length"), F.lit(0)).alias("actual"))
+    totals = claimed.crossJoin(F.broadcast(actual)).where("total_size IS DISTINCT FROM actual").select(F.lit("index").alias("subject"), F.lit("another total").alias("reason"))  # one row
+    for part in (twice, sizes, headers.where("reason IS NOT NULL"), mapped.where("reason IS NOT NULL"), totals):
+        out = out.unionByName(part)
+    return out
+
+
+def layout_digest(layout: DataFrame) -> DataFrame:
+    """One row (digest) of a layout (name, byte_length, shard, offset): SHA-256 of its places in order of shard and offset."""
+    line = F.concat_ws("|", F.col("shard").cast("string"), F.col("offset").cast("string"), "name", F.col("byte_length").cast("string"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shard", "offset", "name", line.alias("line")))), lambda s: s["line"]), "\n")
+    return layout.agg(F.sha2(lines, 256).alias("digest"))
+
+
+def plan_summary(inventory: DataFrame, layout: DataFrame, method: str) -> DataFrame:
+    """One row: what a plan of the method on an inventory (name, byte_length) comes to, whose outputs have this layout."""
+    source = inventory.agg(F.count("*").alias("source_tensors"), F.coalesce(F.sum("byte_length"), F.lit(0)).cast("long").alias("source_bytes"))
+    shards = layout.groupBy("shard").agg(F.sum("byte_length").alias("bytes"), F.count("*").alias("tensors"))
+    output = shards.agg(F.coalesce(F.sum("tensors"), F.lit(0)).cast("long").alias("output_tensors"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("output_bytes"), F.count("*").alias("shards"), F.coalesce(F.max("bytes"), F.lit(0)).cast("long").alias("largest_shard"))
+    return source.crossJoin(output).withColumn("method", F.lit(method))  # one row each

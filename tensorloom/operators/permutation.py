@@ -87,6 +87,14 @@ def outside_vocabulary(tokens: DataFrame, size: int, token: str = "token") -> Da
     return tokens.where(F.col(token).isNull() | (F.col(token) < 0) | (F.col(token) >= size))
 
 
+def prompt_violations(prompts: DataFrame, size: int) -> DataFrame:
+    """(the prompts' other columns, reason) of prompts (tokens: an array) that a model of `size` tokens can't be asked."""
+    keep = [c for c in prompts.columns if c != "tokens"]
+    bad = F.exists("tokens", lambda t: t.isNull() | (t < 0) | (t >= size))
+    empty = F.when(F.coalesce(F.size("tokens"), F.lit(0)) <= 0, "empty")
+    return prompts.select(*keep, F.explode(F.array_compact(F.array(empty, F.when(bad, "outside the vocabulary")))).alias("reason"))
+
+
 def relationship_mismatch(before: DataFrame, after: DataFrame, perm: DataFrame, row_id: str, value: str) -> DataFrame:
     """(row_id, reason) where `after` is not `before` with its rows permuted: rows that are missing, extra or different."""
     expected = permute_rows(before, perm, row_id).select(F.col(row_id).alias("e_id"), F.col(value).alias("e"))

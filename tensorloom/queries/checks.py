@@ -11,7 +11,7 @@ from tensorloom.queries.base import INVENTORY_SQL, matrix, registry, table, tens
 
 QUERIES, SQL, query = registry()
 
-_INV = f"inv AS ({INVENTORY_SQL})"
+_INV = f"inv AS MATERIALIZED ({INVENTORY_SQL})"
 
 
 @query("""SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '{"k": 1, "a": 2, "k": 3}' WHEN event_id % 13 = 1 THEN '{"k": {"a": 1}, "a": 2}' ELSE props END AS props FROM events)
@@ -28,9 +28,10 @@ def bad_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.bad_names(table(spark, sf_dir, "nation").select(name.alias("name")))
 
 
-@query(f"""WITH {_INV} SELECT name, CASE WHEN name LIKE 'nation.%' THEN 'no such tensor' WHEN name LIKE 'part.%' THEN 'not in the index' ELSE 'in another shard' END AS reason
-    FROM (SELECT CASE WHEN name LIKE 'nation.%' THEN name || '.x' ELSE name END AS name FROM inv) WHERE name LIKE 'nation.%' OR name LIKE 'part.%' OR name LIKE 'labels.%'
-    UNION ALL SELECT name, 'not in the index' FROM inv WHERE name LIKE 'nation.%'""")
+@query(f"""WITH {_INV}, idx AS (SELECT CASE WHEN name LIKE 'nation.%' THEN name || '.x' ELSE name END AS name, CASE WHEN name LIKE 'labels.%' THEN 'elsewhere' WHEN length(name) % 2 = 0 THEN './' || shard ELSE shard END AS shard
+        FROM inv WHERE name NOT LIKE 'part.%')
+    SELECT coalesce(i.name, t.name) AS name, CASE WHEN t.name IS NULL THEN 'no such tensor' WHEN i.name IS NULL THEN 'not in the index' ELSE 'in another shard' END AS reason
+    FROM idx i FULL JOIN inv t ON i.name = t.name WHERE t.name IS NULL OR i.name IS NULL OR regexp_replace(i.shard, '^(\\./)+', '') <> t.shard""")
 def weight_map_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that renamed some tensors, left some out and moved some; half of its shards are written with './'."""
     physical = tensors(spark, sf_dir).select("name", "shard")
@@ -62,8 +63,10 @@ def header_tiling_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.tiling_violations(_entries(spark, sf_dir))
 
 
-@query(f"""WITH {_ENTRIES} SELECT shard, name, 'range outside the payload' AS reason FROM e WHERE b > f OR f > d
-    UNION ALL SELECT shard, name, 'unknown dtype' FROM e WHERE name = 'part.p_size' UNION ALL SELECT shard, name, 'shape and range differ' FROM e WHERE name = 'lineitem.l_tax'""")
+@query(f"""WITH {_ENTRIES}, h AS (SELECT e.shard, e.name, b, f + y AS f, d + 16 * y AS d, CASE WHEN e.name = 'part.p_size' THEN 'F8' ELSE inv.dtype END AS dtype, inv.shape FROM (SELECT *, CASE name WHEN 'lineitem.l_tax' THEN 16 ELSE 0 END AS y FROM e) e JOIN inv USING (name)),
+    x AS (SELECT *, list_product(shape) * CASE dtype WHEN 'F64' THEN 8 WHEN 'I64' THEN 8 WHEN 'F32' THEN 4 WHEN 'I32' THEN 4 END AS expected FROM h)
+    SELECT shard, name, 'range outside the payload' AS reason FROM x WHERE b > f OR f > d
+    UNION ALL SELECT shard, name, 'unknown dtype' FROM x WHERE expected IS NULL UNION ALL SELECT shard, name, 'shape and range differ' FROM x WHERE expected <> f - b""")
 def header_range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of which one has an unknown dtype and one a range that is longer than its shape."""
     rows = _entries(spark, sf_dir).withColumns({"end": F.col("end") + F.col("longer"), "data_bytes": F.col("data_bytes") + 16 * F.col("longer"), "dtype": F.when(F.col("name") == "part.p_size", "F8").otherwise(F.col("dtype"))})
@@ -128,9 +131,14 @@ def detect_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.detect_architecture(_configs(spark, sf_dir), {"llama": "llama", "other": "mistral"})
 
 
-@query(f"WITH {_CONFIG_SQL} SELECT id, kind AS label FROM c")
+@query(f"""WITH {_CONFIG_SQL}, j AS (SELECT id, CASE WHEN id % 5 = 1 THEN NULL ELSE kind END AS model_type, CASE WHEN id % 3 = 1 THEN [] WHEN id % 3 = 0 THEN ['For' || kind, 'second'] END AS architectures FROM c)
+    SELECT id, coalesce(model_type, architectures[1], 'unknown') AS label FROM j""")
 def architecture_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _configs(spark, sf_dir).select("id", scalars.architecture_label(F.col("config")).alias("label"))
+    """Configs of which some have no model type, and of these some no architectures either, or an empty list."""
+    k, kind = F.col("id"), F.get_json_object("config", "$.model_type")
+    named = F.when(k % 3 == 1, F.array().cast("array<string>")).when(k % 3 == 0, F.array(F.concat(F.lit("For"), kind), F.lit("second")))
+    config = F.to_json(F.struct(F.when(k % 5 != 1, kind).alias("model_type"), named.alias("architectures")))
+    return _configs(spark, sf_dir).select("id", scalars.architecture_label(config).alias("label"))
 
 
 @query(f"""WITH {_CONFIG_SQL} SELECT id, 'no vocab_size' AS reason FROM c WHERE NOT has_vocab UNION ALL SELECT id, 'no heads' FROM c WHERE heads = 0 UNION ALL SELECT id, 'no key-value heads' FROM c WHERE kv = 0
@@ -150,23 +158,45 @@ def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return expected, there.select("id", "name", shape.alias("shape"))
 
 
-@query("""SELECT s_suppkey AS id, 'model.layers.1.mlp.up_proj.weight' AS name, 'missing' AS reason FROM supplier WHERE s_suppkey % 5 = 1
-    UNION ALL SELECT s_suppkey, 'lm_head.weight', 'missing' FROM supplier WHERE s_suppkey % 7 = 2 AND s_suppkey % 3 <> 0
-    UNION ALL SELECT s_suppkey, 'model.layers.0.self_attn.k_proj.weight', 'another shape' FROM supplier WHERE s_suppkey % 4 = 2""")
+_LAYER_SQL = ", ".join(f"('{name}', {list(shape)})" for name, shape in op.LAYER.items()).replace('"', "'")
+_WHOLE_SQL = ", ".join(f"('{name}', {list(shape)})" for name, shape in op.WHOLE.items()).replace('"', "'")
+
+
+@query(f"""WITH m AS (SELECT s_suppkey AS id, s_suppkey % 3 = 0 AS tied FROM supplier), dims AS (SELECT MAP {{'hidden': 8, 'inner': 16, 'kv': 4, 'vocab': 32}} AS d),
+    wanted AS (SELECT id, 'model.layers.' || layer || '.' || suffix AS name, list_transform(names, lambda n: d[n]) AS shape, FALSE AS optional FROM m, dims, range(2) r(layer), (VALUES {_LAYER_SQL}) l(suffix, names)
+        UNION ALL SELECT id, name, list_transform(names, lambda n: d[n]), name = 'lm_head.weight' AND tied FROM m, dims, (VALUES {_WHOLE_SQL}) w(name, names)),
+    there AS (SELECT id, name, CASE WHEN id % 4 = 2 AND name = 'model.layers.0.self_attn.k_proj.weight' THEN [8, 4] ELSE shape END AS shape FROM wanted
+        WHERE NOT (id % 5 = 1 AND name = 'model.layers.1.mlp.up_proj.weight') AND NOT optional AND NOT (id % 7 = 2 AND name = 'lm_head.weight'))
+    SELECT w.id, w.name, CASE WHEN t.name IS NULL THEN 'missing' ELSE 'another shape' END AS reason FROM wanted w LEFT JOIN there t ON w.id = t.id AND w.name = t.name WHERE t.name IS NULL AND NOT optional OR t.shape <> w.shape""")
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.schema_violations(*_models(spark, sf_dir))
 
 
-@query("""SELECT 'lm_head.weight' AS name, 'dtype of a vocabulary' AS reason UNION ALL SELECT 'lm_head.weight', 'rows are not the vocabulary' UNION ALL SELECT 'lm_head.bias', 'a head with a bias'
-    UNION ALL SELECT 'model.embed_tokens.weight', 'rows are not the vocabulary' WHERE (SELECT count(*) FROM embeddings) <> 500""")
-def token_method_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tensors around a vocabulary of 500 rows."""
-    embedding = tensors(spark, sf_dir).where("name = 'embeddings.embedding'").select(F.lit("model.embed_tokens.weight").alias("name"), "dtype", "shape")
-    more = spark.createDataFrame([("lm_head.weight", "I32", [499, 64]), ("lm_head.bias", "F32", [500]), ("model.norm.weight", "I8", [3])], "name string, dtype string, shape array<bigint>")
-    return op.token_method_violations(embedding.unionByName(more), 500)
+_VOCABULARY_SQL = """v AS (SELECT count(*) AS n FROM embeddings), t AS (
+        SELECT p_partkey AS id, 'model.embed_tokens.weight' AS name, CASE p_size % 4 WHEN 0 THEN 'F32' WHEN 1 THEN 'F16' WHEN 2 THEN 'BF16' ELSE 'I32' END AS dtype, CASE WHEN p_partkey % 7 = 0 THEN n + 1 ELSE n END AS rows FROM part, v
+        UNION ALL SELECT p_partkey, 'lm_head.weight', CASE WHEN p_size % 5 = 0 THEN 'F64' ELSE 'F32' END, CASE WHEN p_partkey % 6 = 1 THEN 0 ELSE n END FROM part, v WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT p_partkey, 'lm_head.bias', 'F32', n FROM part, v WHERE p_partkey % 11 = 2
+        UNION ALL SELECT p_partkey, 'model.norm.weight', 'I8', 3 FROM part)"""
 
 
-@query("SELECT vec_id AS row_id FROM embeddings WHERE vec_id % 37 = 4 OR vec_id % 41 = 6")
+@query(f"""WITH {_VOCABULARY_SQL}, m AS (SELECT * FROM t WHERE name IN ('model.embed_tokens.weight', 'lm_head.weight'))
+    SELECT id, name, 'a head with a bias' AS reason FROM t WHERE name = 'lm_head.bias' UNION ALL SELECT id, name, 'dtype of a vocabulary' FROM m WHERE dtype NOT IN ('F32', 'F16', 'BF16')
+    UNION ALL SELECT id, name, 'rows are not the vocabulary' FROM m, v WHERE rows <> n""")
+def token_method_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models, one a part, around the vocabulary of the embeddings: heads with a bias, of other dtypes and of other lengths."""
+    n = table(spark, sf_dir, "embeddings").count()
+    k, size, rows = F.col("p_partkey"), F.col("p_size"), table(spark, sf_dir, "part")
+    entry = lambda name, dtype, count: F.struct(F.lit(name).alias("name"), dtype.alias("dtype"), F.array(count.cast("long"), F.lit(64).cast("long")).alias("shape"))
+    embedding = entry("model.embed_tokens.weight", F.element_at(F.array(*[F.lit(d) for d in ("F32", "F16", "BF16", "I32")]), (size % 4 + 1).cast("int")), F.when(k % 7 == 0, n + 1).otherwise(n))
+    head = F.when(k % 3 != 0, entry("lm_head.weight", F.when(size % 5 == 0, "F64").otherwise("F32"), F.when(k % 6 == 1, 0).otherwise(n)))
+    bias = F.when(k % 11 == 2, entry("lm_head.bias", F.lit("F32"), F.lit(n)))
+    norm = entry("model.norm.weight", F.lit("I8"), F.lit(3))
+    tensors_of = rows.select(k.alias("id"), F.inline(F.array_compact(F.array(embedding, head, bias, norm))))
+    return op.token_method_violations(tensors_of, n, ["id"])
+
+
+@query("""WITH head AS (SELECT vec_id, CASE WHEN vec_id % 37 = 4 THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings WHERE vec_id % 41 <> 6)
+    SELECT coalesce(e.vec_id, h.vec_id) AS row_id FROM embeddings e FULL JOIN head h ON e.vec_id = h.vec_id WHERE e.vec_id IS NULL OR h.vec_id IS NULL OR e.embedding <> h.v""")
 def tied_weight_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tied head that lost some rows and holds others wrongly."""
     rows = matrix(spark, sf_dir)
@@ -281,17 +311,34 @@ def resume_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.resume_state(ops.select("position", ((F.col("position") < 700) | (F.col("event_type") == "purchase")).alias("done")))
 
 
-@query("""SELECT c_custkey AS id, unnest(list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'method' END, CASE WHEN c_custkey % 7 = 0 THEN 'plan_hash' END, CASE WHEN c_custkey % 9 = 0 THEN 'secret_id' END], lambda x: x IS NOT NULL)) AS field FROM customer""")
+#: The fields of a checkpoint's contract, and the customers whose stored one differs in each.
+_FIELDS = {"version": 4, "source_fingerprint": 6, "plan_hash": 7, "layout_hash": 8, "method": 5, "secret_key_id": 11, "secret_id": 9, "runtime": 10}
+
+
+@query(f"""WITH e AS (SELECT c_custkey AS id, {", ".join(f"CASE WHEN '{f}' LIKE 'secret%' THEN NULL ELSE c_name || '{f}' END AS {f}" for f in _FIELDS)} FROM customer),
+    s AS (SELECT id, {", ".join(f"CASE WHEN id % {n} = 0 THEN 'another' ELSE {f} END AS {f}" for f, n in _FIELDS.items())} FROM e)
+    {" UNION ALL ".join(f"SELECT id, '{f}' AS field FROM s JOIN e USING (id) WHERE s.{f} IS DISTINCT FROM e.{f}" for f in _FIELDS)}""")
 def checkpoint_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields in which stored checkpoints differ from the run that wants to go on with them."""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer")
-    expected = rows.select(k.alias("id"), F.lit("identity").alias("method"), F.col("c_name").alias("plan_hash"), F.lit(None).cast("string").alias("secret_id"))
-    stored = rows.select(k.alias("id"), F.when(k % 5 == 0, "other").otherwise("identity").alias("method"), F.when(k % 7 != 0, F.col("c_name")).alias("plan_hash"), F.when(k % 9 == 0, "s").alias("secret_id"))
-    return op.contract_differences(stored, expected, ["method", "plan_hash", "secret_id"])
+    none = F.lit(None).cast("string")
+    expected = table(spark, sf_dir, "customer").select(k.alias("id"), *[(none if f.startswith("secret") else F.concat("c_name", F.lit(f))).alias(f) for f in _FIELDS])
+    stored = expected.select("id", *[F.when(F.col("id") % n == 0, "another").otherwise(F.col(f)).alias(f) for f, n in _FIELDS.items()])
+    return op.contract_differences(stored, expected, list(_FIELDS))
+
+
+@query("""SELECT DISTINCT k AS "key" FROM (SELECT unnest(json_keys(props)) AS k FROM events WHERE event_id % 3 <> 1 UNION ALL SELECT 'extra' FROM events WHERE event_id % 7 = 0) WHERE k <> 'k'""")
+def unexpected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of documents that aren't among those that may be missing from a model."""
+    events = table(spark, sf_dir, "events")
+    keys = events.where("event_id % 3 <> 1").select(F.explode(F.json_object_keys("props")).alias("key")).unionByName(events.where("event_id % 7 = 0").select(F.lit("extra").alias("key")))
+    return op.unexpected_keys(keys, spark.createDataFrame([("k",)], "key string"))
 
 
-@query("""SELECT name, reason FROM (SELECT n_name AS name, CASE n_nationkey % 6 WHEN 1 THEN 'corrupted' WHEN 2 THEN 'missing' WHEN 3 THEN 'unexpected' END AS reason FROM nation) WHERE reason IS NOT NULL""")
+@query("""WITH d AS (SELECT n_name AS name, n_nationkey % 6 AS k, sha256(n_name || '|' || n_nationkey) AS digest FROM nation), m AS (SELECT name, digest FROM d WHERE k <> 3),
+    a AS (SELECT name, CASE WHEN k = 1 THEN reverse(digest) ELSE digest END AS digest FROM d WHERE k <> 2)
+    SELECT coalesce(m.name, a.name) AS name, CASE WHEN a.name IS NULL THEN 'missing' WHEN m.name IS NULL THEN 'unexpected' ELSE 'corrupted' END AS reason
+    FROM m FULL JOIN a ON m.name = a.name WHERE m.digest IS DISTINCT FROM a.digest""")
 def manifest_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What verification finds when payloads were changed, lost or added after the manifest was written."""
     k = F.col("n_nationkey")

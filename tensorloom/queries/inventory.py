@@ -62,13 +62,13 @@ def tied_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.with_alias(tensors(spark, sf_dir), "embeddings.embedding", "lm_head.weight").select("name", "byte_length", "alias_of")
 
 
-_SIZES = ("4GiB", "256MiB", " 12 KiB", "7 GB", "100MB", "9KB", "15 B", "42", "1.5GiB", "3gib", "-1", "", "99999999999GiB", "12 XB")
+_SIZES = ("4GiB", "256MiB", " 12 KiB", "7 GB", "100MB", "9KB", "15 B", "42", "1.5GiB", "3gib", "-1", "", "99999999999GiB", "12 XB", "10000000000GiB")
 
 
 @query(f"""WITH s AS (SELECT doc_id, list_extract({list(_SIZES)}, doc_id % {len(_SIZES)} + 1) AS size FROM documents),
     p AS (SELECT *, regexp_extract(trim(size), '^([0-9]+) *(GiB|MiB|KiB|GB|MB|KB|B|)$', 1) AS n, regexp_extract(trim(size), '^([0-9]+) *(GiB|MiB|KiB|GB|MB|KB|B|)$', 2) AS u FROM s),
     b AS (SELECT *, CAST(nullif(n, '') AS HUGEINT) * CASE u WHEN 'GiB' THEN 1073741824 WHEN 'MiB' THEN 1048576 WHEN 'KiB' THEN 1024 WHEN 'GB' THEN 1000000000 WHEN 'MB' THEN 1000000 WHEN 'KB' THEN 1000 ELSE 1 END AS bytes FROM p)
-    SELECT doc_id, size, CASE WHEN bytes <= 9223372036854775807 THEN CAST(bytes AS BIGINT) END AS bytes FROM b""")
+    SELECT doc_id, size, CASE WHEN bytes <= 18446744073709551615 THEN CAST(bytes AS DECIMAL(20, 0)) END AS bytes FROM b""")
 def parse_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.array(*[F.lit(s) for s in _SIZES])
     rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(sizes, (F.col("doc_id") % len(_SIZES) + 1).cast("int")).alias("size"))

@@ -13,7 +13,7 @@ QUERIES, SQL, query = registry()
 MAX_SHARD = 500_000
 
 #: Next-fit packing as a recursion over the tensors in order: what a shard holds so far decides on each.
-_LAYOUT = f"""inv AS ({INVENTORY_SQL}),
+_LAYOUT = f"""inv AS MATERIALIZED ({INVENTORY_SQL}),
     seq AS (SELECT name, byte_length, row_number() OVER (ORDER BY CASE dtype WHEN 'F64' THEN 8 WHEN 'I64' THEN 8 ELSE 4 END DESC, encode(name)) AS k FROM inv),
     walk AS (
         SELECT k, name, byte_length, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS offs, byte_length AS used FROM seq WHERE k = 1
@@ -102,3 +102,47 @@ def repack(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT shard, text || repeat(' ', CAST((8 - strlen(text) % 8) % 8 AS INTEGER)) AS header, CAST(8 + strlen(text) + (8 - strlen(text) % 8) % 8 + payload AS BIGINT) AS file_bytes FROM t""")
 def shard_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.headers(_layout(spark, sf_dir), tensors(spark, sf_dir))
+
+
+#: A layout with its files, of which the last shard's file is too short, a header lost a tensor and changed another's dtype, the
+#: index moved one, and claims another total.
+_FILES = """sh AS (SELECT shard, CAST(sum(byte_length) AS BIGINT) AS payload, printf('model-%05d-of-%05d.safetensors', shard + 1, (SELECT max(shard) + 1 FROM lay)) AS filename FROM lay GROUP BY shard),
+    files AS (SELECT CASE WHEN shard = 1 THEN 77 ELSE shard END AS shard, filename, 800 AS header, payload, 808 + payload - CASE WHEN shard = (SELECT max(shard) FROM sh) THEN 8 ELSE 0 END AS file FROM sh),
+    l AS (SELECT lay.*, dtype, shape FROM lay JOIN inv USING (name)),
+    e AS (SELECT shard, name, CASE name WHEN 'part.p_size' THEN 'F32' ELSE dtype END AS dtype, shape, "offset" AS b, "offset" + byte_length AS f FROM l WHERE name <> 'orders.o_custkey' UNION ALL SELECT 0, 'nowhere', 'U8', [1], 0, 1),
+    idx AS (SELECT name, CASE name WHEN 'labels.toxic' THEN 'elsewhere' ELSE filename END AS filename FROM lay JOIN sh USING (shard) WHERE name <> 'events.value')"""
+
+
+@query(f"""WITH RECURSIVE {_LAYOUT}, {_FILES}
+    SELECT 'shard ' || shard AS subject, 'ids are not dense' AS reason FROM files WHERE shard < 0 OR shard >= (SELECT count(*) FROM files)
+    UNION ALL SELECT 'shard ' || shard, 'payload is not its tensors'' sum' FROM files LEFT JOIN (SELECT shard, sum(byte_length) AS held FROM l GROUP BY shard) USING (shard) WHERE payload <> coalesce(held, 0)
+    UNION ALL SELECT 'shard ' || shard, 'file is not header and payload' FROM files WHERE file <> 8 + header + payload
+    UNION ALL SELECT coalesce(l.name, e.name), CASE WHEN l.name IS NULL THEN 'in a header but not planned' WHEN e.name IS NULL THEN 'not in its header' ELSE 'another entry in the header' END
+        FROM e FULL JOIN l ON e.shard = l.shard AND e.name = l.name WHERE l.name IS NULL OR e.name IS NULL OR e.dtype <> l.dtype OR e.shape <> l.shape OR b <> "offset" OR f <> "offset" + byte_length
+    UNION ALL SELECT coalesce(l.name, idx.name), CASE WHEN idx.name IS NULL THEN 'not in the index' ELSE 'another shard in the index' END FROM (SELECT l.name, files.filename FROM l LEFT JOIN files USING (shard)) l FULL JOIN idx ON l.name = idx.name WHERE idx.name IS NULL OR l.filename <> idx.filename
+    UNION ALL SELECT 'index', 'another total' WHERE 12345 <> (SELECT sum(byte_length) FROM l)""")
+def layout_self_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a layout by itself: its shards' ids and lengths, its headers, and its index."""
+    inventory = tensors(spark, sf_dir)
+    good = op.next_fit(inventory, MAX_SHARD)
+    names = op.shard_names(good)
+    layout = good.join(inventory.select("name", "dtype", "shape"), "name")
+    last = names.agg(F.max("shard").alias("last"))
+    cut = F.when(F.col("shard") == F.col("last"), 8).otherwise(0)
+    files = names.crossJoin(last).select(F.when(F.col("shard") == 1, F.lit(77).cast("long")).otherwise(F.col("shard")).alias("shard"), "filename", F.lit(800).alias("header_bytes"), "payload_bytes", (808 + F.col("payload_bytes") - cut).alias("file_bytes"))  # one row
+    entries = layout.where("name <> 'orders.o_custkey'").select("shard", "name", F.when(F.col("name") == "part.p_size", "F32").otherwise(F.col("dtype")).alias("dtype"), "shape", F.col("offset").alias("begin"), (F.col("offset") + F.col("byte_length")).alias("end"))
+    more = spark.createDataFrame([(0, "nowhere", "U8", [1], 0, 1)], "shard long, name string, dtype string, shape array<bigint>, begin long, `end` long")
+    index = good.join(names.select("shard", "filename"), "shard").where("name <> 'events.value'").select("name", F.when(F.col("name") == "labels.toxic", "elsewhere").otherwise(F.col("filename")).alias("filename"))
+    return op.self_violations(layout, files, entries.unionByName(more), index, spark.createDataFrame([(12345,)], "total_size long"))
+
+
+@query(f"""WITH RECURSIVE {_LAYOUT} SELECT sha256(string_agg(concat_ws('|', shard, "offset", name, byte_length), chr(10) ORDER BY shard, "offset", encode(name))) AS digest FROM lay""")
+def layout_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.layout_digest(_layout(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_LAYOUT}, sh AS (SELECT shard, sum(byte_length) AS bytes, count(*) AS n FROM lay GROUP BY shard)
+    SELECT 'identity' AS method, (SELECT count(*) FROM inv) AS source_tensors, (SELECT CAST(sum(byte_length) AS BIGINT) FROM inv) AS source_bytes, CAST(sum(n) AS BIGINT) AS output_tensors, CAST(sum(bytes) AS BIGINT) AS output_bytes, count(*) AS shards, CAST(max(bytes) AS BIGINT) AS largest_shard FROM sh""")
+def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inventory = tensors(spark, sf_dir)
+    return op.plan_summary(inventory, op.next_fit(inventory, MAX_SHARD), "identity")

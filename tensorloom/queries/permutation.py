@@ -83,11 +83,11 @@ def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.encode(tokens, perm)
 
 
-@query(f"WITH {_TOKENS_SQL} SELECT conv_id, turn, pos, v.id AS token FROM t JOIN v USING (word)")
+@query(f"WITH {_TOKENS_SQL} SELECT conv_id, turn, pos, p.obf AS sent, p.orig AS token FROM t JOIN v USING (word) JOIN p ON v.id = p.orig")
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that were permuted and permuted back."""
+    """Tokens as they are sent, permuted, and as they are after they were permuted back."""
     tokens, perm = _encoded(spark, sf_dir)
-    return op.decode(op.encode(tokens, perm), perm)
+    return op.decode(op.encode(tokens, perm).withColumn("sent", F.col("token")), perm)
 
 
 @query(f"WITH {_TOKENS_SQL} SELECT conv_id, turn, pos, id AS token FROM t JOIN v USING (word) WHERE id >= 1000")
@@ -97,8 +97,21 @@ def tokens_outside_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.outside_vocabulary(tokens, 1000)
 
 
-@query(f"""WITH p AS ({PERM_SQL}) SELECT p.obf AS row_id, CASE WHEN p.obf % 101 = 3 THEN 'missing' ELSE 'different' END AS reason
-    FROM p WHERE p.obf % 101 = 3 OR p.obf % 97 = 5""")
+@query(f"""WITH {_TOKENS_SQL}, q AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 4 THEN [] ELSE list(id) END AS ids FROM t JOIN v USING (word) GROUP BY conv_id, turn)
+    SELECT conv_id, turn, 'empty' AS reason FROM q WHERE len(ids) = 0
+    UNION ALL SELECT conv_id, turn, 'outside the vocabulary' FROM q WHERE len(list_filter(ids, lambda x: x >= 1000)) > 0""")
+def prompt_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as prompts of a model with 1000 tokens: those without any token, and those with one that it doesn't know."""
+    tokens, _ = _encoded(spark, sf_dir)
+    prompts = tokens.groupBy("conv_id", "turn").agg(F.collect_list("token").alias("tokens"))
+    none = F.array().cast("array<bigint>")
+    return op.prompt_violations(prompts.withColumn("tokens", F.when(F.col("conv_id") % 9 == 4, none).otherwise(F.col("tokens"))), 1000)
+
+
+@query(f"""WITH p AS ({PERM_SQL}), good AS (SELECT p.obf AS row_id, embedding AS v FROM embeddings JOIN p ON vec_id = p.orig),
+    served AS (SELECT row_id, CASE WHEN row_id % 97 = 5 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM good WHERE row_id % 101 <> 3)
+    SELECT coalesce(g.row_id, s.row_id) AS row_id, CASE WHEN s.row_id IS NULL THEN 'missing' WHEN g.row_id IS NULL THEN 'extra' ELSE 'different' END AS reason
+    FROM good g FULL JOIN served s ON g.row_id = s.row_id WHERE s.row_id IS NULL OR g.row_id IS NULL OR g.v <> s.v""")
 def weight_relationship_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What verification finds in a permuted matrix of which some rows were dropped and some negated."""
     before, perm = matrix(spark, sf_dir), permutation(spark, sf_dir)
@@ -120,8 +133,9 @@ def identity_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensors.copy(table(spark, sf_dir, "part"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 211 = 1 THEN 'missing' ELSE 'different' END AS reason FROM part WHERE p_partkey % 211 = 1 OR p_partkey % 97 = 2
-    UNION ALL SELECT -1, 'extra'""")
+@query("""WITH other AS (SELECT * REPLACE (CASE WHEN p_partkey % 97 = 2 THEN p_size + 1 ELSE p_size END AS p_size) FROM part WHERE p_partkey % 211 <> 1 UNION ALL (SELECT * REPLACE (-1 AS p_partkey) FROM part LIMIT 1))
+    SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'missing' WHEN a.p_partkey IS NULL THEN 'extra' ELSE 'different' END AS reason
+    FROM part a FULL JOIN other b ON a.p_partkey = b.p_partkey WHERE a IS DISTINCT FROM b""")
 def byte_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a copy differs from its source that lost rows, changed values and gained one."""
     source = table(spark, sf_dir, "part")

@@ -92,12 +92,23 @@ def test_top_token_takes_the_lowest_of_equal_ones(spark):
     assert rows(inference.top_token(logits, ["position"])) == [(0, 0, 2.0)]
 
 
-def test_greedy_stops_after_eos(spark):
+def test_greedy_stops_after_eos_of_the_first_row(spark):
     perm = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "orig bigint, obf bigint")
     matrix = spark.createDataFrame([(0, [1, 0]), (1, [0, 1]), (2, [3, 1])], "token bigint, w array<bigint>")
-    prompts = spark.createDataFrame([(7, 0), (8, 1)], "prompt bigint, last bigint")
-    found = dict(rows(inference.greedy(prompts, permutation.encode(matrix, perm), perm, [2], 4)))
-    assert found == {7: [2], 8: [1, 1, 1, 1]}
+    prompts = spark.createDataFrame([(7, 0, 0), (7, 1, 1), (8, 0, 1), (8, 1, 0)], "batch bigint, row bigint, last bigint")
+    found = {(b, r): t for b, r, t in rows(inference.greedy(prompts, permutation.encode(matrix, perm), perm, [2], 4))}
+    assert found == {(7, 0): [2], (7, 1): [1], (8, 0): [1, 1, 1, 1], (8, 1): [2, 2, 2, 2]}
+    assert rows(inference.greedy(prompts, matrix, perm, [2], 0))[0] == (7, 0, [])
+
+
+def test_equivalence(spark):
+    tokens = spark.createDataFrame([(0, 0, [1, 2])], "batch int, row int, tokens array<int>")
+    other = spark.createDataFrame([(0, 0, [1, 3])], "batch int, row int, tokens array<int>")
+    logits = spark.createDataFrame([(0, 1.0)], "k int, x double")
+    far = spark.createDataFrame([(0, 2.0)], "k int, x double")
+    near, off = inference.closeness(logits, logits, ["k"], "x"), inference.closeness(logits, far, ["k"], "x")
+    found = [inference.equivalence(c, tokens, t).first()["equivalent"] for c, t in ((near, tokens), (near, other), (off, tokens), (near, tokens.where("false")))]
+    assert found == [True, False, False, False]
 
 
 def test_closeness(spark):
@@ -113,20 +124,25 @@ def test_whole_inference_takes_every_row_and_position(spark):
     from oracle import DATA
 
     from tensorloom import catalog
-    from tensorloom.queries.inference import EOS, STEPS
+    from tensorloom.queries.inference import BATCH, EOS, STEPS
 
-    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())
-    tokens, weights = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    found = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())
+    tokens, weights = np.array([r[0] for r in found]), np.array([r[1] for r in found])
     scaled = weights * 1000
     whole = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64)
     after = dict(zip(tokens.tolist(), tokens[(whole @ whole.T).argmax(axis=1)].tolist(), strict=True))
     expected = {}
-    for prompt in after:
-        expected[prompt], last = [], prompt
-        while len(expected[prompt]) < STEPS and last not in EOS[: len(expected[prompt]) * len(EOS)]:
-            last = after[last]
-            expected[prompt].append(last)
+    for batch in range(-(-len(tokens) // BATCH)):
+        lasts = [t for t in range(BATCH * batch, BATCH * batch + BATCH) if t in after]
+        out = [[] for _ in lasts]
+        for _ in range(STEPS):
+            lasts = [after[t] for t in lasts]
+            for some, t in zip(out, lasts, strict=True):
+                some.append(t)
+            if lasts[0] in EOS:
+                break
+        expected |= {(batch, k): some for k, some in enumerate(out)}
     queries = catalog.queries()
-    assert {r["prompt"]: r["tokens"] for r in queries["greedy_decode_whole"](spark, DATA).collect()} == expected
-    assert queries["logits_align_whole"](spark, DATA).count() == weights.size
-    assert queries["allclose_whole"](spark, DATA).first()["n"] == weights.size
+    assert {(r["batch"], r["row"]): r["tokens"] for r in queries["greedy_decode"](spark, DATA).collect()} == expected
+    assert queries["logits_align"](spark, DATA).count() == weights.size
+    assert queries["allclose"](spark, DATA).first()["n"] == weights.size
