@@ -12,7 +12,7 @@ from tensorloom.llm.common import arrow, byte_view, released
 from tensorloom.llm.words import mixed
 
 SLICE_BITS = 20  # positions of one slice of the filter
-MOST_BITS = 1 << 28  # of a filter: 32 MB, the most that is broadcast
+MOST_BITS = 1 << 30  # of a filter: 128 MB, the most that is broadcast
 FLUSH_ROWS = 1 << 20  # a task hands its notes on after so many rows
 
 Words = Callable[[pa.Array], np.ndarray]

@@ -1,9 +1,10 @@
 """Tool calls of conversations: linked to their results, ordered, checked and written as canonical JSON.
 
-Calls and results meet by identifier in a hash join, results having been reduced to one row an identifier before. The
-dependencies between calls give each its level, the longest way to a call that depends on none. Where no call has two
-parents, pointers are doubled, so that a conversation of n calls takes log2(n) rounds; else levels are peeled off
-one by one. Only built-in functions are used.
+Calls and results meet by identifier in a hash join, results having been reduced to one row an identifier before; what
+an identifier that very many calls share is joined with is repeated, and its calls are dealt among the repeats. Calls
+without an identifier are never exchanged. The dependencies between calls give each its level, the longest way to a call
+that depends on none. Pointers to single parents are doubled, so that a conversation of n calls takes log2(n) rounds;
+only calls with several parents are then ordered among each other, level by level. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import cut, join_facts
+from tensorloom.llm.common import cut, join_facts, join_salted
 
 #: What schema_of_variant() calls a value of each type of a JSON schema.
 TYPES = {
@@ -26,7 +27,27 @@ TYPES = {
     "object": ("OBJECT",),
 }
 
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: Of each tool its arguments: (type, required) or (type, required, limits), limits being a JSON schema's minLength, maxLength
+#: (in characters), minimum, maximum and enum.
+Schemas = dict[str, dict[str, tuple]]
+
+
+def _broken(value: Column, key: str, kind: str, limits: dict) -> list[Column]:
+    """A message for every limit that the value of a fitting type goes beyond."""
+    path, out = f"$['{key}']", []
+    text, number = F.char_length(F.try_variant_get(value, path, "string")), F.try_variant_get(value, path, "double")
+    for name, limit in limits.items():
+        if name in ("minLength", "maxLength"):
+            wrong = text < limit if name == "minLength" else text > limit
+            out.append(F.when(wrong, F.lit(f"{'shorter' if name == 'minLength' else 'longer'} than {limit}: {key}")))
+        elif name in ("minimum", "maximum"):
+            wrong = number < limit if name == "minimum" else number > limit
+            out.append(F.when(wrong, F.lit(f"{'below' if name == 'minimum' else 'above'} {limit}: {key}")))
+        elif name == "enum":
+            out.append(F.when(~F.try_variant_get(value, path, "string").isin([str(x) for x in limit]), F.lit(f"none of its values: {key}")))
+        else:
+            raise ValueError(f"{name} is no limit of a {kind}")
+    return out
 
 
 def canonical(json_text: Column) -> Column:
@@ -44,13 +65,14 @@ def problems_of(tool: Column, arguments: Column, schemas: Schemas) -> Column:
     out = F.array(F.lit("unknown tool"))
     for name, schema in schemas.items():
         terms = [F.lit(None).cast("string")]
-        for key, (kind, required) in schema.items():
+        for key, (kind, required, *limits) in schema.items():
             found = F.schema_of_variant(F.try_variant_get(value, f"$['{key}']", "variant"))
             fits = F.lit(False)
             for start in TYPES[kind]:
                 fits = fits | found.startswith(start)
             absent = F.lit(f"missing {key}") if required else F.lit(None).cast("string")
             terms.append(F.when(found.isNull(), absent).when(~fits, F.lit(f"not {kind}: {key}")))
+            terms += [F.when(fits, wrong) for wrong in _broken(value, key, kind, limits[0] if limits else {})]
         extra = F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in schema]) if schema else F.array().cast("array<string>"))
         found = F.concat(F.array_compact(F.array(*terms)), F.transform(extra, lambda k: F.concat(F.lit("unexpected "), k)))
         out = F.when(tool == name, F.when(is_object, F.array_sort(found)).otherwise(F.array(F.lit("arguments are no object")))).otherwise(out)
@@ -58,40 +80,69 @@ def problems_of(tool: Column, arguments: Column, schemas: Schemas) -> Column:
 
 
 def _doubled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels (null: on or behind a circle) where each node has one parent at most: pointers jump twice as far each round."""
-    state = cut(nodes.join(edges, nodes["id"] == edges["child"], "left").select("id", F.col("parent").alias("to"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("level")))
+    """(id, root, level, stuck) where each node has one parent at most: its first ancestor and the way to it.
+
+    Pointers jump twice as far each round. Nodes on or behind a circle reach no ancestor without a parent: these are stuck.
+    """
+    parent = edges.select(F.col("child").alias("id"), F.col("parent").alias("to"))
+    state = nodes.join(parent, "id", "left").select("id", "to", F.coalesce("to", "id").alias("root"), F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("level"))
+    state = cut(state)
     n = state.count()
     for _ in range(math.ceil(math.log2(max(2, n))) + 1):
         if state.where("to IS NOT NULL").isEmpty():
             break
         # many nodes may point to one: those are joined apart
         sizes = state.where("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("__n"))
-        aims = state.select("id", F.col("to").alias("__to"), F.col("level").alias("__more")).join(sizes, "id").withColumnRenamed("id", "to")
+        aims = state.select("id", F.col("to").alias("__to"), F.col("root").alias("__root"), F.col("level").alias("__more")).join(sizes, "id").withColumnRenamed("id", "to")
         met = join_facts(state, aims, "to", "__n", ["id"], n)
-        state = cut(met.select("id", F.col("__to").alias("to"), (F.col("level") + F.coalesce("__more", F.lit(0))).alias("level")))
-    return state.select("id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
-
-
-def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels (null: on or behind a circle) of any graph: each round takes the nodes all of whose parents are taken."""
-    needs = edges.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("open"))
-    state = cut(nodes.join(needs, "id", "left").select("id", F.coalesce("open", F.lit(0).cast("long")).alias("open"), F.when(F.col("open").isNull(), 0).cast("long").alias("level")))
-    level = 0
-    while not (front := state.where(F.col("level") == level)).isEmpty():
-        met = edges.join(front.select(F.col("id").alias("parent")), "parent").groupBy(F.col("child").alias("id")).agg(F.count("*").alias("__met"))
-        level += 1
+        state = cut(met.select("id", F.col("__to").alias("to"), F.coalesce("__root", "root").alias("root"), (F.col("level") + F.coalesce("__more", F.lit(0))).alias("level")))
+    return state.select("id", "root", "level", F.col("to").isNotNull().alias("stuck"))
+
+
+def _peeled(several: DataFrame) -> DataFrame:
+    """(id, level) of nodes with several parents; null on or behind a circle.
+
+    several: (id, root, way, stuck, joins): for each parent of a node that parent's first ancestor, the way from there, and
+    whether that ancestor has several parents itself. Each round takes the nodes all of whose parents' levels are known.
+    """
+    known = F.max(F.when(~F.col("joins"), F.col("way"))).alias("best")
+    state = cut(several.groupBy("id").agg(F.count_if(F.col("joins") | F.col("stuck")).alias("open"), F.coalesce(known, F.lit(0).cast("long")).alias("best")).withColumn("round", F.when(F.col("open") == 0, 0)))
+    edges = cut(several.where("joins AND NOT stuck").groupBy("root", "id").agg(F.max("way").alias("way"), F.count("*").alias("n")))
+    done = 0
+    while not (front := state.where(F.col("round") == done)).isEmpty():
+        met = edges.join(front.select(F.col("id").alias("root"), F.col("best").alias("__at")), "root")
+        met = met.groupBy("id").agg(F.max(F.col("__at") + F.col("way")).alias("__best"), F.sum("n").alias("__met"))
+        done += 1
         left = F.col("open") - F.coalesce("__met", F.lit(0))
-        state = cut(state.join(met, "id", "left").select("id", left.alias("open"), F.when(F.col("level").isNull() & (left == 0), F.lit(level).cast("long")).otherwise(F.col("level")).alias("level")))
-    return state.select("id", "level")
+        state = cut(state.join(met, "id", "left").select("id", left.alias("open"), F.greatest("best", F.coalesce("__best", "best")).alias("best"), F.when(F.col("round").isNull() & (left == 0), F.lit(done)).otherwise(F.col("round")).alias("round")))
+    return state.select("id", F.when(F.col("round").isNotNull(), F.col("best")).alias("level"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """(id, level) of every distinct call_id: 0 without (known) dependencies, else one more than the highest of them."""
-    nodes = calls.where("call_id IS NOT NULL").groupBy(F.col("call_id").alias("id")).agg(F.count("*").alias("__rows")).select("id")
-    edges = calls.select(F.col("call_id").alias("child"), F.explode("depends_on").alias("parent")).where("child IS NOT NULL AND parent IS NOT NULL").distinct()
-    edges = cut(edges.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi"))
-    most = edges.groupBy("child").count().agg(F.max("count")).first()[0] or 0
-    return (_doubled if most <= 1 else _peeled)(nodes, edges)
+    nodes = cut(calls.where("call_id IS NOT NULL").groupBy(F.col("call_id").alias("id")).agg(F.count("*").alias("__rows")).select("id"))
+    edges = cut(calls.select(F.col("call_id").alias("child"), F.explode("depends_on").alias("parent")).where("child IS NOT NULL AND parent IS NOT NULL").distinct())
+    n = edges.count()
+    asked = edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("__n"))
+    there = asked.join(nodes, "id").select(F.col("id").alias("parent"), "__n", F.lit(True).alias("__there"))
+    edges = cut(join_facts(edges, there, "parent", "__n", ["child"], n).where("__there").select("child", "parent"))
+    joins = cut(edges.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("__p")).where("__p > 1").select("id"))
+    if joins.isEmpty():
+        return _doubled(nodes, edges).select("id", F.when(~F.col("stuck"), F.col("level")).alias("level"))
+
+    single = edges.join(joins.withColumnRenamed("id", "child"), "child", "left_anti")
+    forest = cut(_doubled(nodes, single))  # nodes with several parents begin trees of their own
+    n = max(1, forest.count())
+    many = joins.select(F.col("id").alias("root"), F.lit(True).alias("__joins"))
+    sizes = forest.groupBy("root").agg(F.count("*").alias("__n"))
+    forest = cut(join_facts(forest, many.join(sizes, "root"), "root", "__n", ["id"], n).select("id", "root", "level", "stuck", F.coalesce("__joins", F.lit(False)).alias("joins")))
+    parents = edges.join(joins.withColumnRenamed("id", "child"), "child", "left_semi")
+    asked = parents.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("__n")).join(forest, "id").withColumnRenamed("id", "parent")
+    several = join_facts(parents, asked, "parent", "__n", ["child"], max(1, n)).select(F.col("child").alias("id"), "root", (F.col("level") + 1).alias("way"), "stuck", (F.col("joins") & ~F.col("stuck")).alias("joins"))
+    tops = _peeled(cut(several)).select(F.col("id").alias("root"), F.col("level").alias("__top"))
+    met = join_facts(forest, tops.join(sizes, "root"), "root", "__n", ["id"], n)
+    level = F.when(F.col("joins"), F.col("__top") + F.col("level")).otherwise(F.col("level"))
+    return met.select("id", F.when(~F.col("stuck"), level).alias("level"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -107,18 +158,23 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     problem 'circular'. Sorting by (level, position) is a topological order. json has sorted keys, no spaces, and the
     arguments in canonical form (null where they are no JSON). Other columns of the inputs are not carried.
     """
-    found = results.where("call_id IS NOT NULL").groupBy(F.col("call_id").alias("__id")).agg(F.min(F.struct("position", "content")).alias("__r"), F.count("*").alias("n_results"))
-    level = levels(calls).withColumnRenamed("id", "__lid").withColumnRenamed("level", "__level")
+    found = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("position", "content")).alias("__r"), F.count("*").alias("n_results"))
     mine = calls.select("call_id", "position", "tool", "arguments", F.lit(True).alias("__call"))
-    met = mine.join(level, F.col("call_id") == F.col("__lid"), "left").join(found, F.col("call_id") == F.col("__id"), "full")
+    named = mine.where("call_id IS NOT NULL")
+    shared = named.groupBy("call_id").agg(F.count("*").alias("__n"))
+    facts = shared.join(levels(calls).select(F.col("id").alias("call_id"), F.col("level").alias("__level")), "call_id", "left").join(found, "call_id", "full")
+    facts = cut(facts.withColumn("__found", F.col("n_results").isNotNull()))  # one row an identifier
+    linked = join_salted(named, facts.where("__n IS NOT NULL"), "call_id", "__n", ["position", "arguments"], named.count())
+    bare = lambda rows: rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in linked.schema])
+    met = linked.unionByName(bare(mine.where("call_id IS NULL"))).unionByName(bare(facts.where("__n IS NULL")))
     is_call = F.col("__call").isNotNull()
     circular = is_call & F.col("call_id").isNotNull() & F.col("__level").isNull()
     problems = F.concat(problems_of(F.col("tool"), F.col("arguments"), schemas), F.when(circular, F.array(F.lit("circular"))).otherwise(F.array().cast("array<string>")))
     out = met.select(
-        F.coalesce("call_id", "__id").alias("call_id"),
+        "call_id",
         "position",
         "tool",
-        F.when(~is_call, "orphan").when(F.col("__id").isNotNull(), "linked").otherwise("pending").alias("status"),
+        F.when(~is_call, "orphan").when(F.col("__found"), "linked").otherwise("pending").alias("status"),
         F.when(is_call & F.col("call_id").isNull(), F.lit(0).cast("long")).otherwise(F.col("__level")).alias("level"),
         F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"),
         F.col("__r.position").alias("result_position"),

@@ -6,15 +6,17 @@ import contextlib
 import ctypes
 import inspect
 import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.storage import cut, shared_path
+
+__all__ = ["cut", "shared_path"]  # the operators' way to these
+
 # Python workers stay alive between tasks: what a batch took goes back to the system at once.
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -73,18 +75,6 @@ def arrow(f: Callable[..., pa.Array], kind: str) -> Callable[..., Column]:
     return F.arrow_udf(one if len(inspect.signature(f).parameters) == 1 else two, kind)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the folder that the cluster shares; its lineage ends there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single machine) a temporary
-    one is used.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def narrow(df: DataFrame, rows: int, rows_a_task: int = 25_000) -> DataFrame:
     """df in no more partitions than so many (small) rows are worth, without an exchange; with many rows, as it is.
 
@@ -94,12 +84,12 @@ def narrow(df: DataFrame, rows: int, rows_a_task: int = 25_000) -> DataFrame:
     return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_task), int(spark.conf.get("spark.sql.shuffle.partitions")) // 6))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written table, in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names renamed, and what gives a result of it the columns of df back, and no others."""
+    taken = {n.lower() for n in names}
+    own = {c: f"__own_{i}" if c.lower() in taken else c for i, c in enumerate(df.columns)}
+    aside = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    return aside, lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -34,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id stays. Rows without an id stay only if their whole group has none; of rows repeated with that id all count as
     kept, being one row. Input columns named like an output column are replaced. An empty table gives none.
 
-    The filter has bits_per_row bits a row and at most most_bits (32 MB), which bounds what is broadcast; beyond that
+    The filter has bits_per_row bits a row and at most most_bits (128 MB), which bounds what is broadcast; beyond that
     more rows that are not repeated are shuffled, with the same result.
     """
     spark = docs.sparkSession

@@ -66,8 +66,10 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-#: The tools of op10: a turn that is not the assistant's is a call of the tool named like its role.
-ASK = {"text": ("string", True), "turn": ("integer", True)}
+#: The tools of op10: a turn that is not the assistant's is a call of the tool named like its role. Longer texts, and instructions
+#: that aren't the first turn, break their schemas.
+ASK = {"text": ("string", True, {"minLength": 1, "maxLength": 300}), "turn": ("integer", True, {"minimum": 0})}
+INSTRUCT = {"text": ("string", True, {"minLength": 40, "maxLength": 200}), "turn": ("integer", True, {"minimum": 0, "maximum": 0})}
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.when(known, name(F.col("turn") - 2))).alias("depends_on"),
     )
     results = turns.where("role = 'assistant'").select(F.when(known, name(F.col("turn") - 1)).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
-    linked = link_calls(calls, results, {"user": ASK, "system": ASK})
+    linked = link_calls(calls, results, {"user": ASK, "system": INSTRUCT})
     return linked.withColumn("problems", F.array_join("problems", "; "))
 
 
@@ -136,13 +138,16 @@ SQL: dict[str, str] = {
         r AS (SELECT conv_id || ':' || (turn - 1) AS id, min(struct_pack(turn := turn, text := text)) AS r, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1),
         o AS (
             SELECT coalesce(c.call_id, r.id) AS call_id, c.turn AS position, c.role AS tool, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'pending' ELSE 'linked' END AS status,
-                l.level, coalesce(r.n, 0) AS n_results, r.r.turn AS result_position, CASE WHEN c.call_id IS NOT NULL THEN c.text IS NOT NULL END AS valid,
-                CASE WHEN c.call_id IS NULL THEN NULL WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS problems, c.text, r.r.text AS answer
+                l.level, coalesce(r.n, 0) AS n_results, r.r.turn AS result_position,
+                CASE WHEN c.call_id IS NOT NULL THEN list_sort(list_filter(CASE role
+                    WHEN 'user' THEN [CASE WHEN c.text IS NULL THEN 'missing text' WHEN length(c.text) < 1 THEN 'shorter than 1: text' WHEN length(c.text) > 300 THEN 'longer than 300: text' END, CASE WHEN c.turn < 0 THEN 'below 0: turn' END]
+                    WHEN 'system' THEN [CASE WHEN c.text IS NULL THEN 'missing text' WHEN length(c.text) < 40 THEN 'shorter than 40: text' WHEN length(c.text) > 200 THEN 'longer than 200: text' END, CASE WHEN c.turn < 0 THEN 'below 0: turn' WHEN c.turn > 0 THEN 'above 0: turn' END]
+                    ELSE ['unknown tool'] END, lambda x: x IS NOT NULL)) END AS found, c.text, r.r.text AS answer
             FROM c LEFT JOIN l ON c.call_id = l.call_id FULL JOIN r ON c.call_id = r.id)
-        SELECT call_id, position, tool, status, level, CAST(n_results AS BIGINT) AS n_results, result_position, valid, problems,
+        SELECT call_id, position, tool, status, level, CAST(n_results AS BIGINT) AS n_results, result_position, len(found) = 0 AS valid, array_to_string(found, '; ') AS problems,
             '{"arguments":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || position || '}' END
             || ',"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
-            || ',"problems":' || CASE WHEN problems IS NULL THEN 'null' WHEN problems = '' THEN '[]' ELSE '["' || problems || '"]' END
+            || ',"problems":' || coalesce(CAST(to_json(found) AS VARCHAR), 'null')
             || ',"result":' || coalesce(CAST(to_json(answer) AS VARCHAR), 'null') || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || '}' AS json
         FROM o""",
 }

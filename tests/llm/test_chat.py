@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,43 @@ def plain_levels(edges, nodes):
     return level
 
 
+def test_limits_of_schemas(spark):
+    schemas = {"say": {"text": ("string", True, {"minLength": 2, "maxLength": 4}), "n": ("integer", False, {"minimum": 0, "maximum": 9}), "mood": ("string", False, {"enum": ["glad", "sad"]})}}
+    cases = [('{"text": "ab", "n": 9, "mood": "sad"}', []), ('{"text": "é"}', ["shorter than 2: text"]), ('{"text": "abcde", "n": -1}', ["below 0: n", "longer than 4: text"]), ('{"text": "abc", "n": 10, "mood": "so"}', ["above 9: n", "none of its values: mood"]), ('{"text": 5, "n": "x"}', ["not integer: n", "not string: text"])]
+    calls = [(f"c{i}", i, "say", arguments, []) for i, (arguments, _) in enumerate(cases)]
+    frame = chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), schemas)
+    assert {r["position"]: r["problems"] for r in frame.collect()} == {i: p for i, (_, p) in enumerate(cases)}
+    with pytest.raises(ValueError, match="no limit"):
+        chat.problems_of(F.lit("t"), F.lit("{}"), {"t": {"x": ("string", True, {"pattern": "a"})}})
+
+
+def test_hot_identifiers_long_texts_and_more_columns(spark):
+    """A third of all calls share an identifier, a third have none; one result is very long; the inputs have other columns."""
+    calls = [("hot" if i % 3 == 0 else None if i % 3 == 1 else f"c{i}", i, "ping", "{}", ["hot"] if i % 3 == 2 else []) for i in range(3000)]
+    long = "word " * 200_000
+    results = [("hot", 1, long), ("hot", 2, "x"), ("c2", 3, ""), (None, 4, "x")]
+    more = spark.createDataFrame(calls, CALLS).withColumns({"status": F.lit("mine"), "json": F.lit(1), "__n": F.lit(2)})
+    found = chat.link_calls(more, spark.createDataFrame(results, RESULTS).withColumn("level", F.lit(9)), SCHEMAS)
+    assert found.columns == ["call_id", "position", "tool", "status", "level", "n_results", "result_position", "valid", "problems", "json"]
+    got = found.select("call_id", "position", "status", "level", "n_results", F.length("json").alias("n")).collect()
+    assert sorted(r["position"] for r in got) == list(range(3000))
+    for r in got:
+        kind = r["position"] % 3
+        assert r["status"] == ("linked" if kind == 0 or r["call_id"] == "c2" else "pending")
+        assert (r["level"], r["n_results"]) == ((0, 2) if kind == 0 else (0, 0) if kind == 1 else (1, int(r["call_id"] == "c2")))
+        assert (r["n"] > len(long)) == (kind == 0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(60)]
+    edges = list({(rng.choice(nodes[1:]), rng.choice(nodes)) for _ in range(70)})
+    calls = [(n, i, "ping", "{}", [p for c, p in edges if c == n]) for i, n in enumerate(nodes)]
+    found = {r["id"]: r["level"] for r in chat.levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert found == plain_levels(edges, nodes)
+
+
 @pytest.mark.parametrize("several", [False, True])
 def test_order(spark, several):
     """A long chain, a star, a diamond, circles and what hangs behind one, and a call that is nowhere."""
