@@ -1,13 +1,14 @@
 """Contiguous shards of near equal bytes, cut from global prefix sums.
 
-Rows are put in order of (id, crc32 of the text). Quantiles of the id split that order into ranges; one exchange deals the
-rows to their ranges, where a running sum gives each row its place; the totals of the ranges, one row each, give
+Rows are put in order of (id, crc32 of the text). Quantiles of the id split that order into ranges, and the crc32 those of
+an id that many rows have, or that lack one; one exchange deals the rows to their ranges, where a running sum gives each row its place; the totals of the ranges, one row each, give
 every range its start. A row goes to the shard in which the middle of its bytes falls. Only built-in functions are used.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +31,40 @@ def _range_of(bounds: list[int], value: Column) -> Column:
     return F.coalesce(F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inner), F.lit(0))
 
 
+def _spread_ids(marks: list[int], nulls: int, n: int, ranges: int) -> tuple[list[int], dict[int | None, int]]:
+    """Bounds of the ranges, and into how many parts those of ids that fill a range or more are split (None: rows without one)."""
+    times = Counter(marks)
+    parts: dict[int | None, int] = {v: k + 1 for v, k in times.items() if k > 1}  # two quantiles alike: a range's worth of rows
+    bounds = sorted({*times, *(v + 1 for v in parts)})
+    if nulls * ranges > n:
+        parts[None] = nulls * ranges // n + 1
+    return bounds, parts
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """docs with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null under this law).
 
     size: the text's UTF-8 bytes (null: none) plus 1. slot: the row's number in its shard, from 0 without gaps.
     Shards are contiguous in (id, crc32) order and differ from total / n_shards by one row's size at most. Rows without
     an id come first. Repeated rows are rows of their own and take neighbouring slots. An empty table gives none.
-    Input columns named like an output column are replaced. `ranges` bounds the rows that one task sorts; the totals
-    of the ranges are the only thing that is broadcast. By default there are as many as shuffle partitions.
+    Input columns named like an output column are replaced. Ids are whole numbers; others raise an error. `ranges` bounds the
+    rows that one task sorts, also where a third of all rows have one id or none, but for rows that are alike in id, text
+    and size; the totals of the ranges are the only thing that is broadcast. By default there are as many as shuffle partitions.
     """
     spark = docs.sparkSession
     if ranges is None:
         ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = without(docs, *OUT).withColumns({"size": F.octet_length(text_of(text_col)).cast("long") + 1, "text_crc32": F.crc32(text_of(text_col).cast("binary"))})
     marks = F.percentile_approx(F.col(id_col).cast("long"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(50 * ranges))
-    bounds = sorted(set(docs.agg(marks.alias("m")).first()["m"] or []))  # at most `ranges` numbers
-    rows = rows.withColumn("__range", _range_of(bounds, F.col(id_col).cast("long")))
+    found = docs.agg(marks.alias("m"), F.count_if(F.col(id_col).isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    bounds, parts = _spread_ids(found["m"] or [], found["nulls"], found["n"], ranges)  # at most 2 * ranges numbers
+    key = F.col(id_col).cast("long")
+    most = max(parts.values(), default=1)
+    part = F.lit(0)
+    for value, k in parts.items():  # half of the ranges at most
+        part = F.when(key.isNull() if value is None else key.eqNullSafe(F.lit(value).cast("long")), F.floor(F.col("text_crc32") * k / F.lit(float(1 << 32)))).otherwise(part)
+    base = F.when(key.isNull(), F.lit(0)).otherwise(_range_of(bounds, key) + 1)
+    rows = rows.withColumn("__range", base.cast("long") * most + part.cast("long"))
 
     upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     starts = rows.groupBy("__range").agg(F.sum("size").alias("__bytes")).select("__range", F.coalesce(F.sum("__bytes").over(upto), F.lit(0)).alias("__start"), F.sum("__bytes").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))

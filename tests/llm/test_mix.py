@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm import mixing
 from tensorloom.llm.mixing import expand, mix, round_off, tilts, water_fill
-from tensorloom.llm.sharding import shard_by_bytes
+from tensorloom.llm.sharding import _spread_ids, shard_by_bytes
 
 
 def plain_targets(sizes, weights, most=3):
@@ -177,3 +177,31 @@ def test_shards_on_odd_tables(spark, empty):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
         assert slots == list(range(len(slots)))
     assert shard_by_bytes(rows.withColumn("doc_id", F.lit(1).cast("long")), 2).count() == 5
+
+
+def plain_shards(rows, n_shards):
+    """(size, crc32, shard, slot) of (id, text) rows, in order."""
+    rows = sorted(((r[0] is not None, r[0] or 0, zlib.crc32(brute.raw(r[1])), len(brute.raw(r[1])) + 1) for r in rows))
+    total, before, slots, out = sum(r[3] for r in rows), 0, {}, []
+    for _, _, crc, size in rows:
+        shard = min(n_shards - 1, int((before + size / 2) * n_shards // total))
+        out.append((size, crc, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        before += size
+    return out
+
+
+def test_shards_equal_plain(docs, documents):
+    found = [(r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in shard_by_bytes(docs).orderBy("doc_id").collect()]
+    assert found == plain_shards([(d[0], d[1]) for d in documents], 16)
+
+
+def test_shards_where_ids_are_hot(spark):
+    """A third of the rows have one id, a third none: no task has them all, and the order is the same."""
+    texts = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " * (i % 5)) for i in range(3000)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    out = shard_by_bytes(frame, 8, ranges=32)
+    found = sorted((r["shard"], r["slot"], r["size"], r["text_crc32"]) for r in out.collect())
+    assert found == sorted((shard, slot, size, crc) for size, crc, shard, slot in plain_shards(texts, 8))
+    bounds, parts = _spread_ids([7] * 11 + [20, 30, 40], 1000, 3000, 32)
+    assert parts == {7: 12, None: 11} and bounds == [7, 8, 20, 30, 40]
