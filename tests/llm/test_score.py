@@ -160,18 +160,37 @@ def test_windows_match_plain_edit_distance(seed):
         for v in range(len(w.item)):
             if brute.edit_distance_within(w.data[v, : w.length[v]].tobytes(), text) <= w.edits[v]:
                 expected.add((row, int(w.item[v])))
-    assert {(h[0], h[1]) for h in dc.leaks(w, pa.array(texts))} == expected
+    assert {(h[0], h[1]) for _, hits in dc.leaks([w], pa.array(texts)) for h in hits} == expected
 
 
-def test_blocks_of_items(spark, monkeypatch):
+@pytest.mark.parametrize("held", [16, 1])
+def test_blocks_of_items(spark, monkeypatch, held):
+    """Two blocks, one of which is a single longer item, in one pass and in two."""
     monkeypatch.setattr(dc, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(dc, "HELD", held)
     items = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, None)], "item_id bigint, text string")
     assert len(list(dc.blocks_of_items(items, "item_id", "text"))) == 2
-    frame = spark.createDataFrame([(1, ITEM + OTHER), (2, "nothing")], "doc_id bigint, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_leaks(frame, items).collect()) == [(1, 1), (1, 2)]
+    frame = spark.createDataFrame([(1, ITEM + OTHER), (2, "nothing"), (3, OTHER)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_leaks(frame, items).collect()) == [(1, 1), (1, 2), (3, 2)]
     assert [r["doc_id"] for r in dc.decontaminate(frame, items).collect()] == [2]
 
 
+def test_short_items_match_whole(spark):
+    """Between borders of words and without a change; items of under eight bytes match nothing."""
+    items = spark.createDataFrame([(1, "Golden rings."), (2, "seven wizards count"), (3, "lazy"), (4, "  ")], "item_id bigint, text string")
+    docs = {1: "golden rings", 2: "a marigolden rings", 3: "golden ringside", 4: "SEVEN wizards, count!", 5: "seven wizard count", 6: "lazy", 7: "x " * 4000 + "(golden rings)"}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in dc.find_leaks(frame, items).collect()) == [(1, 1, 0), (4, 2, 0), (7, 1, 0)]
+
+
+def test_leaks_of_tables_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, ITEM, 5, "x")], "doc_id bigint, text string, n_found int, item_id string")
+    items = spark.createDataFrame([(7, ITEM, 9)], "item_id bigint, text string, doc_id int")
+    found = dc.find_leaks(frame, items)
+    assert found.columns == ["doc_id", "item_id", "n_windows", "n_found", "edits", "begin", "end"]
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, 7)]
+
+
 def test_normalised():
     raw, at = byte_view(pa.array(["x"]))
     assert len(raw) == 1 and at.tolist() == [0, 1]
