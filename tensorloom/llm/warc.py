@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -191,10 +192,33 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def export_bundles(spark: SparkSession, path: str, folder: str) -> int:
-    """Writes every bundle as a .warc.zst file of its own in a folder of the driver; one bundle is held at a time."""
+    """Writes every bundle as a .warc.zst file of its own in a folder that all machines mount; gives their number.
+
+    Each is written by the task that reads it, under a name for work until it is whole, so a task may run again.
+    """
     Path(folder).mkdir(parents=True, exist_ok=True)
-    n = 0
-    for row in spark.read.schema(BUNDLES).parquet(path).select("bundle", "data").toLocalIterator():
-        Path(folder, f"{row['bundle']}.warc.zst").write_bytes(bytes(row["data"]))
-        n += 1
-    return n
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(*batch.columns, strict=True):
+                target = Path(folder, f"{name.as_py()}.warc.zst")
+                part = target.with_name(f".{target.name}.{uuid.uuid4().hex}.part")
+                part.write_bytes(data.as_py())
+                part.replace(target)
+            yield pa.record_batch({"n": pa.array([len(batch)], pa.int64())})
+
+    found = spark.read.schema(BUNDLES).parquet(path).select("bundle", "data").mapInArrow(released(write), "n long")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def seek_record(file: Path, frame: int, offset: int, length: int) -> bytes:
+    """One record of an exported bundle by its place in the index: the seek table and one frame are read, nothing else."""
+    with file.open("rb") as f:
+        size = f.seek(-9, 2) + 9
+        count, flags, _ = struct.unpack("<IBI", f.read(9))
+        footer = 8 + count * (12 if flags & 0x80 else 8) + 9  # with the head of the skippable frame that it is
+        f.seek(size - footer)
+        at, packed, whole = seek_table(f.read(footer))[frame]
+        f.seek(at)
+        data = f.read(packed)
+    return zstandard.ZstdDecompressor().decompress(data, max_output_size=whole)[offset : offset + length] if whole else b""

@@ -3,6 +3,7 @@ import io
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tensorloom.llm import warc
 from tensorloom.llm.common import shared_path
@@ -34,7 +35,9 @@ def test_bundle_is_seekable():
 def test_odd_pages(spark):
     same = "x" * 100
     rows = [(1, "http://a/\r\nX: y", same), (2, None, same), (3, "u", "x" * 99), (4, "u", "x" * 99), (5, "u", None), (6, "u", ""), (7, "u", "é" * 50), (8, "u", "a\r\n\r\nWARC/1.1\r\n" * 9), (9, "u", "z" * 3_000_000), (9, "u", "z" * 3_000_000), (None, "u", same)]
-    frame = warc.with_revisits(pages(spark, rows).withColumnRenamed("url", "url"))
+    own = {c: F.lit("mine") for c in ("record_type", "PAYLOAD_DIGEST", "refers_to", "payload_bytes", "record_id", "uri", "bundle", "index")}
+    frame = warc.with_revisits(pages(spark, rows).withColumns(own))
+    assert [c.lower() for c in frame.columns].count("payload_digest") == 1
     path = shared_path(spark, "test")
     read = warc.read_bundles(warc.write_bundles(frame, path, frame_bytes=1000, bundle_bytes=100_000))
     found = sorted((r["record_id"], r["payload_bytes"], r["record_type"], r["refers_to"], bytes(r["payload"] or b"").decode()) for r in read.collect())
@@ -56,6 +59,11 @@ def test_export(spark, tmp_path):
     assert warc.export_bundles(spark, path, str(tmp_path)) >= 1
     text = b"".join(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(f.read_bytes()), read_across_frames=True).read() for f in tmp_path.iterdir())
     assert text.count(b"WARC-Type: response") == 2 and b"hello" in text
+    for bundle in spark.read.schema(warc.BUNDLES).parquet(path).collect():
+        for place in bundle["index"]:
+            found = warc.seek_record(tmp_path / f"{bundle['bundle']}.warc.zst", place["frame"], place["offset"], place["length"])
+            assert found == warc.read_record(bytes(bundle["data"]), place["frame"], place["offset"], place["length"])
+            assert f"<urn:record:{place['record_id']}>".encode() in found
 
 
 def test_damage_is_seen(spark):
@@ -90,6 +98,17 @@ def test_lines(spark):
 
 def test_lines_of_one_large_site(spark):
     rows = [(i, "http://hot.org" if i % 3 else f"http://h{i}.org", f"<p>top</p>line {i}") for i in range(3000)]
-    found = drop_boilerplate(pages(spark, rows).withColumnRenamed("html", "html"), html_text("html"))
+    own = pages(spark, rows).withColumns({c: F.lit("mine") for c in ("host", "N_LINES", "n_dropped", "clean_text", "__n")})
+    found = drop_boilerplate(own, html_text("html"))
+    assert found.columns == ["page_id", "url", "html", "__n", "host", "n_lines", "n_dropped", "clean_text"]
     assert found.where("host = 'hot.org' AND n_dropped = 1").count() == 2000
     assert found.where("n_dropped > 0").count() == 2000
+
+
+def test_very_long_pages(spark):
+    """Lines of a megabyte, and a hundred thousand lines on one page."""
+    long = "z" * 1_000_000
+    rows = [(i, "http://a.org", f"<p>{long}</p><p>line {i}</p>") for i in range(4)] + [(9, "http://a.org", "".join(f"<p>{k % 7} of many {k}</p>" for k in range(100_000)))]
+    found = {r["page_id"]: r for r in drop_boilerplate(pages(spark, rows), html_text("html")).collect()}
+    assert all((found[i]["n_lines"], found[i]["n_dropped"], found[i]["clean_text"]) == (2, 1, f"line {i}") for i in range(4))
+    assert (found[9]["n_lines"], found[9]["n_dropped"]) == (100_000, 0)

@@ -1,4 +1,5 @@
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tensorloom.llm import decontaminate, mixing, near_dedup, quality, sharding
@@ -37,3 +38,24 @@ def test_run_is_the_stages(spark):
         docs = stage(spark, docs, SF)
     key = lambda r: (r["doc_id"], r["shard"], r["slot"])
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_stages_bear_odd_rows_and_clashing_names(spark, docs, documents):
+    """Null, empty, very long and repeated texts, in rows with columns that are named like the operators' own."""
+    clash = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("score", "predicted", "held_out", "size", "target", "taken", "copies", "source_size", "n_shingles", "component_id", "kept", "id")}
+    frame = docs.unionByName(docs.where("doc_id > 9000")).withColumns(clash).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF).cache()
+        assert out.columns == frame.columns, name
+        wrong = out.where(" OR ".join(f"{c} <> concat('{c} of ', doc_id)" for c in clash))
+        assert wrong.isEmpty() and not out.isEmpty(), name
+        frame = out
+    out = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
+    assert out.count() == frame.count() and out.columns.count("size") == 1
+    assert out.where("score <> concat('score of ', doc_id)").isEmpty()
+
+
+def test_stages_on_an_empty_table(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and set(empty.columns) <= set(out.columns), name
