@@ -69,9 +69,10 @@ def permute_rows(rows: DataFrame, perm: DataFrame, row_id: str) -> DataFrame:
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """(word, id) of a one-column table: distinct words numbered in byte order."""
+    """(word, id, n) of a one-column table: distinct words numbered in byte order, and how often each is there."""
     (name,) = words.columns
-    return with_rank(words.select(F.col(name).alias("word")).distinct(), "id", F.substring("word", 1, 2), F.col("word"))
+    counted = words.groupBy(F.col(name).alias("word")).agg(F.count("*").alias("n"))
+    return with_rank(counted, "id", F.substring("word", 1, 4), F.col("word")).select("word", "id", "n")
 
 
 def encode(tokens: DataFrame, perm: DataFrame, token: str = "token") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.joins import join_salted
 from tensorloom.operators import permutation as op
 from tensorloom.operators import tensors
 from tensorloom.queries.base import PERM_SQL, matrix, permutation, registry, table
+from tensorloom.storage import cut
 
 QUERIES, SQL, query = registry()
 
@@ -21,9 +23,11 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tokens with their original id, and the permutation of the vocabulary."""
     tokens = _tokens(spark, sf_dir)
-    ids = op.vocabulary(tokens.select("word"))
+    ids = cut(op.vocabulary(tokens.select("word")))
     perm = op.keyed_permutation(ids.select("id"), "tokens")
-    return tokens.join(ids, "word").select("conv_id", "turn", "pos", F.col("id").alias("token")), perm
+    # few words are a large part of all tokens: what these are joined with is repeated
+    met = join_salted(tokens, ids, "word", "n", ["conv_id", "turn", "pos"], ids.agg(F.sum("n")).first()[0] or 0)
+    return met.select("conv_id", "turn", "pos", F.col("id").alias("token")), perm
 
 
 _TOKENS_SQL = """t AS (
