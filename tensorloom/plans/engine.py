@@ -20,7 +20,7 @@ from tensorloom.plans import documents as doc
 from tensorloom.plans.documents import CHECKPOINT, MANIFEST, TOKEN
 from tensorloom.plans.plan import Plan, make_plan
 from tensorloom.plans.registry import LLAMA, Architecture, Architectures, Executor, Executors
-from tensorloom.sources.safetensors import CONFIG, EMBEDDING, HEAD, INDEX, Artifact, canonical_json, file_digests, index_of, inventory, local, open_artifact, read_rows, strict_json, tensor_digests, write_rows
+from tensorloom.sources.safetensors import CONFIG, EMBEDDING, HEAD, INDEX, Artifact, canonical_json, index_of, inventory, local, open_artifact, read_rows, shard_digests, strict_json, tensor_digests, write_rows
 
 WORK = ".work"
 
@@ -231,12 +231,13 @@ class Engine:
             file = stage / shard.filename
             if not file.is_file() or file.stat().st_size != len(shard.header) + shard.payload:
                 raise OutputCorrupted(f"{shard.filename} is not as it was written")
-        found = file_digests(self.spark, [stage / s.filename for s in done])
-        digests: dict[str, str] = {}
+            with file.open("rb") as f:
+                if f.read(len(shard.header)) != shard.header:
+                    raise OutputCorrupted(f"{shard.filename} has another header")
+        digests = shard_digests(self.spark, done, stage)
         for shard in done:
-            if found[shard.filename] != stored["shards"][shard.filename]["file"]:
-                raise OutputCorrupted(f"{shard.filename} is not as it was written")
-            digests |= stored["shards"][shard.filename]["tensors"]
+            if wrong := [n for n, d in stored["shards"][shard.filename].items() if digests.get(n) != d]:
+                raise OutputCorrupted(f"{wrong[0]} in {shard.filename} is not as it was written")
         missing = [s for s in plan.shards if s.filename not in stored["shards"]]
         made_from = {o.output: o.inputs[0] for o in plan.operations}
         wave = max(1, self.spark.sparkContext.defaultParallelism)
@@ -244,11 +245,9 @@ class Engine:
             shards = missing[i : i + wave]
             rows = read_rows(self.spark, artifact.root, [made_from[t.name] for s in shards for t in s.tensors])
             part = write_rows(executor.run(rows, plan, perm), shards, str(stage)).collect()  # a row a tensor
-            files = file_digests(self.spark, [stage / s.filename for s in shards])
             for shard in shards:
-                tensors = {r["tensor"]: r["digest"] for r in part if r["filename"] == shard.filename}
-                stored["shards"][shard.filename] = {"file": files[shard.filename], "tensors": tensors}
-                digests |= tensors
+                stored["shards"][shard.filename] = {r["tensor"]: r["digest"] for r in part if r["filename"] == shard.filename}
+                digests |= stored["shards"][shard.filename]
             _store(state, canonical_json(stored))
         if index := index_of(plan.shards):
             (stage / INDEX).write_text(index, encoding="utf-8")

@@ -509,15 +509,8 @@ def write_rows(rows: DataFrame, shards: list[Shard], folder: str) -> DataFrame:
 
     noted = rows.select("tensor", "row_id", "raw").mapInArrow(write, "tensor string, sums string").collect()  # a row a task and tensor
     published(shards, folder, [{r["tensor"]: json.loads(r["sums"])} for r in noted])
-    ranges, where = [], {}
-    for shard in shards:
-        at = len(shard.header)
-        for t in shard.tensors:
-            ranges.append((t.name, str(Path(local(folder), shard.filename)), at, t.byte_length))
-            where[t.name] = shard.filename
-            at += t.byte_length
-    found = range_digests(spark, ranges)
-    return spark.createDataFrame([(where[name], name, found[name], n) for name, _, _, n in ranges], "filename string, tensor string, digest string, byte_length bigint")
+    found = shard_digests(spark, shards, Path(local(folder)))
+    return spark.createDataFrame([(s.filename, t.name, found[t.name], t.byte_length) for s in shards for t in s.tensors], "filename string, tensor string, digest string, byte_length bigint")
 
 
 SPAN = 64 * PIECE  # bytes that one row of work stands for
@@ -567,9 +560,15 @@ def tensor_digests(spark: SparkSession, artifact: Artifact, names: list[str] | N
     return range_digests(spark, [(t.name, str(Path(artifact.root) / t.shard), t.offset, t.byte_length) for t in some])
 
 
-def file_digests(spark: SparkSession, paths: list[Path]) -> dict[str, str]:
-    """The BLAKE3 digest of every file, by name."""
-    return range_digests(spark, [(p.name, str(p), 0, p.stat().st_size) for p in paths])
+def shard_digests(spark: SparkSession, shards: list[Shard], folder: Path) -> dict[str, str]:
+    """The BLAKE3 digest of every tensor of shards whose files are in a folder."""
+    ranges = []
+    for shard in shards:
+        at = len(shard.header)
+        for t in shard.tensors:
+            ranges.append((t.name, str(folder / shard.filename), at, t.byte_length))
+            at += t.byte_length
+    return range_digests(spark, ranges)
 
 
 def index_of(shards: list[Shard]) -> str | None:
