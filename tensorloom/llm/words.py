@@ -6,6 +6,8 @@ A word is a maximal run of bytes that are not a space or one of the control char
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -43,6 +45,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 PIECE = 1 << 20  # bytes of rows that are hashed at once; a longer row is hashed alone
+LONG = 64  # bytes of a word
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,13 +66,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: differences of one running polynomial over all bytes, each shifted back to its word."""
+    """A 64-bit hash of each word: differences of one running polynomial over all bytes, each shifted back to its word.
+
+    Words of over LONG bytes are hashed by BLAKE2b, as long ones can be made so that their polynomials are equal.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    out = mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    for i in np.flatnonzero(stops - starts > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : stops[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def pieces_of(at: np.ndarray, most: int = PIECE) -> list[tuple[int, int]]:

@@ -196,3 +196,13 @@ def test_words_never_go_over_rows():
     assert [len(s) for s in sets] == [1, 2, 1, 1, 0, 1]
     assert np.array_equal(sets[0], sets[5]) and sets[0][0] in sets[1]
     assert sets[2][0] != sets[0][0]
+
+
+def test_long_words_that_are_made_to_collide():
+    """The two words of Thue and Morse have equal polynomials modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << 12)]
+    one, two = (bytes(97 + (b ^ flip) for b in bits) for flip in (0, 1))
+    raw = np.frombuffer(one + b" " + two + b" " + one, np.uint8)
+    starts, stops, _ = words.word_bounds(raw, np.array([0, len(raw)]))
+    a, b, c = words.word_hashes(raw, starts, stops).tolist()
+    assert a == c != b
