@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import text_of, without
 
 OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+RANGE_ROWS, MOST_RANGES = 50_000, 10_000  # rows of a range, until there are so many ranges
 
 
 def _range_of(bounds: list[int], value: Column) -> Column:
@@ -49,20 +50,24 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     an id come first. Repeated rows are rows of their own and take neighbouring slots. An empty table gives none.
     Input columns named like an output column are replaced. Ids are whole numbers; others raise an error. `ranges` bounds the
     rows that one task sorts, also where a third of all rows have one id or none, but for rows that are alike in id, text
-    and size; the totals of the ranges are the only thing that is broadcast. By default there are as many as shuffle partitions.
+    and size; the totals of the ranges are the only thing that is broadcast. By default there
+    are as many as shuffle partitions, or as make RANGE_ROWS rows each, up to MOST_RANGES.
     """
-    spark = docs.sparkSession
-    if ranges is None:
-        ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = without(docs, *OUT).withColumns({"size": F.octet_length(text_of(text_col)).cast("long") + 1, "text_crc32": F.crc32(text_of(text_col).cast("binary"))})
-    marks = F.percentile_approx(F.col(id_col).cast("long"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(50 * ranges))
-    found = docs.agg(marks.alias("m"), F.count_if(F.col(id_col).isNull()).alias("nulls"), F.count("*").alias("n")).first()
-    bounds, parts = _spread_ids(found["m"] or [], found["nulls"], found["n"], ranges)  # at most 2 * ranges numbers
     key = F.col(id_col).cast("long")
-    most = max(parts.values(), default=1)
-    part = F.lit(0)
-    for value, k in parts.items():  # half of the ranges at most
-        part = F.when(key.isNull() if value is None else key.eqNullSafe(F.lit(value).cast("long")), F.floor(F.col("text_crc32") * k / F.lit(float(1 << 32)))).otherwise(part)
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col(id_col).isNull())).first()
+    if ranges is None:
+        ranges = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, n // RANGE_ROWS))
+    marks = F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(50 * ranges))
+    bounds, parts = _spread_ids(docs.agg(marks.alias("m")).first()["m"] or [], nulls, n, ranges)  # at most 2 * ranges numbers
+    most, without_id = max(parts.values(), default=1), parts.pop(None, 1)
+    if parts:  # a row for every hot id, half of the ranges at most
+        hot = docs.sparkSession.createDataFrame(list(parts.items()), "__hot long, __parts long")
+        rows = rows.join(F.broadcast(hot), key == F.col("__hot"), "left")
+        part = F.when(key.isNull(), without_id).otherwise(F.coalesce("__parts", F.lit(1)))
+    else:
+        part = F.when(key.isNull(), without_id).otherwise(1)
+    part = F.floor(F.col("text_crc32") * part / F.lit(float(1 << 32)))
     base = F.when(key.isNull(), F.lit(0)).otherwise(_range_of(bounds, key) + 1)
     rows = rows.withColumn("__range", base.cast("long") * most + part.cast("long"))
 
