@@ -82,7 +82,7 @@ def peak_mib(mib: int, folder: Path) -> float:
     """The largest worker's peak, in MiB, while a model of that payload is transformed."""
     source = folder / f"m{mib}"
     make_model(source, mib)
-    process = subprocess.Popen([sys.executable, "-c", _RUN, str(source), str(folder / f"o{mib}")], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    process = subprocess.Popen([sys.executable, "-c", _RUN, str(source), str(folder / f"o{mib}")], cwd=Path(__file__).resolve().parent.parent, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
     peak: dict[int, int] = {}
     stop = threading.Event()
     watcher = threading.Thread(target=_watch, args=(process.pid, peak, stop))

@@ -573,3 +573,12 @@ def test_workers_hold_no_payload(tmp_path):
 
     found = [peak.peak_mib(n, tmp_path) for n in (4, 24)]
     assert abs(found[1] - found[0]) <= peak.SPREAD_MIB
+
+
+def test_row_width_of_a_matrix():
+    assert st.Tensor("t", "BF16", (3, 5)).matrix_row_bytes() == 10
+    for shape in ((), (3,), (3, 0), (3, 5, 2)):
+        with pytest.raises(InvalidTensor):
+            st.Tensor("t", "F32", shape).matrix_row_bytes()
+    with pytest.raises(EngineError, match="nothing"):
+        st.Artifact("", b"", {}, [], []).required("nothing")
